@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_arrow, sliced
+from ledgerloom.llm.common import map_rows, sliced
 
 #: Fixed value: the pre-token pattern of byte-level BPE, with the white space property spelled out.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -243,8 +242,7 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     """
     with open(vocabulary, "rb") as f:
         source = df.sparkSession.sparkContext.broadcast(f.read())
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
@@ -265,4 +263,4 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return map_arrow(df.select(F.col(id_col), F.col(text_col).alias("__text")), run, schema)
+    return map_rows(df, id_col, text_col, run, schema)

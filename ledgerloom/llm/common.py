@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of one Arrow batch that are decoded to Python objects at a time.
 SLICE_ROWS = 256
@@ -82,9 +83,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` under a neutral name, for one place to set its options."""
-    return df.mapInArrow(fn, schema)
+def map_rows(df: DataFrame, id_col: str, text_col: str, fn: Callable, ddl: str) -> DataFrame:
+    """``fn`` over Arrow batches of (id, text); it yields the id column and the columns of ``ddl``.
+
+    The id may be of any type. A struct of a whole row works too and saves joining results to their rows.
+    """
+    kept = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    return kept.mapInArrow(fn, StructType([kept.schema[0], *StructType.fromDDL(ddl).fields]))
+
+
+def whole_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row as one struct ``__row``, beside its text."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ledgerloom.llm.common import map_arrow, materialize, sliced
+from ledgerloom.llm.common import materialize, sliced
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,7 +106,6 @@ def scan_documents(
 ) -> DataFrame:
     """Per document: ``n_words``, ``n_hit``, ``item_ids`` (sorted) and ``spans`` of the hit text."""
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col), F.col(text_col).alias("__text"), F.lit(None).cast("array<boolean>").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
     parts = shards(items, window, pattern_bytes, item_col, item_text_col)
     part = next(parts)
@@ -139,8 +139,8 @@ def scan_documents(
                     yield pa.RecordBatch.from_arrays([ids, texts, pa.array([None if r[2] is None else r[2].tolist() for r in rows], pa.list_(pa.bool_())), names], names=[id_col, "__text", "__hit", "__items"])
 
         if last:
-            return map_arrow(out, run, f"`{id_col}` {kind}, n_words long, n_hit long, item_ids array<string>, spans array<struct<start: long, end: long>>")
-        out = materialize(map_arrow(out, run, f"`{id_col}` {kind}, __text string, __hit array<boolean>, __items array<string>"), "scan")
+            return out.mapInArrow(run, StructType([out.schema[0], *StructType.fromDDL("n_words long, n_hit long, item_ids array<string>, spans array<struct<start: long, end: long>>").fields]))
+        out = materialize(out.mapInArrow(run, out.schema), "scan")
         part = after
     raise AssertionError("there is always a first shard")
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, simhash
-from ledgerloom.llm.common import table
+from ledgerloom.llm import bpe, decontaminate, langid, simhash, toxicity
+from ledgerloom.llm.common import split_of, table
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = split_of(F.col("doc_id"), 4) == 2
+    scored = toxicity.score(docs, labels, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +23,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_of(F.col("doc_id"), 3) == 1
+    found = langid.identify(table(spark, sf_dir, "documents"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
@@ -33,9 +47,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op4_toxicity": op4_toxicity,
         "op5_bpe": op5_bpe,
+        "op8_langid": op8_langid,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
+        "pipeline": corpus_pipeline.run,
     }
 
 

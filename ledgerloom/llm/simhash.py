@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_arrow, materialize, release, sliced
+from ledgerloom.llm.common import map_rows, materialize, release, sliced
 from ledgerloom.llm.graph import components
 
 SEED = 42
@@ -71,14 +71,12 @@ def majority(hashes: list[list[int]]) -> np.ndarray:
 
 def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp long)`` for each row; ``fp`` holds the 64 bits, read as a signed number."""
-    kind = df.schema[id_col].dataType.simpleString()
-
     def run(batches):
         for batch in sliced(batches):
             bits = majority([shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.view("<i8"))], names=[id_col, "fp"])
 
-    return map_arrow(df.select(F.col(id_col), F.col(text_col).alias("__text")), run, f"`{id_col}` {kind}, fp long")
+    return map_rows(df, id_col, text_col, run, "fp long")
 
 
 def unary(fp: str) -> str:
