@@ -7,10 +7,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, langid, simhash, toxicity
+from ledgerloom.llm import bpe, decontaminate, langid, mainpage, simhash, tokenfiles, toxicity
 from ledgerloom.llm.common import split_of, table
 
 
+def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokenfiles.read(manifest, with_ids=False)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = split_of(F.col("doc_id"), 4) == 2
@@ -23,6 +28,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op7_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    text = mainpage.main_text(pages.select(F.struct("page_id", "url").alias("__page"), "html"), id_col="__page")
+    return text.select("__page.page_id", "__page.url", "text", "n_chars")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = split_of(F.col("doc_id"), 3) == 1
     found = langid.identify(table(spark, sf_dir, "documents"), ~held_out)
@@ -47,8 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_tokenfiles": op3_tokenfiles,
         "op4_toxicity": op4_toxicity,
         "op5_bpe": op5_bpe,
+        "op7_mainpage": op7_mainpage,
         "op8_langid": op8_langid,
         "op9_simhash": op9_simhash,
         "op10_decontaminate": op10_decontaminate,
