@@ -181,21 +181,17 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 8, length: int = 48
     return crf
 
 
-def sample(df: DataFrame, label: str, chars: int, id_col: str, text_col: str) -> tuple[list, dict]:
-    """Labelled rows of about ``chars`` characters for each label at most, chosen by a hash of the id.
+def pick(sizes: DataFrame, chars: int) -> tuple[DataFrame, dict]:
+    """Rows of ``sizes(label, hash, size, ...)`` with about ``chars`` characters for each label at most.
 
-    Also the number of all labelled rows for each label.
+    A row's hash decides; also the number of all rows for each label.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    totals = rows.groupBy("label").agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    if not totals:
-        return [], {}
+    totals = sizes.groupBy("label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
     keep = F.lit(False)
-    bucket = F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000))
+    bucket = F.pmod("hash", F.lit(1_000_000))
     for r in totals:
         keep = keep | ((F.col("label") == F.lit(r["label"])) & (bucket < int(min(1.0, chars / max(1, r["n"])) * 1_000_000)))
-    picked = rows.where(keep).select("text", "label").collect()
-    return sorted(picked, key=lambda r: (r["text"], str(r["label"]))), {r["label"]: r["rows"] for r in totals}
+    return sizes.where(keep), {r["label"]: r["rows"] for r in totals}
 
 
 _rows: dict[int, tuple] = {}
@@ -209,7 +205,9 @@ def identify(
     ``train`` marks the rows whose languages may be learned. With ``word_labels`` there is also
     ``words array<string>``, the most probable language of each word in order.
     """
-    rows, _ = sample(df.where(train), lang_col, train_chars, id_col, text_col)
+    texts = df.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("label"), F.xxhash64(id_col, text_col).alias("hash"))
+    picked, _ = pick(texts.where("text IS NOT NULL AND label IS NOT NULL").withColumn("size", F.length("text")), train_chars)
+    rows = sorted(picked.select("text", "label").collect(), key=lambda r: (r["text"], r["label"]))
     model = fit([r["text"] for r in rows], [r["label"] for r in rows])
     shared = df.sparkSession.sparkContext.broadcast(model)
     schema = "lang_pred string, score double" + (", words array<string>" if word_labels else "")

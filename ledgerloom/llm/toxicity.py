@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_rows, sliced
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
-from ledgerloom.llm.langid import sample
+from ledgerloom.llm.langid import pick
 
 SIZES, BITS = (3, 4, 5, 6), 18
 WINDOW, OVERLAP, HIDDEN, INPUTS = 48, 12, 8, 4
@@ -235,9 +235,13 @@ def score(
     ``train`` marks the rows of ``df`` whose labels may be learned; a document may have no label. ``key_col`` finds the
     labels, ``id_col`` is returned.
     """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__label"))
-    texts = df.where(train).select(F.col(key_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows, held = sample(texts.join(known, "__id"), "__label", train_chars, "__id", "__text")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
+    texts = df.where(train).select(F.col(key_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("hash")).where("text IS NOT NULL")
+    sizes = texts.select("__id", "hash", F.length("text").alias("size")).join(known, "__id")
+    picked, held = pick(sizes, train_chars)
+    # The sample's rows are bounded by its characters; only their keys travel, not the texts of all labelled rows.
+    chosen = texts.join(F.broadcast(picked.groupBy("__id", "hash").agg(F.max("label").alias("label"))), ["__id", "hash"]).select("text", "label") if held else None
+    rows = sorted(chosen.collect(), key=lambda r: (r["text"], r["label"])) if held else []
     model = fit([r["text"] for r in rows], [r["label"] for r in rows], held.get(1, 0) / max(1, sum(held.values())))
     shared = df.sparkSession.sparkContext.broadcast(model)
 
