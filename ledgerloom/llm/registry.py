@@ -7,10 +7,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, langid, mainpage, simhash, tokenfiles, toxicity
+from ledgerloom.llm import bpe, decontaminate, langid, languagemodel, mainpage, simhash, tokenfiles, toxicity
 from ledgerloom.llm.common import split_of, table
 
 
+def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_of(F.col("doc_id"), 7) == 2
+    scored = languagemodel.score(table(spark, sf_dir, "documents"), ~held_out, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_ids")
+
+
 def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfiles.read(manifest, with_ids=False)
@@ -58,6 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_model": op1_language_model,
         "op3_tokenfiles": op3_tokenfiles,
         "op4_toxicity": op4_toxicity,
         "op5_bpe": op5_bpe,
