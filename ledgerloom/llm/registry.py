@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, langid, languagemodel, mainpage, simhash, tokenfiles, toxicity
+from ledgerloom.llm import bpe, decontaminate, langid, languagemodel, licenses, mainpage, simhash, tokenfiles, toxicity
 from ledgerloom.llm.common import split_of, table
 
 
@@ -17,6 +17,17 @@ def op1_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_ids")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.size("licenses").cast("long").alias("n_licenses"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("licenses.name"))).alias("names"),
+        F.array_max("licenses.coverage").alias("best_coverage"),
+        F.transform("licenses", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("spans"),
+    )
+
+
 def op3_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokenfiles.read(manifest, with_ids=False)
@@ -65,6 +76,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_language_model": op1_language_model,
+        "op2_licenses": op2_licenses,
         "op3_tokenfiles": op3_tokenfiles,
         "op4_toxicity": op4_toxicity,
         "op5_bpe": op5_bpe,
