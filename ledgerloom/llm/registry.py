@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, langid, languagemodel, licenses, mainpage, simhash, tokenfiles, toxicity
+from ledgerloom.llm import bpe, decontaminate, langid, languagemodel, licenses, mainpage, neighbours, simhash, tokenfiles, toxicity
 from ledgerloom.llm.common import split_of, table
 
 
@@ -45,6 +45,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_mainpage(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     text = mainpage.main_text(pages.select(F.struct("page_id", "url").alias("__page"), "html"), id_col="__page")
@@ -80,6 +84,7 @@ def queries() -> dict:
         "op3_tokenfiles": op3_tokenfiles,
         "op4_toxicity": op4_toxicity,
         "op5_bpe": op5_bpe,
+        "op6_embeddings": op6_embeddings,
         "op7_mainpage": op7_mainpage,
         "op8_langid": op8_langid,
         "op9_simhash": op9_simhash,
