@@ -47,7 +47,9 @@ BLOCK = 1024
 #: Share of a block's values that its width must hold.
 PERCENTILE = 0.95
 #: Chunks that one Python worker remembers, in number and in letters of each.
-MEMORY_CHUNKS, CHUNK_LETTERS = 600_000, 64
+MEMORY_CHUNKS, CHUNK_LETTERS = 500_000, 64
+#: Marks that often follow a word; the pre-tokenizer cuts between letters and them.
+MARKS = ".,;:!?%&*#$|"
 
 
 def bit_widths(x: np.ndarray) -> np.ndarray:
@@ -161,7 +163,9 @@ class TokenFile:
 class ChunkEncoder:
     """The library's encoder behind a memory of chunks between white space, where its pre-tokenizer always cuts.
 
-    Only for tokenizers that drop white space. The chunks' ids follow one another as the whole text's would.
+    Only for tokenizers that drop white space, take runs of letters whole and close words with a suffix. The
+    chunks' ids follow one another as the whole text's would. New chunks that are letters with marks behind them fall
+    into both parts; words of letters go through the library side by side in one text and are told apart by the suffix.
     """
 
     def __init__(self, source: str):
@@ -171,12 +175,50 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.cut = regex.compile(r"\p{White_Space}+")
         self.odd = regex.compile("[\x1c-\x1f]")
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
 
     def chunks(self, text: str) -> list[str]:
         return [c for c in self.cut.split(text) if c] if self.odd.search(text) else text.split()
 
+    def encoded(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn_words(self, words: list[str]) -> None:
+        """Ids of words of letters."""
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some):
+                raw = ids.tobytes()
+                self.words.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)], strict=True))
+            else:  # a word that turns into several, as some capitals do
+                self.words.update(zip(some, self.encoded(some), strict=True))
+
+    def learn(self, new: list[str]) -> None:
+        words, known = self.words, self.known
+        pairs, rest = [], []
+        for chunk in new:
+            core = chunk.rstrip(MARKS)
+            if core.isalpha() and len(core) <= CHUNK_LETTERS:
+                pairs.append((chunk, core.lower() if core.isascii() else core, chunk[len(core) :]))
+            else:
+                rest.append(chunk)
+        if len(words) > MEMORY_CHUNKS:
+            words.clear()
+        self.learn_words(list({core for _, core, _ in pairs if core not in words}))
+        tails = list({tail for _, _, tail in pairs})
+        of_tail = dict(zip(tails, self.encoded(tails), strict=True))
+        for chunk, core, tail in pairs:
+            known[chunk] = words[core] + of_tail[tail]
+        known.update(zip(rest, self.encoded(rest), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian u32."""
         split = [self.chunks(t) for t in texts]
@@ -185,8 +227,7 @@ class ChunkEncoder:
         if len(known) + len(new) > MEMORY_CHUNKS:
             known.clear()
             new = list({c for t in split for c in t})
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[chunk] = np.array(e.ids, "<u4").tobytes()
+        self.learn(new)
         get = known.__getitem__
         out = [b"".join(map(get, t)) for t in split]
         for chunk in new:
