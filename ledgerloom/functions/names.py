@@ -34,7 +34,11 @@ def is_person(c: Column) -> Column:
 
 def mask_pattern(c: Column) -> Column:
     """First and last letter with stars between, for names of three to five letters; other names as they are."""
-    name = person_name(c)
+    return masked_form(person_name(c))
+
+
+def masked_form(name: Column) -> Column:
+    """``mask_pattern`` of a name that is normalised already."""
     masked = F.concat(F.left(name, F.lit(1)), F.repeat(F.lit("*"), F.length(name) - 2), F.right(name, F.lit(1)))
     return F.when(name.rlike(r"^[가-힣]{3,5}$"), masked).otherwise(name)
 

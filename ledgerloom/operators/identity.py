@@ -83,14 +83,17 @@ def name_search(rows: DataFrame, columns: list[str], query: str) -> DataFrame:
     """Rows of the best class of match: 0 exact, 1 the same mask, 2 a mask that may hide the name, 3 contained."""
     lit = F.lit(query)
     key, mask = names.lookup_key(lit), names.mask_pattern(lit)
+    # Each name is normalised once, in a projection of its own.
+    stored = {c: f"__stored{i}" for i, c in enumerate(columns)}
+    rows = rows.withColumns({s: names.lookup_key(F.col(c)) for c, s in stored.items()})
     classes = []
-    for c in columns:
-        stored = names.lookup_key(F.col(c))
-        hides = names.is_masked(F.col(c)) & stored.rlike(r"\*") & (names.mask_pattern(stored) == mask)
-        classes.append(F.when(stored == key, 0).when(names.is_masked(lit) & (stored == key), 1).when(hides, 2).when(F.contains(stored, key), 3))
+    for s in stored.values():
+        masked = F.coalesce(F.col(s).rlike(names.MASKED), F.lit(False))
+        hides = masked & (F.col(s) == mask)
+        classes.append(F.when(F.col(s) == key, F.when(masked, 1).otherwise(0)).when(hides, 2).when(F.contains(F.col(s), key), 3))
     ranked = rows.withColumn("match_class", F.least(*classes) if len(classes) > 1 else classes[0]).where("match_class IS NOT NULL")
     best = ranked.agg(F.min("match_class").alias("__best"))
-    return ranked.join(F.broadcast(best), F.col("match_class") == F.col("__best")).drop("__best")
+    return ranked.join(F.broadcast(best), F.col("match_class") == F.col("__best")).drop("__best", *stored.values())
 
 
 def nearest_masked(rows: DataFrame, column: str, query: str, most: int = 180) -> DataFrame:

@@ -222,7 +222,7 @@ def shared_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register("person_totals_components", SHARED_SQL + "SELECT person, row_number() OVER (PARTITION BY person ORDER BY min(pos)) AS number, round(sum(amount), 2) AS total, count(amount) AS payments, min(pos) AS first_row FROM who GROUP BY person, identity", ledger_sql=False)
+@register("person_totals_components", SHARED_SQL + "SELECT translate(person, '0', '*') AS person, row_number() OVER (PARTITION BY person ORDER BY min(pos)) AS number, round(sum(amount), 2) AS total, count(amount) AS payments, min(pos) AS first_row FROM who GROUP BY person, identity", ledger_sql=False)
 def _(spark, sf_dir):
     meanings = {"person": ColumnMeaning("entity", "person", "string"), "phone": ColumnMeaning(pii_type="phone"), "email": ColumnMeaning(pii_type="email"), "amount": ColumnMeaning("amount", "amount", "money", "KRW")}
     table = TableRef("df0", "people.xlsx", shared_names(spark, sf_dir), meanings)
