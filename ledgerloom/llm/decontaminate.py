@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import ahocorasick
 import numpy as np
@@ -59,10 +60,10 @@ def shards(items: DataFrame, width: int, pattern_bytes: int, item_col: str, text
     yield part
 
 
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
-def automaton(key: int, part: dict[bytes, list[str]]):
+def automaton(key: str, part: dict[bytes, list[str]]):
     """The automaton of a broadcast dictionary, built once in each Python worker."""
     if key not in _built:
         _built.clear()
@@ -112,10 +113,10 @@ def scan_documents(
     while part is not None:
         after = next(parts, None)
         last = after is None
-        shared = spark.sparkContext.broadcast(part)
+        shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def run(batches, shared=shared, last=last):
-            auto = automaton(id(shared), shared.value)
+        def run(batches, shared=shared, name=name, last=last):
+            auto = automaton(name, shared.value)
             for batch in sliced(batches):
                 ids, texts, hits, items = (batch.column(i) for i in range(4))
                 rows = []
