@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names
 from ledgerloom.functions.money import money
-from ledgerloom.operators import clean, compare, identity, retrieval, schema
+from ledgerloom.operators import clean, compare, evidence, identity, retrieval, schema
 from ledgerloom.plans.execute import execute
 from ledgerloom.plans.model import FilterCondition, QueryPlan, SortCondition
 from ledgerloom.plans.table import POSITION, ColumnMeaning, TableRef
@@ -568,6 +568,59 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.explode(retrieval.numeric_criteria(text)).alias("c")).select("key", "c.value", "c.operator")
 
 
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A notice for each customer, its numbers made of the key."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("사업: 사업"), k.cast("string"), F.lit(" / 담당부서: 부서"), (k % 7).cast("string"), F.lit(" / 예산: "), (k * 1000).cast("string"), F.lit("원 / 접수기간: "), (k % 12 + 1).cast("string"), F.lit("월"))
+    lines = F.concat(F.lit("- 선발인원: "), (k % 9 + 1).cast("string"), F.lit("명\n재학생을 우선 선발한다. 잔여 인원은 추첨한다.\n"), F.when(k % 2 == 0, F.lit("휴학생은 제외한다.")).otherwise("다자녀 가구를 우대한다."))
+    return read(spark, sf_dir, "customer").select(k.alias("chunk_id"), text.alias("row_text"), lines.alias("text"))
+
+
+@register("responsible_party", "SELECT c_custkey AS chunk_id, concat('부서', CAST(c_custkey % 7 AS VARCHAR)) AS value FROM customer WHERE c_custkey = 42", ledger_sql=False)
+def _(spark, sf_dir):
+    rows = notices(spark, sf_dir).select("chunk_id", F.col("row_text").alias("text"))
+    return evidence.responsible_party(rows, "사업42 담당은 어디인가요").select("chunk_id", "value")
+
+
+@register("period_field", "SELECT c_custkey AS chunk_id, concat(CAST(c_custkey % 12 + 1 AS VARCHAR), '월') AS value FROM customer WHERE c_custkey = 42", ledger_sql=False)
+def _(spark, sf_dir):
+    rows = notices(spark, sf_dir).select("chunk_id", F.col("row_text").alias("text"))
+    return evidence.period(rows, "사업42 접수는 언제").select("chunk_id", "value")
+
+
+@register("total_difference", "SELECT CAST(42000 AS DOUBLE) AS first, CAST(77000 AS DOUBLE) AS second, CAST(-35000 AS DOUBLE) AS difference", ledger_sql=False)
+def _(spark, sf_dir):
+    rows = notices(spark, sf_dir).select("chunk_id", F.col("row_text").alias("text"))
+    return evidence.total_difference(rows, "사업: 사업42 /", "사업: 사업77 /", "예산")
+
+
+@register("scalar_fields", "SELECT c_custkey AS chunk_id, '선발인원' AS label, concat(CAST(c_custkey % 9 + 1 AS VARCHAR), '명') AS value FROM customer", ledger_sql=False)
+def _(spark, sf_dir):
+    return evidence.scalar_fields(notices(spark, sf_dir), "people").withColumn("label", F.regexp_replace("label", "^- ", ""))
+
+
+@register("exclusion_clauses", "SELECT c_custkey AS chunk_id, '휴학생은 제외한다.' AS clause FROM customer WHERE c_custkey % 2 = 0", ledger_sql=False)
+def _(spark, sf_dir):
+    return evidence.clauses(notices(spark, sf_dir), "exclusion")
+
+
+@register("priority_clauses", "SELECT c_custkey AS chunk_id, '재학생을 우선 선발한다' AS priority, '잔여 인원은 추첨한다' AS remainder FROM customer", ledger_sql=False)
+def _(spark, sf_dir):
+    return evidence.priority_then_rest(notices(spark, sf_dir))
+
+
+@register("criteria_met", "SELECT c_custkey AS chunk_id, CAST(c_custkey AS DOUBLE) AS value, CASE WHEN c_custkey % 2 = 0 THEN 'gte' ELSE 'lt' END AS operator, CASE WHEN c_custkey % 2 = 0 THEN 50 >= c_custkey ELSE 50 < c_custkey END AS met FROM customer", ledger_sql=False)
+def _(spark, sf_dir):
+    text = F.concat(F.lit("평점 "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "점 이상인 자").otherwise("점 미만"))
+    return evidence.criteria_met(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), text.alias("text")), 50)
+
+
+@register("missing_items", "SELECT c_custkey AS chunk_id, '둘째 항목' AS item FROM customer", ledger_sql=False)
+def _(spark, sf_dir):
+    chunks = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), F.lit("1. 첫째 항목\n2. 둘째 항목").alias("text"))
+    return evidence.missing_items(chunks, "첫째 항목만 있습니다")
+
+
 # Manifest.
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("source"), F.col("event_id").alias("at"), F.col("event_type").alias("file_hash"), F.when(F.col("event_id") % 4 == 0, "FAILED").otherwise("SUCCESS").alias("status"), F.lit("2.4").alias("schema_version"))
