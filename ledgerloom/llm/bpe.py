@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import map_rows, sliced
+from ledgerloom.llm.common import kept, map_rows, sliced
 
 #: Fixed value: the pre-token pattern of byte-level BPE, with the white space property spelled out.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -30,7 +30,7 @@ INF = np.iinfo(np.int64).max
 #: Pre-tokens up to this many bytes are merged in numpy blocks and remembered.
 BLOCK_BYTES = 64
 #: Remembered pre-tokens of one Python worker; the memory is emptied when full, which costs time only.
-MEMORY_ENTRIES = 400_000
+MEMORY_ENTRIES = 300_000
 
 
 def byte_symbols() -> list[str]:
@@ -221,16 +221,9 @@ class ByteBpe:
         return b"".join([of[i] for i in ids]).decode("utf-8", "replace")
 
 
-_loaded: dict[str, ByteBpe] = {}
-
-
 def loaded(source: bytes) -> ByteBpe:
     """One encoder for each Python worker."""
-    key = hashlib.sha256(source).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ByteBpe(source)
-    return _loaded[key]
+    return kept("bpe" + hashlib.sha256(source).hexdigest(), lambda: ByteBpe(source))
 
 
 def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:

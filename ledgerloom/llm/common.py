@@ -97,5 +97,16 @@ def whole_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(text_col))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, build: Callable):
+    """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ledgerloom.llm.common import materialize, sliced
+from ledgerloom.llm.common import kept, materialize, sliced
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -60,20 +60,14 @@ def shards(items: DataFrame, width: int, pattern_bytes: int, item_col: str, text
     yield part
 
 
-_built: dict[str, tuple] = {}
-
-
-def automaton(key: str, part: dict[bytes, list[str]]):
-    """The automaton of a broadcast dictionary, built once in each Python worker."""
-    if key not in _built:
-        _built.clear()
-        auto = ahocorasick.Automaton()
-        for pattern, items in part.items():
-            auto.add_word(pattern.decode("latin-1"), (len(pattern), pattern.count(b" ") - 1, frozenset(items)))
-        if len(auto):
-            auto.make_automaton()
-        _built[key] = (auto,)
-    return _built[key][0]
+def automaton(part: dict[bytes, list[str]]):
+    """The automaton of a broadcast dictionary."""
+    auto = ahocorasick.Automaton()
+    for pattern, items in part.items():
+        auto.add_word(pattern.decode("latin-1"), (len(pattern), pattern.count(b" ") - 1, frozenset(items)))
+    if len(auto):
+        auto.make_automaton()
+    return auto
 
 
 def scan(auto, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
@@ -116,7 +110,7 @@ def scan_documents(
         shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name, last=last):
-            auto = automaton(name, shared.value)
+            auto = kept("automaton" + name, lambda: automaton(shared.value))
             for batch in sliced(batches):
                 ids, texts, hits, items = (batch.column(i) for i in range(4))
                 rows = []

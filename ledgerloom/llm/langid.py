@@ -17,18 +17,20 @@ results; repeated rows get equal results; other columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_rows, sliced
+from ledgerloom.llm.common import kept, map_rows, sliced
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 
 SIZES, BITS = (1, 2, 3, 4), 16
 CHUNK = 64
 #: Words whose posteriors are computed at a time.
-BLOCK_WORDS = 150_000
+BLOCK_WORDS = 80_000
 
 
 class Crf:
@@ -194,9 +196,6 @@ def pick(sizes: DataFrame, chars: int) -> tuple[DataFrame, dict]:
     return sizes.where(keep), {r["label"]: r["rows"] for r in totals}
 
 
-_rows: dict[int, tuple] = {}
-
-
 def identify(
     df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = 400_000, word_labels: bool = False
 ) -> DataFrame:
@@ -209,17 +208,14 @@ def identify(
     picked, _ = pick(texts.where("text IS NOT NULL AND label IS NOT NULL").withColumn("size", F.length("text")), train_chars)
     rows = sorted(picked.select("text", "label").collect(), key=lambda r: (r["text"], r["label"]))
     model = fit([r["text"] for r in rows], [r["label"] for r in rows])
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = "lang_pred string, score double" + (", words array<string>" if word_labels else "")
 
     def run(batches):
         crf = shared.value
         names = np.array(crf.labels, object)
-        if _rows.get("model") is not crf:
-            _rows.clear()
-            _rows.update(model=crf, memory=WordRows(crf.emissions, len(names)) if len(names) else None)
-        memory = _rows["memory"]
-        for batch in sliced(batches, 1024):
+        memory = kept("langid" + name, lambda: WordRows(crf.emissions, len(names)) if len(names) else None)
+        for batch in sliced(batches, 512):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             pred, score, words = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for a, b in grouped(texts, BLOCK_WORDS) if len(names) else ():

@@ -18,12 +18,14 @@ get equal results; other columns are ignored; of several labels for an id the la
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_rows, sliced
+from ledgerloom.llm.common import kept, map_rows, sliced
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 from ledgerloom.llm.langid import pick
 
@@ -224,9 +226,6 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, *, epoc
     return model
 
 
-_rows: dict[str, object] = {}
-
-
 def score(
     df: DataFrame, labels: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", key_col: str = "doc_id", label_col: str = "toxic", train_chars: int = 2_500_000
 ) -> DataFrame:
@@ -243,18 +242,16 @@ def score(
     chosen = texts.join(F.broadcast(picked.groupBy("__id", "hash").agg(F.max("label").alias("label"))), ["__id", "hash"]).select("text", "label") if held else None
     rows = sorted(chosen.collect(), key=lambda r: (r["text"], r["label"])) if held else []
     model = fit([r["text"] for r in rows], [r["label"] for r in rows], held.get(1, 0) / max(1, sum(held.values())))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
         model = shared.value
-        if model.net is not None and _rows.get("model") is not model:
-            _rows.clear()
-            _rows.update(model=model, memory=WordRows(model.evidence, INPUTS))
-        for batch in sliced(batches, 1024):
+        memory = kept("toxicity" + name, lambda: WordRows(model.evidence, INPUTS))
+        for batch in sliced(batches, 512):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             out, count, top = np.full(len(texts), model.share), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for a, b in grouped(texts, BLOCK_WINDOWS * WINDOW) if model.net is not None else ():
-                logits, owner = window_logits(model.net, *_rows["memory"](texts[a:b]))
+                logits, owner = window_logits(model.net, *memory(texts[a:b]))
                 order = np.lexsort((-np.arange(len(owner)), logits))
                 best = np.zeros(b - a, np.int64)
                 best[owner[order]] = order
