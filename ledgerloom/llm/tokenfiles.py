@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
-from ledgerloom.llm.common import materialize, shared_path, sliced
+from ledgerloom.llm.common import kept, materialize, shared_path, sliced
 
 MAGIC = b"PFOR1\0"
 HEAD = struct.Struct("<6sHQQQq")
@@ -93,7 +93,8 @@ def write_blocks(ids: np.ndarray, lengths: np.ndarray, *, block: int = BLOCK, pe
     rows = padded.reshape(k, block)
     least = rows.min(1) if k else np.zeros(0, np.uint32)
     above = rows - least[:, None]
-    widths = np.sort(bit_widths(above), axis=1)[:, max(0, int(np.ceil(percentile * block)) - 1)] if k else np.zeros(0, np.int64)
+    rank = max(0, int(np.ceil(percentile * block)) - 1)
+    widths = bit_widths(np.partition(above, rank, axis=1)[:, rank]) if k else np.zeros(0, np.int64)
     parts: list[bytes] = [b""] * k
     index = np.zeros(k, INDEX)
     index["least"], index["width"] = least, widths
@@ -203,20 +204,18 @@ class ChunkEncoder:
 
     def learn(self, new: list[str]) -> None:
         words, known = self.words, self.known
-        pairs, rest = [], []
-        for chunk in new:
-            core = chunk.rstrip(MARKS)
-            if core.isalpha() and len(core) <= CHUNK_LETTERS:
-                pairs.append((chunk, core.lower() if core.isascii() else core, chunk[len(core) :]))
-            else:
-                rest.append(chunk)
+        cores = [c.rstrip(MARKS) for c in new]
+        plain = [core.isalpha() and len(core) <= CHUNK_LETTERS for core in cores]
+        rest = [c for c, p in zip(new, plain, strict=True) if not p]
+        chunks = [c for c, p in zip(new, plain, strict=True) if p]
+        cores = [core.lower() if core.isascii() else core for core, p in zip(cores, plain, strict=True) if p]
+        tails = [c[len(core) :] for c, core in zip(chunks, cores, strict=True)]
         if len(words) > MEMORY_CHUNKS:
             words.clear()
-        self.learn_words(list({core for _, core, _ in pairs if core not in words}))
-        tails = list({tail for _, _, tail in pairs})
-        of_tail = dict(zip(tails, self.encoded(tails), strict=True))
-        for chunk, core, tail in pairs:
-            known[chunk] = words[core] + of_tail[tail]
+        self.learn_words([w for w in set(cores) if w not in words])
+        kinds = list(set(tails))
+        of_tail = dict(zip(kinds, self.encoded(kinds), strict=True))
+        known.update(zip(chunks, [words[core] + of_tail[tail] for core, tail in zip(cores, tails, strict=True)], strict=True))
         known.update(zip(rest, self.encoded(rest), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -236,18 +235,11 @@ class ChunkEncoder:
         return out
 
 
-_loaded: dict[str, ChunkEncoder] = {}
-
-
 def loaded(source: str) -> ChunkEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hashlib.sha256(source.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ChunkEncoder(source)
-    return _loaded[key]
+    return kept("chunks" + hashlib.sha256(source.encode()).hexdigest(), lambda: ChunkEncoder(source))
 
 
 def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
