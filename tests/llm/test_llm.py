@@ -501,6 +501,20 @@ def test_neighbours_equal_brute_force(spark):
     assert neighbours.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(5)
+    a, b, c = np.linalg.qr(rng.normal(size=(32, 3)))[0].T
+    bases = [a, 0.93 * a + np.sqrt(1 - 0.93**2) * b, 0.89 * a - np.sqrt(1 - 0.89**2) * c, -a]
+    rows = [(100 * g + i, (base + rng.normal(size=32) * 0.012).tolist()) for g, base in enumerate(bases) for i in range((40, 30, 25, 20)[g])]
+    found = neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), threshold=0.9).collect()
+    x = neighbours.unit(np.array([v for _, v in rows]))
+    near = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    groups = brute_groups(list(range(len(x))), lambda i, j: near[i, j])
+    least = {g: min(rows[i][0] for i in range(len(x)) if groups[i] == g) for g in set(groups)}
+    assert near[:40, 40:70].all() and near[:40, 70:95].any() and not near[:40, 70:95].all()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found) == [(rows[i][0], near[i].sum(), least[groups[i]], rows[i][0] == least[groups[i]]) for i in range(len(x))]
+
+
 # Pages
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
