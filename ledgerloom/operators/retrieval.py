@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.sources.store import written
+
 # Sizes of chunks and of result lists, and what the parts of a rank weigh.
 CHUNK, OVERLAP, LEAST = 500, 100, 20
 K, FETCH, CUT, MARGIN, LAMBDA = 8, 30, 0.18, 0.12, 0.6
 WEIGHTS = {"semantic": 0.45, "lexical": 0.15, "rare": 0.20, "title": 0.10, "support": 0.05, "mmr": 0.05}
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 STOP_WORDS = ("무엇", "어떤", "어떻게", "알려줘", "알려주세요", "설명", "대해", "대한", "관련", "the", "and", "for", "what", "how")
+#: Queries of one pass over all chunks, chunks scored at a time, and results a task holds.
+QUERIES, SCORED, HELD = 4096, 1024, 2_000_000
 CONSTRAINTS = "제한|제외|불가|금지"
 
 
@@ -95,6 +100,110 @@ def top_k(queries: DataFrame, chunks: DataFrame, query_vector: str, vector: str,
     return local.drop("__task", "__r").withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k)
 
 
+def trimmed(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best of ``(query, label, chunk_id, score)`` for each query and label; ties to the smaller chunk."""
+    query, label, chunk, score = found
+    order = np.lexsort((chunk, -score, label, query))
+    query, label, chunk, score = (x[order] for x in found)
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (label[1:] != label[:-1])
+    start = np.flatnonzero(new)
+    keep = np.arange(len(query)) - start[np.cumsum(new) - 1] < k
+    return query[keep], label[keep], chunk[keep], score[keep]
+
+
+def search(queries: DataFrame, chunks: DataFrame, k: int = FETCH) -> DataFrame:
+    """``(query, label, chunk_id, score, rank)``: the ``k`` best of all chunks of each label, for each query of a set of any size.
+
+    ``queries(query, vector)`` go in blocks against all ``chunks(chunk_id, label, vector)``; ids and labels are longs. Each task
+    keeps the best it has met, so a pass returns at most ``k`` rows of each query, label and task. Scores are cosines
+    rounded to six digits before they are compared. Vectors that are null, zero or not finite, and pairs of other lengths, have no score.
+    """
+    spark = queries.sparkSession
+    fields = "query long, label long, chunk_id long, score double"
+
+    def units(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        rows: dict[int, list] = {}
+        for i, v in zip(ids, vectors, strict=True):
+            if v and None not in v:
+                x = np.asarray(v, float)
+                if np.isfinite(x).all() and x.any():
+                    rows.setdefault(len(x), []).append((i, x / np.linalg.norm(x)))
+        return {n: (np.array([i for i, _ in r], np.int64), np.stack([x for _, x in r])) for n, r in rows.items()}
+
+    def one_pass(shared):
+        def run(batches):
+            held = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, float))
+            for whole in batches:
+                for at in range(0, whole.num_rows, SCORED):
+                    batch = whole.slice(at, SCORED)
+                    chunk, label = (batch.column(i).to_numpy() for i in (0, 1))
+                    parts = [held]
+                    for n, (place, x) in units(range(batch.num_rows), batch.column(2).to_pylist()).items():
+                        if n not in shared.value:
+                            continue
+                        names, y = shared.value[n]
+                        scores = np.round(y @ x.T, 6)
+                        for one in np.unique(label[place]).tolist():
+                            of = np.flatnonzero(label[place] == one)
+                            s = scores[:, of]
+                            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+                            i, j = np.nonzero(s >= least[:, None])
+                            parts.append((names[i], np.full(len(i), one), chunk[place[of[j]]], s[i, j]))
+                    held = trimmed(tuple(np.concatenate(c) for c in zip(*parts, strict=True)), k)
+                    if len(held[0]) > HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["query", "label", "chunk_id", "score"])
+                        held = tuple(c[:0] for c in held)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=["query", "label", "chunk_id", "score"])
+
+        return run
+
+    order = Window.partitionBy("query", "label").orderBy(F.desc("score"), "chunk_id")
+    passes = max(1, -(-queries.count() // QUERIES))
+    out = None
+    for n in range(passes):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(passes)) == n).select("query", "vector").collect()
+        shared = spark.sparkContext.broadcast(units([r[0] for r in rows], [r[1] for r in rows]))
+        found = chunks.select("chunk_id", "label", "vector").mapInArrow(one_pass(shared), fields)
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if passes > 1:  # a pass is written before the next one's queries are sent
+            best = written(best, "hits")
+            shared.unpersist()
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def overlaps(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``(item_id, doc_id, overlap)`` of at least ``least`` between all ``queries(item_id, terms)`` and all ``texts(doc_id, terms)``.
+
+    Queries are broadcast as a list of items for each term; each text looks its terms up once.
+    """
+    rows = queries.where(F.size("terms") > 0).select("item_id", "terms").collect()
+    sizes = np.array([len(r["terms"]) for r in rows], float)
+    items: dict[str, list[int]] = {}
+    for i, r in enumerate(rows):
+        for term in r["terms"]:
+            items.setdefault(term, []).append(i)
+    shared = queries.sparkSession.sparkContext.broadcast(({t: np.array(x) for t, x in items.items()}, np.array([r["item_id"] for r in rows], np.int64), sizes))
+
+    def run(batches):
+        of, ids, sizes = shared.value
+        for batch in batches:
+            item, doc, share = [], [], []
+            for n, found in enumerate(batch.column(1).to_pylist()):
+                hits = [of[t] for t in found or () if t in of]
+                if hits:
+                    o = np.bincount(np.concatenate(hits), minlength=len(sizes)) / sizes
+                    some = np.flatnonzero(o >= least)
+                    item.append(ids[some])
+                    doc.append(np.full(len(some), n))
+                    share.append(o[some])
+            if item:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(item)), batch.column(0).take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(share))], names=["item_id", "doc_id", "overlap"])
+
+    return texts.select("doc_id", "terms").mapInArrow(run, "item_id long, doc_id long, overlap double")
+
+
 def relative_cut(scored: DataFrame, query: str, margin: float = CUT) -> DataFrame:
     best = scored.groupBy(query).agg(F.max("score").alias("__best"))
     return scored.join(best, query).where(F.col("score") >= F.col("__best") - margin).drop("__best")

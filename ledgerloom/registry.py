@@ -539,6 +539,52 @@ def _(spark, sf_dir):
     return retrieval.mmr(vector_hits(spark, sf_dir).join(vectors, "chunk_id"), "query")
 
 
+# The whole query set: every row whose id is divisible by 20, against all rows. Too slow in SQL; tests hold these against brute force.
+def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), F.col("embedding").alias("vector"))
+
+
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.search(all_queries(spark, sf_dir), all_chunks(spark, sf_dir).withColumn("label", F.lit(0).cast("long")))
+    return hits.select("query", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@register("vector_topk_all")
+def _(spark, sf_dir):
+    return all_hits(spark, sf_dir)
+
+
+@register("relative_cut_all")
+def _(spark, sf_dir):
+    return retrieval.relative_cut(all_hits(spark, sf_dir), "query").select("query", "chunk_id", "score", "rank")
+
+
+@register("per_source_best_all")
+def _(spark, sf_dir):
+    return retrieval.search(all_queries(spark, sf_dir), all_chunks(spark, sf_dir), k=1).select("query", "label", "chunk_id", "score")
+
+
+@register("merge_queries_all")
+def _(spark, sf_dir):
+    return retrieval.merge_queries(all_hits(spark, sf_dir), "query")
+
+
+@register("mmr_all")
+def _(spark, sf_dir):
+    return retrieval.mmr(all_hits(spark, sf_dir).join(all_chunks(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), "query")
+
+
+@register("lexical_overlap_all")
+def _(spark, sf_dir):
+    queries = read(spark, sf_dir, "benchmark").select("item_id", retrieval.terms(F.col("text")).alias("terms"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", retrieval.terms(F.col("text")).alias("terms"))
+    return retrieval.overlaps(queries, docs, 0.4).withColumn("overlap", F.round("overlap", 6))
+
+
 @register("chunk_split")
 def _(spark, sf_dir):
     return retrieval.split_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -154,3 +154,38 @@ def test_registered_queries_run(spark, name):
     from ledgerloom import registry
 
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+@pytest.mark.parametrize("block", [4096, 40])
+def test_searches_over_the_whole_query_set(spark, monkeypatch, block):
+    import numpy as np
+
+    from ledgerloom import registry
+
+    monkeypatch.setattr(retrieval, "QUERIES", block)
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in table], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, labels, wanted, best = [r["vec_id"] for r in table], [r["label"] for r in table], [], {}
+    for i in range(len(ids)):
+        if ids[i] % 20 == 0:
+            order = sorted((-s, c, label) for s, c, label in zip(np.round(x @ x[i], 6).tolist(), ids, labels, strict=True))
+            wanted += [(ids[i], c, -s, n + 1) for n, (s, c, _) in enumerate(order[:30])]
+            for s, c, label in order:
+                best.setdefault((ids[i], label), (c, -s))
+    run = lambda name: registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, run("vector_topk_all").collect())) == sorted(wanted) and len({w[0] for w in wanted}) > 5
+    assert {(r["query"], r["label"]): (r["chunk_id"], r["score"]) for r in run("per_source_best_all").collect()} == best
+    assert {r["query"] for r in run("mmr_all").collect()} == {r["query"] for r in run("relative_cut_all").collect()} == {w[0] for w in wanted}
+    assert {r["chunk_id"] for r in run("merge_queries_all").collect()} == {w[1] for w in wanted}
+
+
+def test_lexical_overlap_of_all_items(spark):
+    from ledgerloom import registry
+
+    folder = "/root/testdata/sf0.001"
+    terms = lambda name, key: {r[0]: set(r[1]) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, retrieval.terms(F.col("text"))).collect() if r[1]}
+    items, docs = terms("benchmark", "item_id"), terms("documents", "doc_id")
+    want = {(i, d, round(len(q & t) / len(q), 6)) for i, q in items.items() for d, t in docs.items() if len(q & t) / len(q) >= 0.4}
+    found = [tuple(r) for r in registry.QUERIES["lexical_overlap_all"](spark, folder).collect()]
+    assert set(found) == want and len(found) == len(want) and max(i for i, _, _ in found) > 4
