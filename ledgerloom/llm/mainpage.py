@@ -7,7 +7,7 @@ under the same element are tied by smoothness edges, stronger the closer they st
 separates content from boilerplate; content blocks are joined by two newlines.
 
 Edge cases: null, empty and text-free pages give the empty string and 0; unclosed and stray tags, comments and
-raw-text elements are read as browsers do, as far as text is concerned; pages of any length are read whole; repeated rows
+raw-text elements are read as browsers do, as far as text is concerned; drawings (svg) have no text, formulas keep theirs; pages of any length are read whole; repeated rows
 give equal results; empty tables give empty results; other columns are ignored.
 """
 
@@ -30,16 +30,22 @@ _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object select option button head-title".split()) - {"head-title"}
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
 )
+#: Controls and fallbacks: blocks of their own that leave an open paragraph open. Those left open end before a block that they can't hold.
+CONTROLS = frozenset("option optgroup select datalist button object".split())
+_HOLDS = {"option": frozenset(), "optgroup": frozenset(["option"]), "select": frozenset(["option", "optgroup", "hr"]), "datalist": frozenset(["option"]), "button": frozenset(["div", "object"]), "object": (BLOCKS | CONTROLS) - {"article", "main"}}
+_EMPTY = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
+#: Tags of HTML that end an open svg.
+_LEAVES_SVG = (BLOCKS | frozenset("a b big br code em embed font i img s small span strike strong sub sup tt u var".split())) - frozenset("a html caption fieldset".split())
 #: An opening tag of a key ends an open element of its set, up to one of ``_SCOPES``.
 _CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"html", "head", "body", "tr", "tbody", "thead", "tfoot", "caption"}}
 _CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _CLOSES |= {t: frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"]) for t in ("h1", "h2", "h3", "h4", "h5", "h6")}
 _SCOPES = frozenset("table ul ol dl body html article section main div aside nav header footer form blockquote".split())
-BOILER_TAGS = {"nav": -7.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "head": -20.0, "fieldset": -4.0, "legend": -4.0}
+BOILER_TAGS = {"nav": -7.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "head": -20.0, "fieldset": -4.0, "legend": -4.0, "option": -14.0, "optgroup": -14.0, "select": -14.0, "datalist": -20.0, "button": -14.0, "object": -6.0}
 CONTENT_TAGS = {"article": 4.0, "main": 3.0}
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside rail footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations more trending popular comment comments commentlist respond reply replies disqus discussion widget widgets popup modal overlay toolbar pagination pager tags taglist copyright legal disclaimer search skip print byline".split()
@@ -84,6 +90,30 @@ def named(attributes: str, tag: str) -> float:
     return score
 
 
+def after_svg(page: str, at: int) -> int:
+    """Where an svg that opened before ``at`` ends: past its end tag, or before a tag of HTML that can't stand in it."""
+    depth, foreign = 1, 0
+    while (lt := page.find("<", at)) >= 0:
+        m = _TOKEN.match(page, lt)
+        if not m:
+            at = lt + 1
+            continue
+        at, tag = m.end(), (m[2] or "").lower()
+        empty = m[2] is not None and bool(_EMPTY.search(m[3]))
+        if tag == "svg":
+            depth += -1 if m[1] else 0 if empty else 1
+            if not depth:
+                return at
+        elif tag == "foreignobject":
+            foreign = max(0, foreign + (-1 if m[1] else 0 if empty else 1))
+        elif tag in ("script", "style") and not m[1] and not empty:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = close.end() if close else at
+        elif not foreign and tag in _LEAVES_SVG and (not m[1] or tag in BLOCKS):
+            return lt
+    return len(page)
+
+
 def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
     """``(text, element, share of link text, tag)`` of each block, in page order."""
     root = Element("#", "", None, 0)
@@ -130,7 +160,7 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
                 in_link = max(0, in_link - 1)
             elif tag in ("td", "th"):
                 text(" ")
-            if tag in BLOCKS:
+            if tag in BLOCKS or tag in CONTROLS:
                 k = len(stack) - 1
                 while k and stack[k].tag != tag:
                     k -= 1
@@ -138,6 +168,10 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
                     flush()
                     del stack[k:]
             continue
+        if tag == "svg":
+            if not _EMPTY.search(m[3]):
+                at = after_svg(page, at)
+            continue
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
@@ -146,9 +180,11 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
             text(" ")
         elif tag == "a":
             in_link += 1
-        if tag in BLOCKS:
+        if tag in BLOCKS or tag in CONTROLS:
             flush()
             in_link = 0
+            while stack[-1].tag in CONTROLS and tag not in _HOLDS[stack[-1].tag]:
+                stack.pop()
             closes = _CLOSES.get(tag)
             if closes:
                 k = len(stack) - 1
@@ -159,7 +195,7 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
             elif tag == "body":
                 while len(stack) > 1 and stack[-1].tag == "head":
                     stack.pop()
-            if tag not in VOID:
+            if tag not in VOID and not (tag in CONTROLS and _EMPTY.search(m[3])):
                 number += 1
                 stack.append(Element(tag, m[3], stack[-1], number))
     flush()

@@ -530,6 +530,15 @@ def test_main_text(spark):
     assert (found[2]["text"], found[3]["n_chars"]) == ("", 0) and found[4]["n_chars"] == 199_999
 
 
+@pytest.mark.parametrize(
+    "before",
+    ["<datalist><option value=a><option value=b></datalist>", '<form><input><option value="a"/></form>', '<option value="a" />', '<div><svg viewBox="0 0 1 1"/></div>', "<svg/>", "<math/>", "<p><math/></p>", "<select><option>One<option>Two", "<button>Share", '<object data="x"/>', "<div><svg><path d='M0 0'></div>", "<svg><svg><text>Icon</text></svg></svg>"],
+)
+def test_articles_after_open_tags_are_kept(before):
+    page = f"<html><body>{before}<article><h1>A title of it</h1><p>First paragraph of the article, which is long enough to be read.</p><p>The formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds for all <svg><text>Icon</text></svg>of them.</p><button>Share this</button><select><option>One<option>Two</select></article></body></html>"
+    assert mainpage.extract(page) == ["A title of it", "First paragraph of the article, which is long enough to be read.", "The formula x=1 holds for all of them."]
+
+
 def test_minimum_cut_equals_brute_force():
     rng = random.Random(8)
     for _ in range(60):
