@@ -7,8 +7,8 @@ the share of the template's words that are matched; matches of at least ``covera
 
 Stretches come from an exact bound: a stretch can't reach the coverage unless that many of the template's
 words, repeats included, occur in a window of it as long as the template and the words that may be missing
-between them. Windows that pass are joined to runs; in long runs, stretches that overlap by three quarters are
-aligned. Overlapping matches are settled by coverage, then by matched words, then by place and name.
+between them. Windows that pass are joined to runs; in a run, the stretch from every word that can be the first of a match
+is aligned, so each occurrence within the bound lies whole in the stretch that begins with it. Overlapping matches are settled by coverage, then by matched words, then by place and name.
 
 Edge cases: null and empty texts and texts without matches have an empty list; templates without words never match; a
 licence that a text repeats is reported at each place; texts of any length are scanned whole; empty tables give
@@ -126,6 +126,28 @@ class Scanner:
                     out.append([start, i + 1])
         return [(a, b) for a, b in out]
 
+    def starts(self, name: str, words: list[bytes], a: int, b: int) -> list[int]:
+        """Places of a run at which a match can begin: a word that has enough of the template after it, in a stretch with enough of its words."""
+        template, counts, needed = self.templates[name], self.counts[name], self.needed[name]
+        size = 2 * len(template) - needed + 4
+        first = frozenset(template[: len(template) - needed + 1])
+        inside: Counter = Counter()
+        have, end, out = 0, a, []
+        for start in range(a, b):
+            while end < min(b, start + size):
+                w = words[end]
+                if w in counts:
+                    inside[w] += 1
+                    have += inside[w] <= counts[w]
+                end += 1
+            w = words[start]
+            if have >= needed and (w in first or start == a):
+                out.append(start)
+            if w in counts:
+                have -= inside[w] <= counts[w]
+                inside[w] -= 1
+        return out
+
     def scan(self, words: list[bytes]) -> list[tuple[float, int, str, int, int]]:
         """``(coverage, matched words, template, first word, last word + 1)`` of each match, in text order."""
         held = self.vocabulary.intersection(words)
@@ -135,11 +157,19 @@ class Scanner:
                 continue
             size = 2 * len(template) - self.needed[name] + 4
             for a, b in self.runs(name, words):
-                step = max(1, len(template) // 4)
-                for start in range(a, max(a + 1, b - self.needed[name] + 1), step) if b - a > len(template) else (a,):
-                    match = patience(template, words[start : min(b, start + size)])
-                    if len(match) >= self.needed[name]:
+                past = a
+                for start in self.starts(name, words, a, b):
+                    if start < past:
+                        continue
+                    end = min(b, start + size)
+                    while end - start >= self.needed[name]:  # what lies before a match may hold another one
+                        match = patience(template, words[start:end])
+                        if len(match) < self.needed[name]:
+                            break
                         found.append((len(match) / len(template), len(match), name, start + match[0][1], start + match[-1][1] + 1))
+                        if len(match) == len(template) == match[-1][1] - match[0][1] + 1:
+                            past = max(past, found[-1][4])  # nothing that overlaps a verbatim notice can stand beside it
+                        end = found[-1][3]
         kept: list[tuple[float, int, str, int, int]] = []
         for m in sorted(set(found), key=lambda m: (-m[0], -m[1], m[4] - m[3], m[3], m[2])):
             if all(m[4] <= k[3] or m[3] >= k[4] for k in kept):

@@ -475,6 +475,24 @@ def test_license_scan(spark, docs, empty):
     assert len(licenses.scan_documents(docs).collect()) == docs.count() and licenses.scan_documents(empty).collect() == []
 
 
+@pytest.mark.parametrize(("added", "replaced"), [(0, 12), (10, 4), (20, 8), (20, 12)])
+def test_changed_notices_behind_common_words(added, replaced):
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    template = scanner.templates["MIT-text"]
+    for seed in range(12):
+        rng = random.Random(seed)
+        words = list(template)
+        for i in rng.sample(range(1, len(words) - 1), replaced):
+            words[i] = b"q%d" % i
+        for i in range(added):
+            words.insert(rng.randint(1, len(words) - 1), b"z%d" % i)
+        prose = [rng.choice([b"the", b"of", b"to", b"in", b"and", b"or", b"a", b"w%d" % i]) for i in range(30 + 7 * seed)]
+        least = len(licenses.patience(template, words)) / len(template)
+        assert least >= 0.8
+        found = [m for m in scanner.scan([*prose, *words, *prose]) if m[2] == "MIT-text"]
+        assert len(found) == 1 and found[0][0] >= least and found[0][4] >= len(prose) + len(words) and found[0][3] <= len(prose)
+
+
 # Near-duplicate vectors
 
 
