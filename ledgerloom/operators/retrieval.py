@@ -14,6 +14,7 @@ from ledgerloom.sources.store import written
 CHUNK, OVERLAP, LEAST = 500, 100, 20
 K, FETCH, CUT, MARGIN, LAMBDA = 8, 30, 0.18, 0.12, 0.6
 WEIGHTS = {"semantic": 0.45, "lexical": 0.15, "rare": 0.20, "title": 0.10, "support": 0.05, "mmr": 0.05}
+TITLED = 0.20
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
 STOP_WORDS = ("무엇", "어떤", "어떻게", "알려줘", "알려주세요", "설명", "대해", "대한", "관련", "the", "and", "for", "what", "how")
 #: Queries of one pass over all chunks, chunks scored at a time, and results a task holds.
@@ -222,28 +223,61 @@ def merge_queries(scored: DataFrame, query: str) -> DataFrame:
 def rerank(candidates: DataFrame, query: str, k: int = K, margin: float = MARGIN) -> DataFrame:
     """Weighted ranks of a query's candidates ``(query, chunk_id, score, query_terms, text_terms, title_terms, support, mmr)``.
 
-    Candidates are at most some dozens for each query, so a window per query is small.
+    ``more_terms``, an array of the terms of each expansion query, and ``section_intent`` may be there too: lexical and title parts
+    are those of the best query, a titled chunk gains ``TITLED`` under a section intent. Those within ``margin`` of the best stay; where
+    a title holds half of a query's terms, only those that match by title or by a quarter of the terms. The best chunk of each expansion query that
+    holds half of its terms is kept, in place of the last others. Candidates are at most some dozens for each query, so a window per query is small.
     """
+    have = candidates.columns
+    if "more_terms" not in have:
+        candidates = candidates.withColumn("more_terms", F.array().cast("array<array<string>>"))
+    if "section_intent" not in have:
+        candidates = candidates.withColumn("section_intent", F.lit(False))
     w = Window.partitionBy(query)
     low, high = F.min("score").over(w), F.max("score").over(w)
-    semantic = F.coalesce(F.try_divide(F.col("score") - low, high - low), F.lit(1.0))
+    semantic = F.when(high - low > 1e-9, (F.col("score") - low) / (high - low)).otherwise(1.0)
     exploded = candidates.select(query, "chunk_id", F.explode(F.array_intersect("query_terms", "text_terms")).alias("term"))
     held = exploded.groupBy(query, "term").agg(F.count("*").alias("df"))
     rare = exploded.join(held, [query, "term"]).groupBy(query, "chunk_id").agg(F.sum(F.lit(1.0) / F.col("df")).alias("rare_sum"))
-    total = held.groupBy(query).agg(F.sum(F.lit(1.0) / F.col("df")).alias("rare_total"))
+    # A term that no candidate holds weighs one.
+    total = held.groupBy(query).agg(F.sum(F.lit(1.0) / F.col("df")).alias("rare_held"), F.count("*").alias("n_held"))
+    queries = F.concat(F.array("query_terms"), "more_terms")
     parts = {
         "semantic": semantic,
-        "lexical": overlap(F.col("query_terms"), F.col("text_terms")),
-        "rare": F.coalesce(F.try_divide(F.col("rare_sum"), F.col("rare_total")), F.lit(0.0)),
-        "title": overlap(F.col("query_terms"), F.col("title_terms")),
+        "lexical": F.array_max(F.transform(queries, lambda q: overlap(q, F.col("text_terms")))),
+        "rare": F.coalesce(F.try_divide(F.col("rare_sum"), F.col("rare_held") + F.size("query_terms") - F.col("n_held")), F.lit(0.0)),
+        "title": F.array_max(F.transform(queries, lambda q: overlap(q, F.col("title_terms")))),
         "support": F.col("support"),
         "mmr": F.col("mmr"),
     }
     joined = candidates.join(rare, [query, "chunk_id"], "left").join(total, query, "left")
-    ranked = joined.withColumn("rank_score", sum(part * WEIGHTS[name] for name, part in parts.items()))
-    order = Window.partitionBy(query).orderBy(F.desc("rank_score"), "chunk_id")
-    kept = ranked.withColumn("best", F.max("rank_score").over(w)).where(F.col("rank_score") >= F.col("best") - margin * 5)
-    return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(query, "chunk_id", "score", "rank_score", "rank")
+    titled = F.when(F.col("section_intent") & (F.size("title_terms") > 0), TITLED).otherwise(0.0)
+    scored = joined.withColumn("rank_score", sum(part * WEIGHTS[name] for name, part in parts.items()) + titled)
+    scored = scored.select(query, "chunk_id", "score", "rank_score", parts["title"].alias("title"), parts["lexical"].alias("lexical"), F.transform("more_terms", lambda q: overlap(q, F.col("text_terms"))).alias("shares"))
+
+    def choose(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["rank_score", "chunk_id"], ascending=[False, True]).reset_index(drop=True)
+        ok = frame["rank_score"] >= frame["rank_score"].iloc[0] - margin
+        if (frame["title"] >= 0.5).any():
+            ok &= (frame["title"] > 0) | (frame["lexical"] >= 0.25)
+        picked, reserved = frame.index[ok].tolist()[:k], set()
+        shares = np.array(frame["shares"].tolist(), float).reshape(len(frame), -1)
+        for column in shares.T:
+            rest = [i for i in range(len(frame)) if i not in picked and column[i] >= 0.5]
+            if not rest:
+                continue
+            if len(picked) >= k:
+                last = next((i for i in reversed(picked) if i not in reserved), None)
+                if last is None:
+                    continue
+                picked.remove(last)
+            best = max(rest, key=lambda i, column=column: (column[i], -i))
+            picked.append(best)
+            reserved.add(best)
+        return frame.loc[picked, [query, "chunk_id", "score", "rank_score"]].assign(rank=range(1, len(picked) + 1))
+
+    kinds = {c: candidates.schema[c].dataType.simpleString() for c in (query, "chunk_id", "score")}
+    return scored.groupBy(query).applyInPandas(choose, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", rank_score double, rank int")
 
 
 def mmr(candidates: DataFrame, query: str, k: int = K, weight: float = LAMBDA) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names
@@ -18,6 +18,7 @@ from ledgerloom.plans.execute import execute
 from ledgerloom.plans.model import FilterCondition, QueryPlan, SortCondition
 from ledgerloom.plans.table import POSITION, ColumnMeaning, TableRef
 from ledgerloom.sources import catalog, grids
+from ledgerloom.sources.store import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -530,7 +531,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     none = F.array().cast("array<string>")
     hits = vector_hits(spark, sf_dir).select("query", "chunk_id", "score", none.alias("query_terms"), none.alias("text_terms"), none.alias("title_terms"), F.lit(0.0).alias("support"), (F.lit(1.0) / F.col("rank")).alias("mmr"))
-    return retrieval.rerank(hits, "query").select("query", "chunk_id", "score", F.round("rank_score", 6).alias("rank_score"))
+    return retrieval.rerank(hits, "query", margin=0.6).select("query", "chunk_id", "score", F.round("rank_score", 6).alias("rank_score"))
 
 
 @register("mmr")
@@ -578,6 +579,32 @@ def _(spark, sf_dir):
     return retrieval.mmr(all_hits(spark, sf_dir).join(all_chunks(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), "query")
 
 
+@register("rerank_all")
+def _(spark, sf_dir):
+    """Texts are the documents of the same ids: the first line is a chunk's title and a query's question, its second line an expansion query."""
+    line = lambda n: F.coalesce(F.try_element_at(F.split("text", r"\s*\n\s*"), F.lit(n)), F.lit(""))
+    docs = read(spark, sf_dir, "documents")
+    hits = written(all_hits(spark, sf_dir).drop("rank"), "hits")
+    found_docs = docs.join(hits.select(F.col("chunk_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = found_docs.select(F.col("doc_id").alias("chunk_id"), retrieval.terms(F.col("text")).alias("text_terms"), retrieval.terms(line(1)).alias("title_terms"))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), retrieval.terms(line(1)).alias("query_terms"), F.filter(F.array(retrieval.terms(line(2))), lambda q: F.size(q) > 0).alias("more_terms"))
+    order = retrieval.mmr(hits.join(all_chunks(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), "query")
+    found = hits.join(order, ["query", "chunk_id"], "left").join(texts, "chunk_id", "left").join(asked, "query", "left")
+    none = F.array().cast("array<string>")
+    found = found.withColumns({c: F.coalesce(c, none) for c in ("text_terms", "title_terms", "query_terms")} | {"more_terms": F.coalesce("more_terms", F.array().cast("array<array<string>>"))})
+    # Only words that a query has count; the others needn't travel on.
+    asked_for = F.concat("query_terms", F.flatten("more_terms"))
+    titles = F.col("title_terms")
+    found = found.withColumn("text_terms", F.array_intersect("text_terms", asked_for)).withColumn("title_terms", F.when(F.size(F.array_intersect(titles, asked_for)) > 0, F.array_intersect(titles, asked_for)).otherwise(F.slice(titles, 1, 1)))
+    found = written(found, "candidates")
+    # As candidates are found: within the relative cut of the question, or by words of a query.
+    near = F.col("score") >= F.max("score").over(Window.partitionBy("query")) - retrieval.CUT
+    own = (near | (retrieval.overlap(F.col("query_terms"), F.col("text_terms")) >= 0.4)).cast("int")
+    more = F.size(F.filter("more_terms", lambda q: retrieval.overlap(q, F.col("text_terms")) >= 0.4))
+    found = found.withColumn("queries", own + more).where("queries > 0").withColumns({"support": F.col("queries") / (1 + F.size("more_terms")), "mmr": F.coalesce(F.lit(1.0) / F.col("mmr_rank"), F.lit(0.0))})
+    return retrieval.rerank(found, "query").withColumn("rank_score", F.round("rank_score", 6))
+
+
 @register("lexical_overlap_all")
 def _(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select("item_id", retrieval.terms(F.col("text")).alias("terms"))

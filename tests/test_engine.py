@@ -189,3 +189,49 @@ def test_lexical_overlap_of_all_items(spark):
     want = {(i, d, round(len(q & t) / len(q), 6)) for i, q in items.items() for d, t in docs.items() if len(q & t) / len(q) >= 0.4}
     found = [tuple(r) for r in registry.QUERIES["lexical_overlap_all"](spark, folder).collect()]
     assert set(found) == want and len(found) == len(want) and max(i for i, _, _ in found) > 4
+
+
+def test_rerank_equals_plain_rules(spark):
+    import random
+
+    rng, rows, want = random.Random(3), [], []
+    words = [f"w{i}" for i in range(12)]
+    share = lambda q, t: len(set(q) & set(t)) / len(q) if q else 0.0
+    for query in range(30):
+        queries = [rng.sample(words, rng.randint(1, 5)) for _ in range(rng.randint(1, 4))]
+        intent, found = rng.random() < 0.3, []
+        for chunk in range(rng.randint(1, 25)):
+            found.append((query, chunk, round(rng.random(), 3), queries[0], queries[1:], rng.sample(words, rng.randint(0, 6)), rng.sample(words, rng.choice([0, 0, 1, 3])), rng.random(), rng.random(), intent))
+        rows += found
+        low, high = min(f[2] for f in found), max(f[2] for f in found)
+        df = {t: max(1, sum(t in f[5] for f in found)) for t in queries[0]}
+        ranked = []
+        for f in found:
+            title, lexical = max(share(q, f[6]) for q in queries), max(share(q, f[5]) for q in queries)
+            rare = sum(1 / df[t] for t in queries[0] if t in f[5]) / sum(1 / n for n in df.values())
+            s = 0.45 * ((f[2] - low) / (high - low) if high > low else 1) + 0.15 * lexical + 0.2 * rare + 0.1 * title + 0.05 * f[7] + 0.05 * f[8] + (0.2 if intent and f[6] else 0)
+            ranked.append((s, f, title, lexical))
+        ranked.sort(key=lambda r: (-r[0], r[1][1]))
+        strong = any(r[2] >= 0.5 for r in ranked)
+        picked = [r[1] for r in ranked if r[0] >= ranked[0][0] - 0.12 and (not strong or r[2] > 0 or r[3] >= 0.25)][:8]
+        kept = []
+        for q in queries[1:]:
+            rest = [r[1] for r in ranked if r[1] not in picked and share(q, r[1][5]) >= 0.5]
+            if rest:
+                if len(picked) >= 8:
+                    last = [f for f in picked if f not in kept][-1:]
+                    if not last:
+                        continue
+                    picked.remove(last[0])
+                picked.append(max(rest, key=lambda f, q=q: share(q, f[5])))
+                kept.append(picked[-1])
+        want += [(query, f[1], n + 1) for n, f in enumerate(picked)]
+    frame = spark.createDataFrame(rows, "query int, chunk_id int, score double, query_terms array<string>, more_terms array<array<string>>, text_terms array<string>, title_terms array<string>, support double, mmr double, section_intent boolean")
+    assert sorted((r["query"], r["chunk_id"], r["rank"]) for r in retrieval.rerank(frame, "query").collect()) == sorted(want)
+
+
+def test_rerank_over_real_terms(spark):
+    from ledgerloom import registry
+
+    found = registry.QUERIES["rerank_all"](spark, "/root/testdata/sf0.001").collect()
+    assert len({r["query"] for r in found}) > 5 and all(r["query"] % 20 == 0 and r["rank"] <= 8 for r in found)
