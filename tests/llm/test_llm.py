@@ -533,6 +533,19 @@ def test_links_between_saturated_groups(spark):
     assert sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in found) == [(rows[i][0], near[i].sum(), least[groups[i]], rows[i][0] == least[groups[i]]) for i in range(len(x))]
 
 
+def test_recall_is_audited_after_every_attempt(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    calls = []
+    monkeypatch.setattr(neighbours, "audited", lambda vectors, sample, threshold: calls.append(sample.count()) or vectors.selectExpr("u", "7L AS n"))
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.near_duplicates(df, attempts=1)
+    assert len(calls) == 2 and min(calls) == 50
+    some = spark.range(20_000).withColumnRenamed("id", "u")
+    assert 100 < some.where(neighbours.in_sample(200, 20_000)).count() < 320 and some.where(neighbours.in_sample(200, 10**12)).count() == 0
+    assert some.where(neighbours.in_sample(200 * 10**12, 2 * 10**16)).count() > 100
+
+
 # Pages
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
