@@ -9,15 +9,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where it is unset a temporary folder stands in on a local master; elsewhere executors couldn't read it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts its lineage and survives lost executors."""
+    """``df`` as a written table: cuts its lineage and survives lost executors. ``discard`` removes it."""
     path = f"{shared_root(df.sparkSession)}/ledgerloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._ledgerloom_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``written`` wrote and nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_ledgerloom_path", None)
+        if path:
+            spark = df.sparkSession
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
