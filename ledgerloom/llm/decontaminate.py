@@ -1,16 +1,16 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all items.
 
 Words are runs of digits, letters and non-ASCII characters after lower-casing A-Z. A window is
-``window`` consecutive words of an item, or the whole of a shorter item. Windows go into the
-automaton as their words between single spaces; a text is normalised the same way and scanned
+``window`` consecutive words of an item, or the whole of a shorter item. The items' words are numbered, and windows go into the
+automaton as two symbols for each word, so it has few nodes and few ways out of each; a text is normalised and numbered the same way and scanned
 once. Ends of matches map back to word numbers, and those to offsets in the original text.
 
 The automaton is built from the items only and its size is checked: items beyond
-``pattern_bytes`` form further automata, each scanned in a pass of its own over what the previous
+``pattern_words`` words of windows (about 100 bytes of automaton each) form further automata, each scanned in a pass of its own over what the previous
 pass has written.
 
-Edge cases: null and empty texts have no words and no hits; items without words match nothing;
-repeated items and item ids count once; a null item id counts as the empty string; an empty table
+Edge cases: null and empty texts have no words and no hits; texts of any length are scanned whole; items without words match nothing;
+repeated items and item ids count once; a null item id counts as the empty string; where windows overlap each word counts once; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -32,8 +32,8 @@ from ledgerloom.llm.common import kept, materialize, sliced
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bytes of windows in one automaton.
-PATTERN_BYTES = 32_000_000
+#: Words of windows in one automaton.
+PATTERN_WORDS = 2_500_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,48 +45,58 @@ def windows(text: str | None, width: int) -> list[tuple[bytes, ...]]:
     return [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
 
 
-def shards(items: DataFrame, width: int, pattern_bytes: int, item_col: str, text_col: str):
-    """Dictionaries from window to item ids, each of at most ``pattern_bytes`` unless one item is longer."""
-    part: dict[bytes, list[str]] = {}
+def shards(items: DataFrame, width: int, pattern_words: int, item_col: str, text_col: str):
+    """Lists of (item id, text), each of at most ``pattern_words`` words of windows unless one item is longer."""
+    part: list[tuple[str, str]] = []
     size = 0
     for row in items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), text_col).toLocalIterator():
-        for w in windows(row[1], width):
-            key = b" " + b" ".join(w) + b" "
-            size += len(key)
-            part.setdefault(key, []).append(row[0])
-        if size > pattern_bytes:
+        n = len(words_of(row[1]))
+        cost = max(1, n - width + 1) * min(n, width)
+        if part and size + cost > pattern_words:
             yield part
-            part, size = {}, 0
+            part, size = [], 0
+        part.append((row[0], row[1]))
+        size += cost
     yield part
 
 
-def automaton(part: dict[bytes, list[str]]):
-    """The automaton of a broadcast dictionary."""
-    auto = ahocorasick.Automaton()
-    for pattern, items in part.items():
-        auto.add_word(pattern.decode("latin-1"), (len(pattern), pattern.count(b" ") - 1, frozenset(items)))
-    if len(auto):
-        auto.make_automaton()
-    return auto
-
-
-def scan(auto, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
-    """Which words lie in an occurring window (None if none does), and the items of those windows."""
-    if not words or not len(auto):
-        return None, set()
-    hay = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    found = list(auto.iter(hay))
-    if not found:
-        return None, set()
-    starts = np.cumsum([0] + [len(w) + 1 for w in words])
-    delta = np.zeros(len(words) + 1, np.int64)
-    items: set[str] = set()
-    first = np.searchsorted(starts, [end - size + 1 for end, (size, _, _) in found])
-    for at, (_, (_, count, ids)) in zip(first.tolist(), found, strict=True):
-        delta[at] += 1
-        delta[at + count] -= 1
-        items |= ids
-    return np.cumsum(delta)[:-1] > 0, items
+class Automaton:
+    """The automaton of some items."""
+
+    def __init__(self, items: list[tuple[str, str]], width: int):
+        self.names = [name for name, _ in items]
+        words = dict.fromkeys(w for _, text in items for w in words_of(text))
+        base = max(1, int(np.ceil(np.sqrt(len(words)))))
+        # First and second symbols come from ranges of their own, so no match begins inside a word.
+        self.symbols = {w: chr(1 + i // base) + chr(1 + base + i % base) for i, w in enumerate(words)}
+        self.auto = ahocorasick.Automaton()
+        for number, (_, text) in enumerate(items):
+            for window in windows(text, width):
+                pattern = "".join([self.symbols[w] for w in window])
+                held = self.auto.get(pattern, None)
+                if held is None:
+                    self.auto.add_word(pattern, (len(window), {number}))
+                else:
+                    held[1].add(number)
+        if len(self.auto):
+            self.auto.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray | None, set[str]]:
+        """Which words lie in an occurring window (None if none does), and the items of those windows."""
+        if not words or not len(self.auto):
+            return None, set()
+        get = self.symbols.get
+        found = list(self.auto.iter("".join([get(w, "\0\0") for w in words])))
+        if not found:
+            return None, set()
+        delta = np.zeros(len(words) + 1, np.int64)
+        items: set[int] = set()
+        for end, (count, numbers) in found:
+            last = (end + 1) // 2
+            delta[last - count] += 1
+            delta[last] -= 1
+            items |= numbers
+        return np.cumsum(delta)[:-1] > 0, {self.names[i] for i in items}
 
 
 def spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -97,12 +107,12 @@ def spans(text: str, hit: np.ndarray) -> list[dict]:
 
 
 def scan_documents(
-    df: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pattern_bytes: int = PATTERN_BYTES
+    df: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pattern_words: int = PATTERN_WORDS
 ) -> DataFrame:
     """Per document: ``n_words``, ``n_hit``, ``item_ids`` (sorted) and ``spans`` of the hit text."""
     spark = df.sparkSession
     out = df.select(F.col(id_col), F.col(text_col).alias("__text"), F.lit(None).cast("array<boolean>").alias("__hit"), F.lit(None).cast("array<string>").alias("__items"))
-    parts = shards(items, window, pattern_bytes, item_col, item_text_col)
+    parts = shards(items, window, pattern_words, item_col, item_text_col)
     part = next(parts)
     while part is not None:
         after = next(parts, None)
@@ -110,13 +120,13 @@ def scan_documents(
         shared, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
         def run(batches, shared=shared, name=name, last=last):
-            auto = kept("automaton" + name, lambda: automaton(shared.value))
+            auto = kept("automaton" + name, lambda: Automaton(shared.value, window))
             for batch in sliced(batches):
                 ids, texts, hits, items = (batch.column(i) for i in range(4))
                 rows = []
                 for text, was, names in zip(texts.to_pylist(), hits.to_pylist(), items.to_pylist(), strict=True):
                     words = words_of(text)
-                    hit, found = scan(auto, words)
+                    hit, found = auto.scan(words)
                     if was is not None:
                         hit = np.array(was, bool) if hit is None else hit | np.array(was, bool)
                     rows.append((text, len(words), hit, sorted(found | set(names or ()))))
