@@ -2,23 +2,24 @@
 
 A fingerprint's embedding is the bit count of each of its 32 two-bit segments, kept in unary
 (0 -> 00, 1 -> 01, 2 -> 11), so that the Manhattan distance of two embeddings is the bit count of
-their exclusive or. It never exceeds the Hamming distance. Two fingerprints within 2 bits
-differ by at most 1 in one half of the embedding, hence the range join: each fingerprint has a
-home cell per half, and probes that cell and those one step up in one coordinate. Pairs are
+their exclusive or. It never exceeds the Hamming distance. The grid has cells over both halves of the embedding. Two
+fingerprints within 2 bits either agree in one half and in one third of the other, or one of them lies one step up in one coordinate of
+the first half and they agree in one half of the second; hence each fingerprint has its home cells, and probes those one step up. Pairs are
 checked by the Manhattan bound first and then bit by bit.
 
-Cells with more than ``dense`` fingerprints are not joined pair by pair. All fingerprints that
-reach one are linked through the 65 values at most 1 bit away from them: two fingerprints share
-such a value exactly when they differ in 2 bits or fewer. This is exact, and its rows grow with the
-fingerprints, whatever the sizes of the groups.
+A cell of more than ``dense`` fingerprints is split by finer segments: of ``m`` groups of bits all but two must agree, so each
+fingerprint goes to one cell for each choice of the groups that do, with ``m`` growing until cells are thin. The finest cells leave 8
+bits open, so none holds more than 256 fingerprints that live in it, whatever the sizes of the groups.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other; rows with the same
 text or id each get a row; a null id is never a component's smallest id, so a component of
-null ids only has a null one; empty tables give empty results; other columns are ignored.
+null ids only has a null one; texts of any length are read whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -84,33 +85,53 @@ def unary(fp: str) -> str:
     return f"((({fp} | shiftrightunsigned({fp}, 1)) & {LOW}L) | shiftleft(({fp} & shiftrightunsigned({fp}, 1)) & {LOW}L, 1))"
 
 
-def links(fps: DataFrame, *, dense: int = 16) -> DataFrame:
-    """Edges ``(u, v)`` whose components are those of all pairs of ``fps(fp)`` within 2 bits."""
-    spark = fps.sparkSession
+def cells(fps: DataFrame) -> DataFrame:
+    """``(cell, role, fp)``: the grid cells of ``fps(fp)``. Role 0 meets its like, a probe (2) meets homes (1).
+
+    A cell is its kind, a half of the embedding and a part of the other half.
+    """
+    low, high = f"(e & {HALF}L)", "shiftrightunsigned(e, 32)"
+    cell = lambda kind, whole, part: f"shiftleft({kind}L, 56) | shiftleft({whole}, 16) | {part}"
+    thirds = [(0, 1023), (10, 1023), (20, 4095)]
+    like = [cell(kind * 3 + i, whole, f"(shiftrightunsigned({other}, {at}) & {mask}L)") for kind, (whole, other) in enumerate(((low, high), (high, low))) for i, (at, mask) in enumerate(thirds)]
+    halves = [(0, 65535), (16, 65535)]
+    home = [cell(6 + i, low, f"(shiftrightunsigned({high}, {at}) & {mask}L)") for i, (at, mask) in enumerate(halves)]
+    up = f"CASE (shiftright({low}, 2 * i) & 3) WHEN 0 THEN {low} | shiftleft(1L, 2 * i) WHEN 1 THEN {low} | shiftleft(2L, 2 * i) END"
+    steps = f"filter(transform(sequence(0, 15), i -> {up}), c -> c IS NOT NULL)"
+    probe = f"flatten(transform({steps}, c -> array({', '.join(cell(6 + i, 'c', f'(shiftrightunsigned({high}, {at}) & {mask}L)') for i, (at, mask) in enumerate(halves))})))"
     emb = fps.selectExpr("fp", f"{unary('fp')} AS e")
-    halves = emb.selectExpr("fp", "e", f"explode(array(e & {HALF}L, shiftrightunsigned(e, 32) | {1 << 32}L)) AS cell")
-    size = materialize(halves.groupBy("cell").count().where(F.col("count") > dense).select("cell"), "dense")
-    up = "CASE (shiftright(cell, 2 * i) & 3) WHEN 0 THEN cell | shiftleft(1L, 2 * i) WHEN 1 THEN cell | shiftleft(2L, 2 * i) END"
-    probes = halves.selectExpr("fp", "e", "cell AS own", f"explode(filter(concat(array(cell), transform(sequence(0, 15), i -> {up})), c -> c IS NOT NULL)) AS cell")
-    if size.isEmpty():
-        marked, homes, extra = probes.withColumn("many", F.lit(False)), halves.withColumn("many", F.lit(False)), None
-    else:
-        many = materialize(probes.join(size, "cell", "left_semi").select("fp").distinct(), "emitters")
-        flag = fps.join(many.withColumn("many", F.lit(True)), "fp", "left").select("fp", F.coalesce("many", F.lit(False)).alias("many"))
-        flag = materialize(flag, "flags")
-        emb = flag.selectExpr("fp", "many", f"{unary('fp')} AS e")
-        halves = emb.selectExpr("fp", "e", "many", f"explode(array(e & {HALF}L, shiftrightunsigned(e, 32) | {1 << 32}L)) AS cell")
-        marked = halves.selectExpr("fp", "e", "many", "cell AS own", f"explode(filter(concat(array(cell), transform(sequence(0, 15), i -> {up})), c -> c IS NOT NULL)) AS cell")
-        homes = halves.join(size, "cell", "left_anti")
-        near = many.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS near")
-        shared = near.groupBy("near").agg(F.min("fp").alias("v"), F.max("fp").alias("w")).where("v < w").select("near", "v")
-        extra = near.join(shared, "near").where("fp <> v").select(F.col("fp").alias("u"), "v")
-    a, b = marked.alias("a"), homes.alias("b")
-    pairs = a.join(
-        b,
-        F.expr("a.cell = b.cell AND NOT (a.many AND b.many) AND (a.own <> a.cell OR a.fp < b.fp) AND bit_count(a.e ^ b.e) <= 2 AND bit_count(a.fp ^ b.fp) <= 2"),
-    ).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
-    return pairs if extra is None else pairs.unionByName(extra)
+    parts = [(0, f"array({', '.join(like)})"), (1, f"array({', '.join(home)})"), (2, probe)]
+    rows = emb.selectExpr("fp", "explode(array(" + ", ".join(f"struct({role} AS role, {at} AS at)" for role, at in parts) + ")) AS x")
+    return rows.selectExpr("explode(x.at) AS cell", "x.role AS role", "fp")
+
+
+def split_cells(rows: DataFrame, groups: int) -> DataFrame:
+    """Rows of finer cells: two fingerprints within 2 bits agree in all but two of ``groups`` groups of bits."""
+    width = 64 // groups
+    parts = [((1 << width) - 1) << (width * i) for i in range(groups)]
+    masks = [sum(p for k, p in enumerate(parts) if k not in (i, j)) for i in range(groups) for j in range(i)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return rows.select("cell", "role", "fp", F.posexplode(F.array(*(F.lit(m).cast("long") for m in signed)))).selectExpr("xxhash64(cell, pos, fp & col) AS cell", "role", "fp")
+
+
+def matched(rows: DataFrame) -> DataFrame:
+    """Pairs within 2 bits that meet in a cell."""
+    condition = "a.cell = b.cell AND (a.role = 2 OR a.fp < b.fp) AND a.role + b.role IN (0, 3) AND bit_count({} ^ {}) <= 2 AND bit_count(a.fp ^ b.fp) <= 2"
+    pairs = rows.where("role <> 1").alias("a").join(rows.where("role <> 2").alias("b"), F.expr(condition.format(unary("a.fp"), unary("b.fp"))))
+    return pairs.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
+
+
+def links(fps: DataFrame, *, dense: int = 64) -> DataFrame:
+    """Edges ``(u, v)``: all pairs of ``fps(fp)`` within 2 bits, some of them more than once."""
+    rows, found = cells(fps), []
+    for groups in (4, 8, 16):
+        crowded = materialize(rows.where("role <> 2").groupBy("cell").count().where(F.col("count") > dense).select("cell"), "crowded")
+        if crowded.isEmpty():
+            break
+        found.append(matched(rows.join(crowded, "cell", "left_anti")))
+        rows = materialize(split_cells(rows.join(crowded, "cell", "left_semi"), groups), "split")
+    found.append(matched(rows))
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
