@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ledgerloom.sources.store import shared_root
+
 #: Rows of one Arrow batch that are decoded to Python objects at a time.
 SLICE_ROWS = 256
 
@@ -19,13 +21,8 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    return shared_root(spark)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -76,6 +73,57 @@ def split_of(column: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+#: What a row of a sample counts beside its characters, so that short rows are bounded too.
+ROW_COST = 64
+
+
+def hash_limit(rate: float) -> int:
+    """The signed 64-bit number up to which a share ``rate`` of all hashes lie; above the least one at every rate."""
+    return min(2**63 - 1, int(min(1.0, rate) * 2**64) - 2**63)
+
+
+def sample_keys(rows: DataFrame, chars: int) -> tuple[list[tuple], dict]:
+    """``(label, hash)`` of a sample of ``rows(label, hash, size)``, and the number of all rows of each label.
+
+    Rows are taken in the order of their hashes until a label's characters, with ``ROW_COST`` for each row, reach ``chars``;
+    rows that share a hash count as one. Texts of over a quarter of ``chars`` stand back, but a label that
+    has any row gets one, at every size of the table.
+    """
+    short = F.col("size") <= chars // 4
+    cost = F.col("size").cast("double") + ROW_COST
+    totals = rows.groupBy("label").agg(
+        F.sum(F.when(short, cost)).alias("n"), F.count(F.lit(1)).alias("rows"), F.min(F.when(short, F.col("hash"))).alias("least"), F.min("hash").alias("any")
+    ).collect()
+    if not totals:
+        return [], {}
+    near = F.lit(False)
+    for r in totals:
+        reach = F.col("hash") == r["any"] if r["least"] is None else short & (F.col("hash") <= max(r["least"], hash_limit(2 * chars / r["n"])))
+        near = near | (F.col("label").eqNullSafe(F.lit(r["label"])) & reach)
+    found = rows.where(near).groupBy("label", "hash").agg(F.max("size").alias("size")).collect()
+    left: dict = {}
+    keys = []
+    for r in sorted(found, key=lambda r: r["hash"]):
+        spent = left.get(r["label"], 0)
+        if not spent or 0 < spent + r["size"] + ROW_COST <= chars:
+            left[r["label"]] = spent + r["size"] + ROW_COST
+            keys.append((r["label"], r["hash"]))
+        else:
+            left[r["label"]] = chars + 1
+    missing = {r["label"] for r in totals} - {label for label, _ in keys}
+    if missing:
+        raise RuntimeError(f"no sample of labels {sorted(map(str, missing))}")
+    return keys, {r["label"]: r["rows"] for r in totals}
+
+
+def sampled(rows: DataFrame, keys: list[tuple], *columns: str) -> list:
+    """``columns`` of one row for each of ``keys``, which ``sample_keys`` has bounded."""
+    if not keys:
+        return []
+    chosen = rows.sparkSession.createDataFrame(keys, rows.select("label", "hash").schema)
+    return rows.join(F.broadcast(chosen), ["label", "hash"]).dropDuplicates(["label", "hash"]).select(*columns).collect()
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices, so that few texts at a time are Python objects."""
     for batch in batches:
@@ -83,6 +131,19 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def blocks_of(column: pa.Array, size: int) -> Iterator[pa.Array]:
+    """Slices of a string column of at most ``size`` bytes together; one longer text stands alone."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    start = n = 0
+    for i, length in enumerate(sizes):
+        if i > start and n + length > size:
+            yield column.slice(start, i - start)
+            start, n = i, 0
+        n += length
+    if start < len(sizes):
+        yield column.slice(start)
+
+
 def map_rows(df: DataFrame, id_col: str, text_col: str, fn: Callable, ddl: str) -> DataFrame:
     """``fn`` over Arrow batches of (id, text); it yields the id column and the columns of ``ddl``.
 

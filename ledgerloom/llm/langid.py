@@ -7,8 +7,9 @@ from forward-backward over the whole text: chunks of words are multiplied out si
 products chained per document, and the posteriors within each chunk follow exactly.
 A document's language has the largest expected number of words.
 
-The classifier is fitted on the driver on a sample of labelled rows of at most about
-``train_chars`` characters for each language, chosen by a hash of the id; prediction covers every word of every text.
+The classifier is fitted on the driver on a sample of labelled rows of at most ``train_chars`` characters for each
+language, chosen by a hash of id and text; a language that has any labelled row is in it at every size of the table.
+Texts of any number of words are learned from. Prediction covers every word of every text.
 
 Edge cases: null texts and texts without letters are ``und`` with score 0; equal expected counts go to the
 first language in alphabetical order; without labelled rows every text is ``und``; empty tables give empty
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept, map_rows, sliced
+from ledgerloom.llm.common import kept, map_rows, sample_keys, sampled, sliced
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 
 SIZES, BITS = (1, 2, 3, 4), 16
@@ -103,14 +104,13 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 8, length: int = 48
     if k < 2:
         return crf
     vocab: dict[str, int] = {}
-    runs, tags = [], []
+    runs, tags, parts = [], [], []
     for text, lang in zip(texts, langs, strict=True):
         ids = [vocab.setdefault(w, len(vocab)) for w in words_of(text)]
-        for at in range(0, len(ids) - 5, length):
+        for at in range(0, len(ids), length):
             run = ids[at : at + length]
-            if len(run) < length:
-                run = (run * (length // len(run) + 1))[:length]
-            runs.append(run)
+            parts.append(len(run) / length)  # a shorter run is repeated and weighs less
+            runs.append((run * (length // len(run) + 1))[:length])
             tags.append(labels.index(lang))
     if not runs:
         return crf
@@ -127,8 +127,8 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 8, length: int = 48
     run_ids, tag = np.array(runs), np.array(tags)
     rng = np.random.default_rng(seed)
     squares = [np.full(x.shape, 1e-2) for x in (crf.grams, crf.lexicon, crf.moves)]
-    share = np.bincount(tag, minlength=k)
-    weight = np.sqrt(share.mean() / np.maximum(share, 1))[tag]
+    share = np.bincount(tag, parts, k)
+    weight = np.sqrt(share.mean() / np.maximum(share, 1e-9))[tag] * np.array(parts)
     for _ in range(epochs):
         order = rng.permutation(len(run_ids))
         for at in range(0, len(order), batch):
@@ -183,19 +183,6 @@ def fit(texts: list[str], langs: list[str], *, epochs: int = 8, length: int = 48
     return crf
 
 
-def pick(sizes: DataFrame, chars: int) -> tuple[DataFrame, dict]:
-    """Rows of ``sizes(label, hash, size, ...)`` with about ``chars`` characters for each label at most.
-
-    A row's hash decides; also the number of all rows for each label.
-    """
-    totals = sizes.groupBy("label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    keep = F.lit(False)
-    bucket = F.pmod("hash", F.lit(1_000_000))
-    for r in totals:
-        keep = keep | ((F.col("label") == F.lit(r["label"])) & (bucket < int(min(1.0, chars / max(1, r["n"])) * 1_000_000)))
-    return sizes.where(keep), {r["label"]: r["rows"] for r in totals}
-
-
 def identify(
     df: DataFrame, train: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_chars: int = 400_000, word_labels: bool = False
 ) -> DataFrame:
@@ -204,9 +191,10 @@ def identify(
     ``train`` marks the rows whose languages may be learned. With ``word_labels`` there is also
     ``words array<string>``, the most probable language of each word in order.
     """
-    texts = df.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("label"), F.xxhash64(id_col, text_col).alias("hash"))
-    picked, _ = pick(texts.where("text IS NOT NULL AND label IS NOT NULL").withColumn("size", F.length("text")), train_chars)
-    rows = sorted(picked.select("text", "label").collect(), key=lambda r: (r["text"], r["label"]))
+    texts = df.where(train).select(F.col(text_col).alias("text"), F.col(lang_col).alias("label"), F.xxhash64(id_col, text_col).alias("hash"), F.length(text_col).alias("size"))
+    texts = texts.where("size > 0 AND label IS NOT NULL")
+    keys, _ = sample_keys(texts.drop("text"), train_chars)
+    rows = sorted(sampled(texts, keys, "text", "label"), key=lambda r: (r["text"], r["label"]))
     model = fit([r["text"] for r in rows], [r["label"] for r in rows])
     shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     schema = "lang_pred string, score double" + (", words array<string>" if word_labels else "")
