@@ -1,19 +1,19 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
-Inputs of each word: what training rows say about the word itself, and about its character n-grams
-with word ends (the largest, the mean of the three largest and the mean of all). They say how often
-documents that hold the feature are toxic, shrunk towards the overall share. The recurrent
+Inputs of each word are a learned vector, the sum of one of the word itself and those of its character n-grams with word ends, and
+beside it what training rows say about the word and its n-grams (the word's ratio; the largest, the mean of the three
+largest and the mean of all of its n-grams): how often documents that hold the feature are toxic, shrunk towards the overall share. The recurrent
 network reads windows of ``WINDOW`` words that overlap by ``OVERLAP``, attention pools its states and
-a logistic unit scores the window; a document's score is that of its most toxic window. The network
-is trained in numpy by back-propagation through time on each document's highest window, its
-inputs being computed from the other half of the training rows.
+a logistic unit scores the window; a document's score is that of its most toxic window. Network and vectors
+are trained in numpy by back-propagation through time on each document's highest window; what is said of a training row's
+words comes from the other half of the training rows.
 
-It is fitted on the driver on a sample of labelled rows of at most about ``train_chars`` characters of
-each label, chosen by a hash of the id. Scoring covers all windows of every text.
+They are fitted on the driver on a sample of labelled rows of at most ``train_chars`` characters of
+each label, chosen by a hash of id and text; a label that has any row is in it at every size of the table. Scoring covers all windows of every text.
 
 Edge cases: null texts and texts without letters are scored as one empty window; without labelled rows of both
-kinds every score is the share of toxic labels (0 without labels); empty tables give empty results; repeated rows
-get equal results; other columns are ignored; of several labels for an id the largest counts.
+kinds every score is the share of toxic labels (0 without labels); of equally high windows the first is reported; texts of any length are scored
+whole; empty tables give empty results; repeated rows get equal results; other columns are ignored; of several labels for an id the largest counts.
 """
 
 from __future__ import annotations
@@ -25,15 +25,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept, map_rows, sliced
+from ledgerloom.llm.common import kept, map_rows, materialize, release, sample_keys, sliced
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
-from ledgerloom.llm.langid import pick
 
 SIZES, BITS = (3, 4, 5, 6), 18
-WINDOW, OVERLAP, HIDDEN, INPUTS = 48, 12, 8, 4
+WINDOW, OVERLAP, HIDDEN, EPOCHS = 48, 12, 8, 20
+#: Inputs of a word: what training rows say of it, and a learned vector.
+STATED, LEARNED = 4, 8
+INPUTS = STATED + LEARNED
+PRIOR = 4.0
 #: Windows that go through the network at a time.
 BLOCK_WINDOWS = 3000
-PRIOR = 4.0
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -66,7 +68,7 @@ class WordEvidence:
         self.gram[-1] = -9
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), INPUTS), np.float32)
+        out = np.zeros((len(words), STATED), np.float32)
         for some, ids, whole in blocks(words, SIZES, BITS):
             values = self.gram[ids]
             real = values > -9
@@ -80,6 +82,69 @@ class WordEvidence:
         return out
 
 
+class Embeddings:
+    """Learned vectors of words: one of the word itself and those of its character n-grams with word ends, by hash."""
+
+    def __init__(self, seed: int = 2):
+        rng = np.random.default_rng(seed)
+        g = lambda n: (rng.normal(size=(n, LEARNED)) * 0.02).astype(np.float32)
+        self.word, self.gram = g(1 << BITS), g((1 << BITS) + 1)
+        self.gram[-1] = 0
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), LEARNED), np.float32)
+        for some, ids, whole in blocks(words, SIZES, BITS):
+            n = np.maximum((ids < (1 << BITS)).sum(1), 1)
+            out[some] = self.word[whole] + self.gram[ids].sum(1) / np.sqrt(n)[:, None].astype(np.float32)
+        return out
+
+
+class Training:
+    """Features of the words of training texts, and the gradient of their vectors."""
+
+    def __init__(self, embeddings: Embeddings, words: list[str]):
+        self.of = embeddings
+        grams: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
+        self.whole = np.zeros(len(words), np.int64)
+        for some, ids, whole in blocks(words, SIZES, BITS):
+            self.whole[some] = whole
+            for i, row in zip(some.tolist(), ids, strict=True):
+                grams[i] = row[row < (1 << BITS)]
+        self.sizes = np.array([len(x) for x in grams])
+        self.flat, self.ends = np.concatenate([*grams, np.empty(0, np.int64)]), np.concatenate(([0], np.cumsum(self.sizes)))
+        self.scale = (1 / np.sqrt(np.maximum(self.sizes, 1))).astype(np.float32)
+        self.square = [np.full(len(x), 1e-4) for x in (embeddings.word, embeddings.gram)]
+
+    def vectors_of(self, words: np.ndarray) -> np.ndarray:
+        """Vectors of an array of word numbers; the number after the last word stands for no word."""
+        some, at = np.unique(words, return_inverse=True)
+        out = np.zeros((len(some), LEARNED), np.float32)
+        known = some[some < len(self.whole)]
+        count = self.sizes[known]
+        stop = np.cumsum(count)
+        sums = np.concatenate((np.zeros((1, LEARNED)), np.cumsum(self.of.gram[self.flat[np.repeat(self.ends[known] - stop + count, count) + np.arange(count.sum())]], axis=0, dtype=np.float64)))
+        out[: len(known)] = self.of.word[self.whole[known]] + (sums[stop] - sums[stop - count]) * self.scale[known][:, None]
+        return out[at].reshape(*words.shape, LEARNED)
+
+    def step(self, words: np.ndarray, d_vectors: np.ndarray, rate: float) -> None:
+        """One step of Adagrad, a pace for each row, on what ``words`` use."""
+        some, at = np.unique(words, return_inverse=True)
+        per = np.stack([np.bincount(at, d_vectors[:, c], len(some)) for c in range(LEARNED)], 1)
+        keep = some < len(self.whole)
+        some, per = some[keep], per[keep]
+        count = self.sizes[some]
+        before = np.cumsum(count) - count
+        place = np.repeat(self.ends[some] - before, count) + np.arange(count.sum())
+        for table, square, rows, grad in (
+            (self.of.word, self.square[0], self.whole[some], per),
+            (self.of.gram, self.square[1], self.flat[place], np.repeat(per * self.scale[some][:, None], count, 0)),
+        ):
+            used, spot = np.unique(rows, return_inverse=True)
+            g = np.stack([np.bincount(spot, grad[:, c], len(used)) for c in range(LEARNED)], 1) + 1e-5 * table[used]
+            square[used] += (g * g).mean(1)
+            table[used] -= (rate * g / np.sqrt(square[used])[:, None]).astype(np.float32)
+
+
 class Network:
     """Two gated recurrent layers, one per direction, attention pooling and a logistic unit."""
 
@@ -126,6 +191,7 @@ class Network:
         d_e = a * (d_a - (a * d_a).sum(0))
         g["va"] = np.einsum("tn,tnk->k", d_e, states)
         d_states = a[:, :, None] * d_pool + d_e[:, :, None] * p["va"]
+        g["x"] = np.zeros_like(x)
         for d, half in (("f", slice(0, h)), ("b", slice(h, 2 * h))):
             u, w = p["u" + d], p["w" + d]
             gw, gu, gc = np.zeros_like(w), np.zeros_like(u), np.zeros(3 * h, np.float32)
@@ -139,6 +205,7 @@ class Network:
                 du = np.concatenate((dz, dr, dn * r), 1)
                 carry = ds * (1 - m[t] * (1 - z)) + du @ u.T
                 gw += x[t].T @ dx
+                g["x"][t] += dx @ w.T
                 gu += s.T @ du
                 gc += dx.sum(0)
             g |= {"w" + d: gw, "u" + d: gu, "c" + d: gc}
@@ -165,7 +232,11 @@ def window_logits(net: Network, rows: np.ndarray, starts: np.ndarray) -> tuple[n
 
 class Model:
     def __init__(self, share: float):
-        self.share, self.evidence, self.net = float(share), None, None
+        self.share, self.stated, self.learned, self.net = float(share), None, None, None
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Inputs of words."""
+        return np.concatenate((self.stated(words), self.learned(words)), 1)
 
     def scores(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The score of each text: its highest window's."""
@@ -175,42 +246,50 @@ class Model:
         return sigmoid(best.astype(np.float64))
 
 
-def fit(texts: list[str], labels: list[int], share: float | None = None, *, epochs: int = 25, batch: int = 128, rate: float = 0.02, seed: int = 5) -> Model:
-    """``share`` is the share of toxic documents among all labelled rows, where the sample has another."""
+def fit(texts: list[str], labels: list[int], share: float | None = None, *, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.02, pace: float = 0.005, blank: float = 0.05, seed: int = 5) -> Model:
+    """Back-propagation through both layers into the vectors, on the highest window of each text and on others of harmless ones.
+
+    ``blank`` is the share of words that a step doesn't see. ``share`` is the share of toxic documents among all labelled rows, where the sample has another.
+    """
     y = np.array(labels, float)
     model = Model((y.mean() if len(y) else 0.0) if share is None else share)
-    if len(set(labels)) < 2 or len(labels) < 8:
+    if len(set(labels)) < 2:
         return model
+    vocab: dict[str, int] = {}
     words = [words_of(t) for t in texts]
-    half = np.zeros(len(y), bool)
+    ids = [[vocab.setdefault(w, len(vocab)) for w in t] for t in words]
+    starts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+    place, mask, owner = windows(np.array([w for x in ids for w in x], np.int64)[:, None] + 1, starts)
+    place = np.where(mask, place[:, :, 0] - 1, len(vocab))
+    half = np.zeros(len(y), np.int64)
     for label in (0, 1):
-        half[np.flatnonzero(y == label)[::2]] = True
-    parts = []
-    for own in (half, ~half):
-        others = np.flatnonzero(~own)
-        evidence = WordEvidence([words[i] for i in others], y[others])
-        mine = np.flatnonzero(own)
-        memory = WordRows(evidence, INPUTS)
-        rows, starts = memory([words[i] for i in mine])
-        parts.append((*windows(rows, starts), y[mine]))
-    x = np.concatenate([q[0] for q in parts], 1)
-    mask = np.concatenate([q[1] for q in parts], 1)
-    owner = np.concatenate((parts[0][2], parts[1][2] + len(parts[0][3])))
-    target = np.concatenate([q[3] for q in parts])
-    net, rng = Network(), np.random.default_rng(seed)
+        half[np.flatnonzero(y == label)[::2]] = 1
+    # What is said of the words of a text comes from the other half of the texts.
+    stated = np.zeros((2, len(vocab) + 1, STATED), np.float32)
+    for own in (0, 1):
+        others = np.flatnonzero(half != own)
+        stated[own, :-1] = WordEvidence([words[i] for i in others], y[others])(list(vocab))
+    side = half[owner]
+    model.learned, net, rng = Embeddings(), Network(), np.random.default_rng(seed)
+    training = Training(model.learned, list(vocab))
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    logits, step = np.where(mask, x[:, :, 0], -9).max(0), 0
+    step, logits = 0, np.where(mask, stated[side[None, :], place][:, :, 0], -9).max(0)
+    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(epochs):
-        best = np.full(len(target), -1)
+        best = np.full(len(y), -1)
         order = np.argsort(logits, kind="stable")
         best[owner[order]] = order
         draw = rng.permutation(len(owner))
-        draw = draw[target[owner[draw]] == 0][: len(target) // 4]
+        draw = draw[y[owner[draw]] == 0][: len(y) // 2]
         use = rng.permutation(np.concatenate((best, draw)))
         for at in range(0, len(use), batch):
             pick = use[at : at + batch]
-            out, kept = net.forward(x[:, pick], mask[:, pick], keep=True)
-            grads = net.gradient(kept, ((sigmoid(out) - target[owner[pick]]) / len(pick)).astype(np.float32))
+            seen = np.where(rng.random((WINDOW, len(pick))) < blank, len(vocab), place[:, pick])
+            x = np.concatenate((stated[side[pick][None, :], seen], training.vectors_of(seen)), 2)
+            out, held = net.forward(x, mask[:, pick], keep=True)
+            error = (sigmoid(out) - y[owner[pick]]) * weight[owner[pick]]
+            grads = net.gradient(held, (error / len(pick)).astype(np.float32))
+            training.step(seen.ravel(), grads.pop("x")[:, :, STATED:].reshape(-1, LEARNED), pace)
             step += 1
             for k, gradient in grads.items():
                 gradient = gradient + 1e-4 * net.p[k]
@@ -218,11 +297,15 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, *, epoc
                 m += 0.1 * (gradient - m)
                 v += 0.01 * (gradient * gradient - v)
                 net.p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-        logits = np.concatenate([net.forward(x[:, k : k + BLOCK_WINDOWS], mask[:, k : k + BLOCK_WINDOWS]) for k in range(0, len(owner), BLOCK_WINDOWS)])
-        rate *= 0.93
+        vectors, parts = training.vectors_of(np.arange(len(vocab) + 1)), []
+        for k in range(0, len(owner), BLOCK_WINDOWS):
+            seen = place[:, k : k + BLOCK_WINDOWS]
+            parts.append(net.forward(np.concatenate((stated[side[None, k : k + BLOCK_WINDOWS], seen], vectors[seen]), 2), mask[:, k : k + BLOCK_WINDOWS]))
+        logits = np.concatenate(parts)
+        rate, pace = rate * 0.93, pace * 0.93
     odds = lambda q: np.log(q) - np.log(1 - q)
-    net.p["bo"] = net.p["bo"] + np.float32(odds(np.clip(model.share, 1e-6, 1 - 1e-6)) - odds(y.mean()))
-    model.evidence, model.net = WordEvidence(words, y), net
+    net.p["bo"] = net.p["bo"] + np.float32(odds(np.clip(model.share, 1e-6, 1 - 1e-6)))
+    model.stated, model.net = WordEvidence(words, y), net
     return model
 
 
@@ -235,18 +318,21 @@ def score(
     labels, ``id_col`` is returned.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("__id")).agg(F.max(label_col).cast("int").alias("label"))
-    texts = df.where(train).select(F.col(key_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("hash")).where("text IS NOT NULL")
-    sizes = texts.select("__id", "hash", F.length("text").alias("size")).join(known, "__id")
-    picked, held = pick(sizes, train_chars)
-    # The sample's rows are bounded by its characters; only their keys travel, not the texts of all labelled rows.
-    chosen = texts.join(F.broadcast(picked.groupBy("__id", "hash").agg(F.max("label").alias("label"))), ["__id", "hash"]).select("text", "label") if held else None
-    rows = sorted(chosen.collect(), key=lambda r: (r["text"], r["label"])) if held else []
-    model = fit([r["text"] for r in rows], [r["label"] for r in rows], held.get(1, 0) / max(1, sum(held.values())))
+    texts = df.where(train).select(F.col(key_col).alias("__id"), F.col(text_col).alias("text"), F.xxhash64(key_col, text_col).alias("hash"), F.length(text_col).alias("size")).where("text IS NOT NULL")
+    # Only keys travel, not the texts of all labelled rows; the sample's texts are then found by broadcast keys.
+    sizes = materialize(texts.select("__id", "hash", "size").join(known, "__id"), "labelled")
+    keys, held = sample_keys(sizes, train_chars)
+    of_hash = {h: label for label, h in keys}
+    chosen = df.sparkSession.createDataFrame([(h,) for h in of_hash] or [(0,)], "hash long")
+    found = texts.join(F.broadcast(chosen), "hash").dropDuplicates(["hash"]).select("text", "hash").collect() if keys else []
+    release(sizes)
+    rows = sorted(((r["text"], of_hash[r["hash"]]) for r in found))
+    model = fit([t for t, _ in rows], [label for _, label in rows], held.get(1, 0) / max(1, sum(held.values())))
     shared, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches):
         model = shared.value
-        memory = kept("toxicity" + name, lambda: WordRows(model.evidence, INPUTS))
+        memory = kept("toxicity" + name, lambda: WordRows(model.rows, INPUTS))
         for batch in sliced(batches, 512):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             out, count, top = np.full(len(texts), model.share), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
