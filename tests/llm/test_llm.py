@@ -9,16 +9,17 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, decontaminate, features, graph, langid, languagemodel, licenses, mainpage, neighbours, registry, simhash, tokenfiles, toxicity
+from ledgerloom.llm import bpe, decontaminate, features, graph, langid, languagemodel, licenses, mainpage, neighbours, registry, simhash, tokenfiles, toxicity, wordmemory
 
 WORDS = {"en": "the of and thing ing tion ed or".split(), "fr": "le de la que elle eau ment é".split(), "de": "der und ein sch ich keit ung ß".split()}
-NASTY = st.lists(st.sampled_from([*"aBé ́中😀 \n\x1c\x85\xa0　'_1²\x00ßİ", "<|endoftext|>", "the", "'s", " \t"]), max_size=12).map("".join)
+NASTY = st.lists(st.sampled_from([*"aBéÀΣ×$.!… ́中😀 \n\x1c\x85\xa0　'_1²\x00ßİ", "<|endoftext|>", "the", "'s", " \t"]), max_size=12).map("".join)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, __text string, fp long, row long"
 
 
@@ -137,7 +138,25 @@ def word_bpe():
 @given(NASTY)
 def test_chunk_encoder_equals_library(word_bpe, text):
     own, library = word_bpe
-    assert np.frombuffer(own([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    ids, sizes = own(pa.array([text, "the", None, text]))
+    want = library.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == [*want, *library.encode("the", add_special_tokens=False).ids, *want] and sizes.tolist() == [len(want), 1, 0, len(want)]
+
+
+def test_token_files_of_a_table_in_order(spark, word_bpe):
+    _, library = word_bpe
+    rows = [(3 * i - 50, r[1]) for i, r in enumerate(corpus())]
+    ordered = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).orderBy("doc_id")
+    assert tokenfiles.stretches(ordered.selectExpr("doc_id AS id"))["ordered"] and not tokenfiles.stretches(ordered.selectExpr("-doc_id AS id"))["ordered"]
+    found = [r for r in tokenfiles.read(tokenfiles.write(ordered, public_tokenizers.path("word_bpe_49k.json"), end_id=2, file_ids=3000)).orderBy("start").collect()]
+    assert [(r["doc_id"], r["ids"]) for r in found] == [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    assert [r["start"] for r in found] == np.concatenate(([0], np.cumsum([len(r["ids"]) for r in found])[:-1])).tolist()
+
+
+def test_token_files_of_one_row_many_times(spark, word_bpe):
+    many = spark.createDataFrame([(7, "the same text")] * 5000, "doc_id long, text string").repartition(4)
+    files = tokenfiles.write(many, public_tokenizers.path("word_bpe_49k.json"), end_id=2, partitions=4)
+    assert files.select("part").distinct().count() > 2 and tokenfiles.read(files, with_ids=False).selectExpr("max(start)", "count(DISTINCT start)").collect()[0][:] == (4999 * 4, 5000)
 
 
 def test_token_files_query(docs, empty, word_bpe):
@@ -247,15 +266,15 @@ def brute_scan(text, items, width=10):
     return len(words), sum(hit), sorted(found)
 
 
-@pytest.mark.parametrize("pattern_bytes", [10, 1_000_000])
-def test_decontamination_equals_brute_force(spark, docs, empty, pattern_bytes):
+@pytest.mark.parametrize("pattern_words", [10, 1_000_000])
+def test_decontamination_equals_brute_force(spark, docs, empty, pattern_words):
     rng = random.Random(4)
     data = corpus()
     items = [("i%d" % i, " ".join((data[i][1] or "").split()[2:16])) for i in range(0, 40, 3)] + [("short", "Zz, zz"), ("none", None), ("blank", " !"), (None, data[50][1]), ("i0", data[51][1])]
     extra = [(1000 + i, sentence(rng, "en", 20).upper() + " - zz... ZZ; zz " + (items[i][1] or "").replace(" ", ",\n"), None, None, 0, 0.0, "", 0, 0) for i in range(5)]
     df = docs.union(spark.createDataFrame(extra, SCHEMA))
     bench = spark.createDataFrame(items, "item_id string, text string")
-    rows = decontaminate.scan_documents(df, bench, pattern_bytes=pattern_bytes).collect()
+    rows = decontaminate.scan_documents(df, bench, pattern_words=pattern_words).collect()
     want = Counter((d[0], *map(str, brute_scan(d[1], items))) for d in [*data, *extra])
     assert Counter((r["doc_id"], str(r["n_words"]), str(r["n_hit"]), str(r["item_ids"])) for r in rows) == want
     for r in rows:
@@ -374,39 +393,117 @@ def test_windows_cover_every_word():
 # Language model
 
 
-def test_language_model_gradient_and_sum():
+@pytest.fixture
+def small_model(monkeypatch):
+    """A model of a few classes over random ids, with its parts."""
+    monkeypatch.setattr(languagemodel, "CLASSES", 12)
+    monkeypatch.setattr(languagemodel, "SHARED", 4)
     rng = np.random.default_rng(2)
     size = 30
-    table = rng.random((size, languagemodel.EXPERTS)).astype(float)
-    table /= table.sum(0)
-    m = languagemodel.Attention(size, rng.integers(0, languagemodel.EXPERTS, size + 1), table)
+    ids = (rng.integers(0, 5, 4000) * rng.integers(1, 6, 4000) + 3).astype(np.int64)
+    stops = np.array([1500, 1500 + 900, 4000])
+    ids[stops - 1] = size - 1
+    classes = languagemodel.Classes(ids, stops, size, size - 1)
+    y = classes.of[ids]
+    one, two = languagemodel.before(y, stops, classes.end)
+    n = 12
+    keys, found = np.unique((two.astype(np.int64) * n + one) * n + y, return_counts=True)
+    pairs = np.bincount(keys % (n * n), found, n * n).reshape(n, n)
+    some = found >= 5
+    counts = languagemodel.Counts(pairs, (keys[some], found[some].astype(float)), np.bincount(ids, minlength=size).astype(float), classes.of)
+    table = rng.random((n, languagemodel.EXPERTS)) + 0.1
+    model = languagemodel.Attention((table / table.sum(0)).astype(np.float32), rng.integers(0, languagemodel.EXPERTS, n))
+    return ids, stops, classes, counts, model, (keys, found, pairs, y, one, two)
+
+
+def test_language_model_gradient(small_model):
+    rng = np.random.default_rng(3)
+    ids, stops, classes, counts, m, (*_, y, one, two) = small_model
     m.p = {k: v.astype(float) for k, v in m.p.items()}
-    ids, stops = rng.integers(0, size - 1, 60), np.array([25, 60])
-    x, y, real = languagemodel.Windows(ids, stops, size - 1)[np.arange(5)]
-    _, grads = m.gradient(x, y, real)
+    windows, counted = languagemodel.Windows(y, stops, classes.end, 12), counts(two, one, y)
+    pick = np.arange(5)
+    x, target, real = windows[pick]
+    beside = windows.beside(pick, counted)
+    _, grads, _ = m.gradient(x, target, real, beside)
     for name, v in m.p.items():
-        i = tuple(rng.integers(0, s) for s in v.shape) if name != "e" else (int(x[0, -1]), 3)
+        i = tuple(rng.integers(0, s) for s in v.shape) if name not in ("e", "gate") else (int(x[0, -1]), 3)
         was = v[i]
         v[i] = was + 1e-5
-        up = m.gradient(x, y, real)[0]
+        up = m.gradient(x, target, real, beside)[0]
         v[i] = was - 1e-5
-        down = m.gradient(x, y, real)[0]
+        down = m.gradient(x, target, real, beside)[0]
         v[i] = was
         assert abs((up - down) / 2e-5 - grads[name][i]) < 1e-5
-    m.p = {k: v.astype(np.float32) for k, v in m.p.items()}
-    m.table = m.table.astype(np.float32)
+
+
+def test_language_model_probabilities_of_all_ids_add_up_to_one(small_model):
+    ids, stops, classes, counts, m, (*_, y, one, two) = small_model
+    m.freeze()
+    windows = languagemodel.Windows(y, stops, classes.end, 12)
+    x, _, _ = windows[np.arange(40, 41)]
+    at = int(windows.target[40])
+    total = 0
+    for i in range(30):
+        c = classes.of[i]
+        counted = np.repeat(counts(two[at : at + 16], one[at : at + 16], np.full(16, c))[None], 1, 0)
+        total = total + 10 ** (m.log10(x, np.full((1, 16), c), counted)[0] + counts.inside[i])
+    assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_language_model_scores_equal_a_plain_recomputation(small_model):
+    """Each id alone, with its own inputs, in double precision."""
+    ids, stops, classes, counts, m, (keys, found, pairs, y, one, two) = small_model
     m.freeze()
-    one = np.repeat(x[:1], size, 0)
-    p = [10 ** m.log10(one, np.full((size, languagemodel.WIDTH), t), np.zeros((size, languagemodel.WIDTH), bool))[0][0] for t in range(size)]
-    assert np.allclose(np.sum(p, axis=0), 1, atol=1e-4)
+    sub = type("Ids", (), {"ids": lambda self, slots, sizes: (ids, stops)})()
+    each, _ = languagemodel.spell(sub, classes, counts, m, None, None)
+    p = {k: v.astype(float) for k, v in m.p.items()}
+    single = np.bincount(classes.of, np.bincount(ids, minlength=30) + 0.5, 12)
+    share = single + 1e-3
+    share /= share.sum()
+    triple = {int(k): int(n) for k, n in zip(keys, found, strict=True) if n >= 5}
+    begins = np.concatenate(([0], stops[:-1]))
+    for t in [0, 1, 5, 15, 16, 17, 31, 40, 1499, 1500, 1501, 2399, 2400, 2450, 3999]:
+        text = int(np.searchsorted(stops, t, side="right"))
+        first = begins[text] + (t - begins[text]) // 16 * 16
+        past = [int(y[i]) if i >= begins[text] else classes.end if i == begins[text] - 1 else 12 for i in range(first - 16, t)]
+        e = p["e"][past]
+        s = np.array([(p["e"][past[-1]] @ p["q"]) @ (e[j] @ p["k"]) / 4 + p["far"][len(past) - 1 - j] for j in range(len(past))])
+        a = np.exp(np.clip(s, -60, 60))
+        a = (a / a.sum()) @ (e @ p["v"])
+        z = np.maximum(a @ p["wa"] + p["e"][past[-1]] @ p["we"] + p["c"], 0) @ p["out"] + p["gate"][past[-1]]
+        z = np.exp(z) / np.exp(z).sum()
+        x1, x2, c = one[t], two[t], y[t]
+        after_one = (max(pairs[x1, c] - 0.6, 0) + 0.6 * (pairs[x1] > 0).sum() * share[c]) / pairs[x1].sum()
+        held = {k % 12: n for k, n in triple.items() if k // 12 == x2 * 12 + x1}
+        rest = 1 - sum(n - 0.6 for n in held.values()) / pairs[x2, x1] if pairs[x2, x1] else 1
+        after_two = (max(held.get(c, 0.6) - 0.6, 0) / pairs[x2, x1] if pairs[x2, x1] else 0) + rest * after_one
+        inside = (np.bincount(ids, minlength=30)[ids[t]] + 0.5) / single[c]
+        want = np.log10(z[:-2] @ m.table[c] + z[-2] * after_one + z[-1] * after_two) + np.log10(inside)
+        assert each[t] == pytest.approx(want, abs=2e-4)
+
+
+def test_places_are_taken_out_of_their_own_counts(small_model):
+    """Counts that have been taken without a place give what ``without`` says of it."""
+    ids, stops, classes, counts, _, (keys, found, pairs, y, one, two) = small_model
+    for t in (3, 700, 1600, 3000):
+        n = dict(zip(keys.tolist(), found.tolist(), strict=True))
+        own = int((two[t] * 12 + one[t]) * 12 + y[t])
+        kept_keys = np.array([k for k in n if n[k] >= 5])
+        values = np.array([n[k] - (k == own) for k in kept_keys], float)
+        fewer = pairs.copy()
+        fewer[one[t], y[t]] -= 1
+        again = languagemodel.Counts(fewer, (kept_keys, values), np.bincount(ids, minlength=30).astype(float), classes.of)
+        first = again(two[t : t + 1], one[t : t + 1], y[t : t + 1])[0, 0]
+        assert counts.without(two[t : t + 1], one[t : t + 1], y[t : t + 1])[0, 0] == pytest.approx(first, rel=0.05)
 
 
 def test_windows_hold_each_id_once_and_see_only_the_past():
     ids = np.arange(100)
     stops = np.array([1, 17, 33, 100])
-    w = languagemodel.Windows(ids, stops, 200)
+    w = languagemodel.Windows(ids, stops, 200, 201)
     x, y, real = w[np.arange(len(w))]
     assert sorted(y[real].tolist()) == ids.tolist()
+    assert (w.beside(np.arange(len(w)), np.arange(100)[:, None])[real][:, 0] == y[real]).all()
     begins = dict(zip(range(4), [0, 1, 17, 33], strict=True))
     for row, target, ok in zip(x, y, real, strict=True):
         first = int(target[0])
@@ -416,6 +513,38 @@ def test_windows_hold_each_id_once_and_see_only_the_past():
         assert ok[0]
 
 
+WORDY = st.lists(st.sampled_from(["a", "The", "ing", "é" * 20, "x" * 33, "x" * 34, "中文", "%%%", " ", "\n", "\t ", "\x0b", "\x1c", "\xa0", "\x00"]), max_size=30).map("".join)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(WORDY | st.none(), max_size=6))
+def test_word_memory_cuts_and_numbers_words(texts):
+    names: list[bytes] = []
+    memory = wordmemory.WordMemory(names.extend, 8)
+    for _ in range(2):
+        data, edges = wordmemory.bytes_of(pa.array(["skipped", *texts], pa.string()).slice(1), lower=True)
+        starts, ends, sizes = wordmemory.cut(data, edges, wordmemory.ASCII_SPACE)
+        found = memory.numbers(data, starts, ends)
+        if found is None:
+            names.clear()
+            found = memory.numbers(data, starts, ends)
+        want = [(t or "").encode().lower().split() for t in texts]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert [names[i] for i in found] == [w for t in want for w in t] and len(set(names)) == len(names)
+
+
+def test_word_memory_of_equal_hashes(monkeypatch):
+    names: list[bytes] = []
+    memory = wordmemory.WordMemory(names.extend, 100)
+    real = memory.hashes
+    monkeypatch.setattr(memory, "hashes", lambda *a: (np.full(len(a[1]), 7, np.uint64), real(*a)[1]))
+    words = [b"one", b"two", b"one", b"three", b"two"]
+    ends = np.cumsum([len(w) for w in words])
+    for _ in range(2):
+        found = memory.numbers(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+        assert [names[i] for i in found] == words and len(names) == 3
+
+
 def test_language_model_query(docs, empty):
     F = simhash.F
     train = F.coalesce(F.col("doc_id") % 5 != 2, F.lit(True))
