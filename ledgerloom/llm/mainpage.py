@@ -1,13 +1,19 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
 A page becomes blocks of text in page order, each with the elements it stands in. A linear classifier
-over tags, class and id words, roles, link density, length and punctuation turns each block into two costs,
+over the kinds of those elements (tags, class and id words, roles, hidden ones), link share, length, tag and punctuation turns each block into two costs,
 which are the capacities of its edges to the terminals. Blocks that follow each other and blocks
 under the same element are tied by smoothness edges, stronger the closer they stand in the tree. The maximum flow
 separates content from boilerplate; content blocks are joined by two newlines.
 
+The classifier is fitted by logistic regression on the driver, on a sample of pages of at most ``train_chars`` characters. Pages carry no labels, so a
+rule gives them: a block in an article or main element whose other elements speak for nothing else is content; one in an element of
+navigation, footer, aside, form, control, head or hidden content, or one whose class, id or role says so, is boilerplate; all
+others have no label. Weights have a normal prior around ``PRIOR``, against which the sample counts as ``STRENGTH`` blocks at
+most, so what the sample doesn't show stays as stated.
+
 Edge cases: null, empty and text-free pages give the empty string and 0; unclosed and stray tags, comments and
-raw-text elements are read as browsers do, as far as text is concerned; drawings (svg) have no text, formulas keep theirs; pages of any length are read whole; repeated rows
+raw-text elements are read as browsers do, as far as text is concerned; drawings (svg) have no text, formulas keep theirs; a block that costs the same on both sides is boilerplate; pages of any length are read whole; repeated rows
 give equal results; empty tables give empty results; other columns are ignored.
 """
 
@@ -18,10 +24,12 @@ import math
 import re
 from collections import deque
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_rows, sliced
+from ledgerloom.llm.common import map_rows, sample_keys, sampled, sliced
 
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -45,49 +53,72 @@ _CLOSES = {t: frozenset(["p"]) for t in BLOCKS - {"html", "head", "body", "tr",
 _CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _CLOSES |= {t: frozenset(["p", "h1", "h2", "h3", "h4", "h5", "h6"]) for t in ("h1", "h2", "h3", "h4", "h5", "h6")}
 _SCOPES = frozenset("table ul ol dl body html article section main div aside nav header footer form blockquote".split())
-BOILER_TAGS = {"nav": -7.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -3.0, "menu": -6.0, "dialog": -6.0, "search": -6.0, "head": -20.0, "fieldset": -4.0, "legend": -4.0, "option": -14.0, "optgroup": -14.0, "select": -14.0, "datalist": -20.0, "button": -14.0, "object": -6.0}
-CONTENT_TAGS = {"article": 4.0, "main": 3.0}
 BOILER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside rail footer foot header masthead topbar cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup signin login register share sharing social related recommended recommendations more trending popular comment comments commentlist respond reply replies disqus discussion widget widgets popup modal overlay toolbar pagination pager tags taglist copyright legal disclaimer search skip print byline".split()
 )
 CONTENT_WORDS = frozenset("article content main post entry story body text articlebody maincontent prose".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
-BIAS, TIE, PARENT_TIE = -0.2, 0.8, 0.5
+#: Ties of blocks that follow each other, and of blocks under one element.
+TIE, PARENT_TIE = 0.8, 0.5
+#: What an element may be, by its tag.
+TAG_KINDS = {
+    "nav": "navigation", "menu": "navigation", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "dialog": "form", "search": "form", "fieldset": "form", "legend": "form",
+    "option": "control", "optgroup": "control", "select": "control", "datalist": "control", "button": "control", "object": "object", "head": "head", "article": "article", "main": "main",
+}
+#: Kinds of elements around a block, the prior means of their weights, and whether they speak for content.
+KINDS = {
+    "navigation": (-7.0, False), "header": (-3.0, False), "footer": (-6.0, False), "aside": (-6.0, False), "form": (-6.0, False), "control": (-14.0, False), "object": (-6.0, False), "head": (-20.0, False), "article": (4.0, True), "main": (3.0, True),
+    "named boilerplate": (-6.0, False), "named content": (2.0, True), "boilerplate role": (-6.0, False), "content role": (3.0, True), "hidden": (-9.0, False), "boilerplate inside content": (-3.0, False),
+}
+BIT = {kind: 1 << i for i, kind in enumerate(KINDS)}
+FOR = sum(BIT[k] for k, (_, good) in KINDS.items() if good)
+AGAINST = sum(BIT[k] for k, (_, good) in KINDS.items() if not good)
+#: Prior means: of the kinds, the bias, the link share, the length, a text tag and a closing mark.
+PRIOR = np.array([*(w for w, _ in KINDS.values()), -0.2, -3.5, 0.5, 1.0, 0.7])
+#: Blocks that a sample counts as at most, and the precision of the prior: pages of one make must not outweigh all other kinds of pages.
+STRENGTH, PRECISION = 200.0, 8.0
+TEXT_TAGS = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6".split())
+CLOSING = ".!?…。！？\"'”’»)"
+#: Costs are bounded, so that ties can outweigh them.
+LOWEST, HIGHEST = -12.0, 8.0
 
 
 class Element:
-    __slots__ = ("depth", "number", "parent", "score", "tag")
+    """An element and the kinds of all elements it stands in, as bits."""
+
+    __slots__ = ("depth", "kinds", "number", "parent", "tag")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
         self.depth = parent.depth + 1 if parent else 0
-        inside = parent.score if parent else 0.0
-        own = BOILER_TAGS.get(tag, 0.0)
-        if tag == "header" and inside > 0:
-            own = 0.0
-        own += CONTENT_TAGS.get(tag, 0.0)
+        around = parent.kinds if parent else 0
+        own = BIT.get(TAG_KINDS.get(tag, ""), 0)
+        if own == BIT["header"] and around & FOR:
+            own = 0
         if attributes and not attributes.isspace():
-            own += named(attributes, tag)
-        self.score = inside + own
+            own |= named(attributes, tag)
+        if own & AGAINST and around & FOR:
+            own |= BIT["boilerplate inside content"]
+        self.kinds = around | own
 
 
-def named(attributes: str, tag: str) -> float:
+def named(attributes: str, tag: str) -> int:
     """What an element's attributes say: class and id words, role, hidden."""
-    score, words = 0.0, set()
+    kinds, words = 0, set()
     for name, a, b, c in _ATTR.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             words.update(_NAME_WORDS.findall(_CAMEL.sub(" ", value).lower()))
         elif name == "role":
-            score += -6.0 if value.lower() in BOILER_ROLES else 3.0 if value.lower() in ("main", "article") else 0.0
+            kinds |= BIT["boilerplate role"] if value.lower() in BOILER_ROLES else BIT["content role"] if value.lower() in ("main", "article") else 0
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower()):
-            score -= 9.0
+            kinds |= BIT["hidden"]
     if tag not in ("html", "body"):
         if words & BOILER_WORDS:
-            score -= 6.0
+            kinds |= BIT["named boilerplate"]
         elif words & CONTENT_WORDS:
-            score += 2.0
-    return score
+            kinds |= BIT["named content"]
+    return kinds
 
 
 def after_svg(page: str, at: int) -> int:
@@ -202,16 +233,65 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
     return out
 
 
-def score(text: str, element: Element, links: float, tag: str) -> float:
-    """Log odds that a block is content."""
-    n = len(text)
-    s = BIAS + max(-8.0, min(6.0, element.score)) - 3.5 * links
-    s += min(1.5, 0.5 * math.log(n / 40))
-    if tag in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6"):
-        s += 1.0
-    if text[-1] in ".!?…。！？\"'”’»)":
-        s += 0.7
-    return s
+def features(text: str, element: Element, links: float, tag: str) -> list[float]:
+    """What the classifier sees of a block, in the order of ``PRIOR``."""
+    kinds = element.kinds
+    return [*((kinds >> i) & 1 for i in range(len(KINDS))), 1.0, *beside(text, links, tag)]
+
+
+def beside(text: str, links: float, tag: str) -> tuple[float, float, float, float]:
+    return links, min(3.0, math.log(len(text) / 40)), float(tag in TEXT_TAGS), float(text[-1] in CLOSING)
+
+
+def label(element: Element) -> int | None:
+    """The label that the rule gives a block: 1 content, 0 boilerplate, None neither."""
+    kinds = element.kinds
+    if kinds & AGAINST & ~BIT["header"]:
+        return 0
+    return 1 if kinds & (BIT["article"] | BIT["main"]) else None
+
+
+def fit(pages: list[str]) -> np.ndarray:
+    """Weights of largest posterior density, by Newton's method."""
+    rows, labels = [], []
+    for page in pages:
+        for block in blocks_of(page):
+            y = label(block[1])
+            if y is not None:
+                rows.append(features(*block))
+                labels.append(y)
+    if not rows:
+        return PRIOR
+    x, y = np.array(rows), np.array(labels, float)
+    # Each block stands twice, once without its kinds: what it looks like must tell where elements say nothing.
+    bare = x.copy()
+    bare[:, : len(KINDS)] = 0
+    x, y = np.concatenate((x, bare)), np.concatenate((y, y))
+    # Both labels weigh the same, and all blocks together as many as STRENGTH says.
+    share = np.where(y > 0, max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9))
+    weight = min(STRENGTH, len(y)) / len(y) * 0.5 / share
+    w = PRIOR.copy()
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w)), x.T @ (weight * (y - p)) - PRECISION * (w - PRIOR))
+        w = w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+class Scores:
+    """Log odds that a block is content; those of its elements are kept by their kinds."""
+
+    def __init__(self, weights: np.ndarray):
+        self.kinds, (self.bias, *self.others) = weights[: len(KINDS)].tolist(), weights[len(KINDS) :].tolist()
+        self.known: dict[int, float] = {}
+
+    def __call__(self, text: str, element: Element, links: float, tag: str) -> float:
+        around = self.known.get(element.kinds)
+        if around is None:
+            around = self.known[element.kinds] = self.bias + sum(w for i, w in enumerate(self.kinds) if element.kinds >> i & 1)
+        return max(LOWEST, min(HIGHEST, around + sum(w * v for w, v in zip(self.others, beside(text, links, tag), strict=True))))
 
 
 def softplus(x: float) -> float:
@@ -285,8 +365,9 @@ def minimum_cut(n: int, terminals: list[tuple[float, float]], ties: list[tuple[i
                 v = to[path.pop() ^ 1]
 
 
-def extract(page: str | None) -> list[str]:
-    """The content blocks of a page."""
+def extract(page: str | None, score: Scores | None = None) -> list[str]:
+    """The content blocks of a page, by the prior weights unless others are given."""
+    score = score or Scores(PRIOR)
     found = blocks_of(page or "")
     n = len(found)
     if not n:
@@ -315,12 +396,16 @@ def extract(page: str | None) -> list[str]:
     return [found[i][0] for i in range(n) if side[i]]
 
 
-def main_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", with_blocks: bool = False) -> DataFrame:
+def main_text(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html", with_blocks: bool = False, train_chars: int = 3_000_000) -> DataFrame:
     """``(id, text, n_chars)`` of each page; with ``with_blocks`` also ``blocks array<string>``."""
+    pages = df.where(F.length(html_col) > 0).select(F.lit(0).alias("label"), F.xxhash64(html_col).alias("hash"), F.length(html_col).alias("size"), F.col(html_col).alias("html"))
+    keys, _ = sample_keys(pages.drop("html"), train_chars)
+    weights = fit(sorted(r["html"] for r in sampled(pages, keys, "html")))
 
     def run(batches):
+        score = Scores(weights)
         for batch in sliced(batches):
-            blocks = [extract(page) for page in batch.column(1).to_pylist()]
+            blocks = [extract(page, score) for page in batch.column(1).to_pylist()]
             texts = ["\n\n".join(b) for b in blocks]
             columns = [batch.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             names = [id_col, "text", "n_chars"]
