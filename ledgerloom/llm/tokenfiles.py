@@ -13,13 +13,14 @@ Each block subtracts its minimum and packs at the width that a given share of it
 wider values are exceptions, of which the low bits stay in place and the whole difference
 goes to the list. A block decodes on its own, so a document is read without the rest.
 
-Encoding deals documents out by ranges of (id, hash of text), so files in order of their
+Where the table's partitions hold ascending integer ids one after another, each task encodes its own rows and no text moves; elsewhere
+documents are dealt out by ranges of (id, hash of text), as many as the rows ask for. Files in order of their
 names hold documents in ascending id order; each task writes files of at most ``file_ids`` ids
 (or one longer document). A file is written under a name of its own attempt and renamed when complete, so lost
 or repeated tasks leave no half files; the manifest names those that count.
 
 Edge cases: null and empty texts have no ids of their own, only the end id; equal ids (null ones first)
-are ordered by a hash of the text; texts of any length are encoded whole; empty tables give no files and an
+are ordered by a hash of the text, equal rows in any order; texts of any length are encoded whole; empty tables give no files and an
 empty result; other columns are ignored.
 """
 
@@ -29,16 +30,17 @@ import hashlib
 import struct
 import uuid
 import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegralType, LongType, StructType
 
-from ledgerloom.llm.common import kept, materialize, shared_path, sliced
+from ledgerloom.llm.common import blocks_of, kept, materialize, release, shared_path, sliced
+from ledgerloom.llm.wordmemory import ASCII_SPACE, WordMemory, bytes_of, cut, table
 
 MAGIC = b"PFOR1\0"
 HEAD = struct.Struct("<6sHQQQq")
@@ -46,10 +48,17 @@ INDEX = np.dtype([("start", "<u8"), ("least", "<u4"), ("width", "u1"), ("spare",
 BLOCK = 1024
 #: Share of a block's values that its width must hold.
 PERCENTILE = 0.95
-#: Chunks that one Python worker remembers, in number and in letters of each.
-MEMORY_CHUNKS, CHUNK_LETTERS = 500_000, 64
+#: Words and ids that one Python worker remembers, and letters of a word up to which new ones are encoded side by side.
+MEMORY_WORDS, MEMORY_IDS, SIDE_BY_SIDE = 1_200_000, 16_000_000, 64
 #: Marks that often follow a word; the pre-tokenizer cuts between letters and them.
-MARKS = ".,;:!?%&*#$|"
+MARKS = b".,;:!?%&*#$|"
+_MARK, _LETTER = table(MARKS), table(bytes(range(97, 123)))
+#: Bytes that may begin other white space, or marks that letters may join.
+_ASKED = table(b"\x1c\x1d\x1e\x1f\xc2\xcc\xcd\xe1\xe2\xe3")
+#: Rows of a range that documents are dealt to, where they don't lie in order already.
+RANGE_ROWS = 100_000
+#: Bytes of one block of texts.
+BLOCK_BYTES = 4_000_000
 
 
 def bit_widths(x: np.ndarray) -> np.ndarray:
@@ -162,11 +171,12 @@ class TokenFile:
 
 
 class ChunkEncoder:
-    """The library's encoder behind a memory of chunks between white space, where its pre-tokenizer always cuts.
+    """The library's encoder behind a memory of words, cut where its pre-tokenizer always cuts.
 
-    Only for tokenizers that drop white space, take runs of letters whole and close words with a suffix. The
-    chunks' ids follow one another as the whole text's would. New chunks that are letters with marks behind them fall
-    into both parts; words of letters go through the library side by side in one text and are told apart by the suffix.
+    Only for tokenizers that drop white space, take runs of letters whole, lower-case, and close words with a suffix. Texts are cut at
+    ASCII white space and between a letter and one of ``MARKS``; the words' ids follow one another as the whole text's
+    would. New words of letters go through the library side by side in one text and are told apart by the
+    suffix. Texts with other white space, or with marks that letters may join (U+0300 to U+036F), go through it whole.
     """
 
     def __init__(self, source: str):
@@ -175,65 +185,110 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_str(source)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.cut = regex.compile(r"\p{White_Space}+")
-        self.odd = regex.compile("[\x1c-\x1f]")
         suffix = self.tokenizer.model.end_of_word_suffix
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-
-    def chunks(self, text: str) -> list[str]:
-        return [c for c in self.cut.split(text) if c] if self.odd.search(text) else text.split()
-
-    def encoded(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def learn_words(self, words: list[str]) -> None:
-        """Ids of words of letters."""
+        # A special token may hold what is cut here, so texts that hold one go through the library whole.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.memory = WordMemory(self.learn, MEMORY_WORDS)
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.n = self.used = 0
+        self.memory.clear()
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has."""
+        parts = self.whole(words)
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, which go through the library in one text."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                raw = ids.tobytes()
-                self.words.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)], strict=True))
-            else:  # a word that turns into several, as some capitals do
-                self.words.update(zip(some, self.encoded(some), strict=True))
-
-    def learn(self, new: list[str]) -> None:
-        words, known = self.words, self.known
-        cores = [c.rstrip(MARKS) for c in new]
-        plain = [core.isalpha() and len(core) <= CHUNK_LETTERS for core in cores]
-        rest = [c for c, p in zip(new, plain, strict=True) if not p]
-        chunks = [c for c, p in zip(new, plain, strict=True) if p]
-        cores = [core.lower() if core.isascii() else core for core, p in zip(cores, plain, strict=True) if p]
-        tails = [c[len(core) :] for c, core in zip(chunks, cores, strict=True)]
-        if len(words) > MEMORY_CHUNKS:
-            words.clear()
-        self.learn_words([w for w in set(cores) if w not in words])
-        kinds = list(set(tails))
-        of_tail = dict(zip(kinds, self.encoded(kinds), strict=True))
-        known.update(zip(chunks, [words[core] + of_tail[tail] for core, tail in zip(cores, tails, strict=True)], strict=True))
-        known.update(zip(rest, self.encoded(rest), strict=True))
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian u32."""
-        split = [self.chunks(t) for t in texts]
-        known = self.known
-        new = list({c for t in split for c in t if c not in known})
-        if len(known) + len(new) > MEMORY_CHUNKS:
-            known.clear()
-            new = list({c for t in split for c in t})
-        self.learn(new)
-        get = known.__getitem__
-        out = [b"".join(map(get, t)) for t in split]
-        for chunk in new:
-            if len(chunk) > CHUNK_LETTERS:
-                del known[chunk]
+            found = self.whole([" ".join(some)])[0]
+            stops = np.flatnonzero(self.ends[found]) + 1
+            # A word may turn into several, as some capitals do.
+            part, many = (found, np.diff(stops, prepend=0)) if len(stops) == len(some) else self.each(some)
+            ids.append(part)
+            sizes.append(many)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self, new: list[bytes]) -> None:
+        words = b"\n".join(new).decode("utf-8", "replace").split("\n")
+        plain = np.array([w.isalpha() and len(w) <= SIDE_BY_SIDE for w in words])
+        beside, alone = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, sizes = zip(self.letters([words[i] for i in beside.tolist()]), self.each([words[i] for i in alone.tolist()]), strict=True)
+        flat, many = np.concatenate(ids), np.concatenate(sizes)
+        n, total = self.n + len(new), len(flat)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
+            self.lengths = np.concatenate((self.lengths, np.zeros_like(self.lengths)))
+        self.flat[self.used : self.used + total] = flat
+        place = self.n + np.concatenate((beside, alone))
+        self.starts[place] = self.used + np.cumsum(many) - many
+        self.lengths[place] = many
+        self.n, self.used = n, self.used + total
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Which marks follow a letter: one of ASCII, or of Latin-1 in two bytes."""
+        out = _MARK[data]
+        out[:1] = False
+        at = np.flatnonzero(out)
+        one, two = data[at - 1], data[np.maximum(at - 2, 0)]
+        out[at] = _LETTER[one] | ((at > 1) & (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
         return out
 
+    def odd(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Texts that go through the library whole."""
+        at = np.flatnonzero(_ASKED[data])
+        one, two, three = (np.append(data, [0, 0, 0])[at + k] for k in range(3))
+        bad = (one < 0x20) | (one == 0xCC) | (one == 0xCD) | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & (two == 0x9A) & (three == 0x80))
+        bad |= (one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+        bad |= ((one == 0xE2) & (two == 0x81) & (three == 0x9F)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
+        raw, places = data.tobytes(), at[bad].tolist()
+        for special in self.special:
+            k = raw.find(special)
+            while k >= 0:
+                places.append(k)
+                k = raw.find(special, k + 1)
+        return np.unique(np.searchsorted(edges, places, side="right") - 1)
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, and how many each has; nulls have none."""
+        if self.used > MEMORY_IDS:
+            self.clear()
+        data, edges = bytes_of(column, lower=True)
+        starts, ends, sizes = cut(data, edges, ASCII_SPACE, self.cuts(data))
+        apart = self.odd(data, edges)
+        if len(apart):
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            keep = ~np.isin(owner, apart)
+            starts, ends, sizes = starts[keep], ends[keep], np.where(np.isin(np.arange(len(sizes)), apart), 0, sizes)
+        found = self.memory.numbers(data, starts, ends)
+        if found is None:  # the memory was full
+            self.clear()
+            found = self.memory.numbers(data, starts, ends)
+        lengths = self.lengths[found]
+        after = np.concatenate(([0], np.cumsum(lengths)))
+        ids = self.flat[np.repeat(self.starts[found] - after[:-1], lengths) + np.arange(after[-1])]
+        stops = after[np.cumsum(sizes)]
+        if len(apart):
+            whole = dict(zip(apart.tolist(), self.whole(column.take(pa.array(apart)).to_pylist()), strict=True))
+            parts = np.split(ids, stops[:-1])
+            parts = [whole.get(i, part) for i, part in enumerate(parts)]
+            ids, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, np.diff(np.concatenate(([0], stops))).astype(np.int64)
+
 
 def loaded(source: str) -> ChunkEncoder:
     import os
@@ -258,59 +313,32 @@ def write(
     path = path or shared_path(spark, "tokens")
     with open(tokenizer, encoding="utf-8") as f:
         source = spark.sparkContext.broadcast(f.read())
-    keyed = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("h"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = keyed.repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h")
-    kind = keyed.schema["id"].dataType
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        encoder, part, number = loaded(source.value), TaskContext.get().partitionId(), 0
-        store, root = open_store(path)
-        store.create_dir(root, recursive=True)
-        end = np.array([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        names: list = []
-        size = 0
-
-        def put():
-            nonlocal number, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            lengths = np.array([len(h) // 4 for h in held])
-            final = f"{root}/part-{part:06d}-{number:06d}.pfor"
-            temporary = f"{root}/.{uuid.uuid4().hex}.tmp"
-            with store.open_output_stream(temporary) as f:
-                f.write(write_blocks(ids, lengths, block=block, percentile=percentile))
-            store.move(temporary, final)
-            row = pa.RecordBatch.from_arrays(
-                [pa.array([part]), pa.array([number]), pa.array([f"part-{part:06d}-{number:06d}.pfor"]), pa.array([len(ids)]), pa.array([names], pa.list_(arrow))], names=["part", "number", "file", "n_ids", "doc_ids"]
-            )
-            held.clear()
-            names.clear()
-            number, size = number + 1, 0
-            return row
-
-        arrow = None
-        for batch in sliced(batches):
-            arrow = batch.schema.field(0).type
-            for name, ids in zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True):
-                if held and size + len(ids) // 4 + 1 > file_ids:
-                    yield put()
-                held.append(ids + end)
-                names.append(name)
-                size += len(ids) // 4 + 1
-        if held:
-            yield put()
-
-    schema = StructType.fromDDL("part long, number long, file string, n_ids long").add("doc_ids", ArrayType(kind))
-    files = materialize(dealt.select("id", "text").mapInArrow(run, schema), "manifest")
+    named = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = named.schema["id"].dataType
+    runs = stretches(named) if partitions is None else None
+    encode = partial(encoded, source=source, path=path, end=end_id, file_ids=file_ids, block=block, percentile=percentile)
+    schema = StructType.fromDDL("part long, number long, file string, n_ids long, ordered boolean").add("doc_ids", ArrayType(kind))
+    files = totals = None
+    if runs is not None and runs["ordered"]:
+        files = materialize(named.mapInArrow(partial(encode, numbers=runs["numbers"]), schema), "manifest")
+        totals = parts_of(files)
+        if any(not r["ordered"] for r in totals) or any(a["last"] >= b["first"] for a, b in zip(totals, totals[1:], strict=False)):
+            release(files)  # the table was read in other pieces than before
+            files = None
+    if files is None:
+        rows = runs["rows"] if runs else 0
+        n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows // RANGE_ROWS))
+        # Rows of the same id and text still have keys of their own, so no range grows with their number.
+        keyed = named.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+        dealt = keyed.repartitionByRange(n, "id", "h", "row").sortWithinPartitions("id", "h", "row")
+        path = f"{path}/dealt"
+        files = materialize(dealt.select("id", "text").mapInArrow(partial(encode, path=path, numbers=None), schema), "manifest")
+        totals = parts_of(files)
     # One row per partition: as many as there are tasks, whatever the number of documents.
-    totals = sorted((r["part"], r["n"]) for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
     before, offsets = 0, []
-    for part, count in totals:
-        offsets.append((part, before))
-        before += count
+    for r in totals:
+        offsets.append((r["part"], before))
+        before += r["n"]
     offset = spark.createDataFrame(offsets, "part long, before long")
     order = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     return files.join(F.broadcast(offset), "part").select(
@@ -318,6 +346,104 @@ def write(
     )
 
 
+def parts_of(files: DataFrame) -> list:
+    """What each task has written, in the order of the parts."""
+    ends = F.element_at("doc_ids", 1), F.element_at("doc_ids", -1)
+    rows = files.groupBy("part").agg(F.sum("n_ids").alias("n"), F.min(ends[0]).alias("first"), F.max(ends[1]).alias("last"), F.min("ordered").alias("ordered")).collect()
+    return sorted(rows, key=lambda r: r["part"])
+
+
+def stretches(named: DataFrame) -> dict:
+    """Whether the partitions hold ascending ids one after another, their numbers in that order, and how many rows there are; reads ids only."""
+    if not isinstance(named.schema["id"].dataType, IntegralType):
+        return {"ordered": False, "numbers": None, "rows": named.count()}
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first = last = None
+        ordered, n = True, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(0)
+            n += batch.num_rows
+            if column.null_count:
+                ordered = False
+                continue
+            ids = column.to_numpy()
+            ordered = ordered and bool((np.diff(ids) > 0).all()) and (last is None or int(ids[0]) > last)
+            first, last = int(ids[0]) if first is None else first, int(ids[-1])
+        if n:
+            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "first": first, "last": last, "ordered": ordered, "n": n}], schema=pa.schema([("part", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("ordered", pa.bool_()), ("n", pa.int64())]))
+
+    found = named.select("id").mapInArrow(run, "part long, first long, last long, ordered boolean, n long").collect()
+    ordered = all(r["ordered"] for r in found)
+    found.sort(key=lambda r: (r["first"] is None, r["first"] or 0))
+    ordered = ordered and all(a["last"] < b["first"] for a, b in zip(found, found[1:], strict=False))
+    return {"ordered": ordered, "numbers": {r["part"]: i for i, r in enumerate(found)}, "rows": sum(r["n"] for r in found)}
+
+
+def encoded(batches, *, source, path: str, end: int, file_ids: int, block: int, percentile: float, numbers: dict | None):
+    """Encode a task's documents, write files and yield their rows of the manifest."""
+    from pyspark import TaskContext
+
+    encoder, part, number = loaded(source.value), TaskContext.get().partitionId(), 0
+    part = part if numbers is None else numbers.get(part, len(numbers) + part)
+    store, root = open_store(path)
+    store.create_dir(root, recursive=True)
+    held: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    names: list[pa.Array] = []
+    size = 0
+    ordered, last = True, None
+
+    def put():
+        nonlocal number, size
+        ids, lengths = np.concatenate(held), np.concatenate(counts)
+        final = f"{root}/part-{part:06d}-{number:06d}.pfor"
+        temporary = f"{root}/.{uuid.uuid4().hex}.tmp"
+        with store.open_output_stream(temporary) as f:
+            f.write(write_blocks(ids, lengths, block=block, percentile=percentile))
+        store.move(temporary, final)
+        ids_of = pa.concat_arrays(names)
+        row = [pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([f"part-{part:06d}-{number:06d}.pfor"]), pa.array([len(ids)], pa.int64()), pa.array([ordered])]
+        row.append(pa.ListArray.from_arrays(pa.array([0, len(ids_of)], pa.int32()), ids_of))
+        held.clear()
+        counts.clear()
+        names.clear()
+        number, size = number + 1, 0
+        return pa.RecordBatch.from_arrays(row, names=["part", "number", "file", "n_ids", "ordered", "doc_ids"])
+
+    for batch in batches:
+        column = batch.column(0)
+        if numbers is not None and batch.num_rows:
+            seen = column.to_numpy(zero_copy_only=False)
+            ordered = ordered and not column.null_count and bool((np.diff(seen) > 0).all()) and (last is None or seen[0] > last)
+            last = seen[-1]
+        at = 0
+        for texts in blocks_of(batch.column(1), BLOCK_BYTES):
+            ids, lengths = encoder(texts)
+            stops = np.cumsum(lengths)
+            ids, lengths, stops = np.insert(ids, stops, end), lengths + 1, stops + np.arange(1, len(stops) + 1)
+            done = 0
+            while done < len(lengths):
+                before = stops[done - 1] if done else 0
+                fit = int(np.searchsorted(stops, before + file_ids - size, side="right"))
+                fit = max(fit, done + (0 if held else 1))  # a longer document has a file of its own
+                if fit > done:
+                    held.append(ids[before : stops[fit - 1]])
+                    counts.append(lengths[done:fit])
+                    names.append(column.slice(at + done, fit - done))
+                    size += int(stops[fit - 1] - before)
+                    done = fit
+                if done < len(lengths):
+                    yield put()
+            at += len(texts)
+    if held:
+        yield put()
+
+
 def read(manifest: DataFrame, *, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """Documents of written files: id, ``start``, ``n_tokens``, ``ids_crc32`` and, when ``with_ids``, ``ids``."""
     kind = manifest.schema["doc_ids"].dataType.elementType
