@@ -9,7 +9,7 @@ separates content from boilerplate; content blocks are joined by two newlines.
 The classifier is fitted by logistic regression on the driver, on a sample of pages of at most ``train_chars`` characters. Pages carry no labels, so a
 rule gives them: a block in an article or main element whose other elements speak for nothing else is content; one in an element of
 navigation, footer, aside, form, control, head or hidden content, or one whose class, id or role says so, is boilerplate; all
-others have no label. Weights have a normal prior around ``PRIOR``, against which the sample counts as ``STRENGTH`` blocks at
+others have no label. Weights have a normal prior around ``PRIOR``, against which ten blocks of the sample count as one, and all as ``STRENGTH`` at
 most, so what the sample doesn't show stays as stated.
 
 Edge cases: null, empty and text-free pages give the empty string and 0; unclosed and stray tags, comments and
@@ -267,9 +267,9 @@ def fit(pages: list[str]) -> np.ndarray:
     bare = x.copy()
     bare[:, : len(KINDS)] = 0
     x, y = np.concatenate((x, bare)), np.concatenate((y, y))
-    # Both labels weigh the same, and all blocks together as many as STRENGTH says.
+    # Both labels weigh the same, and all blocks together a tenth of their number, STRENGTH at most.
     share = np.where(y > 0, max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9))
-    weight = min(STRENGTH, len(y)) / len(y) * 0.5 / share
+    weight = min(STRENGTH, len(y) / 10) / len(y) * 0.5 / share
     w = PRIOR.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
