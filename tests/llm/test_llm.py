@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from ledgerloom.llm import bpe, decontaminate, features, graph, langid, languagemodel, licenses, mainpage, neighbours, registry, simhash, tokenfiles, toxicity, wordmemory
+from ledgerloom.llm import bpe, common, decontaminate, features, graph, langid, languagemodel, licenses, mainpage, neighbours, registry, simhash, tokenfiles, toxicity, wordmemory
 
 WORDS = {"en": "the of and thing ing tion ed or".split(), "fr": "le de la que elle eau ment é".split(), "de": "der und ein sch ich keit ung ß".split()}
 NASTY = st.lists(st.sampled_from([*"aBéÀΣ×$.!… ́中😀 \n\x1c\x85\xa0　'_1²\x00ßİ", "<|endoftext|>", "the", "'s", " \t"]), max_size=12).map("".join)
@@ -312,7 +312,7 @@ def test_language_accuracy_and_code_switching(spark, docs, empty):
     train = simhash.F.col("doc_id") % 3 != 0
     rows = langid.identify(docs, train, word_labels=True).collect()
     truth = {d[0]: d[2] for d in corpus()}
-    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] % 3 == 0 and r["words"] and r["doc_id"] not in (9, 33)]
+    held = [r for r in rows if r["doc_id"] is not None and r["doc_id"] % 3 == 0 and r["words"]]
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.9
     assert {r["lang_pred"] for r in rows if not r["words"]} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in rows)
@@ -325,6 +325,42 @@ def test_language_accuracy_and_code_switching(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, simhash.F.lit(False)).collect()} == {"und"}
 
 
+def test_languages_equal_a_plain_recomputation(spark, docs, monkeypatch):
+    models = []
+    fit = langid.fit
+    monkeypatch.setattr(langid, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    rows = langid.identify(docs, simhash.F.col("doc_id") % 3 != 0).collect()
+    crf = models[0]
+    t = np.exp(crf.moves)
+
+    def plain(text):
+        words = features.words_of(text)
+        if not words:
+            return "und", 0.0
+        e = np.exp(crf.emissions(words).astype(float))
+        ahead, v = [], np.full(len(crf.labels), 1 / len(crf.labels))
+        for x in e:
+            v = (v @ t) * x
+            v /= v.sum()
+            ahead.append(v)
+        total, back = np.zeros(len(crf.labels)), np.ones(len(crf.labels))
+        for a, x in zip(ahead[::-1], e[::-1], strict=True):
+            total += a * back / (a * back).sum()
+            back = t @ (x * back)
+            back /= back.sum()
+        return crf.labels[int(total.round(9).argmax())], total.max() / len(words)
+
+    want = sorted((d[0] is None, d[0] or 0, *plain(d[1])) for d in corpus())
+    found = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["lang_pred"], r["score"]) for r in rows)
+    assert [f[:3] for f in found] == [w[:3] for w in want] and np.allclose([f[3] for f in found], [w[3] for w in want], atol=1e-5)
+
+
+def test_short_texts_are_learned_from():
+    crf = langid.fit(["the thing"] * 5 + ["der keit"] * 5, ["en"] * 5 + ["de"] * 5)
+    p = crf.posteriors(crf.emissions(["thing", "keit"]), np.array([0, 1, 2]))
+    assert p[0, 1] > 0.9 and p[1, 0] > 0.9
+
+
 def test_feature_blocks_do_not_depend_on_company():
     words = ["a", "thing", "é", "w" * 100, "中文", "thing"]
     alone = {w: next(features.blocks([w], (1, 2, 3), 12)) for w in words}
@@ -381,6 +417,55 @@ def test_toxic_documents_are_found(spark, docs, empty):
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0), simhash.F.lit(True)).collect()} == {0.0}
 
 
+def test_toxicity_scores_equal_a_plain_recomputation():
+    rng = random.Random(11)
+    texts = [sentence(rng, rng.choice(list(WORDS)), rng.randint(0, 150)) + (" grubbo" if i % 4 == 0 else "") for i in range(40)] + ["", "!! 12", "x " * 500]
+    model = toxicity.fit(texts, [int(t.endswith("grubbo")) for t in texts], epochs=2)
+    p = {k: v.astype(float) for k, v in model.net.p.items()}
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(x, d):
+        s, out, h = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for v in x:
+            a, b = v @ p["w" + d] + p["c" + d], s @ p["u" + d]
+            z, r = sig(a[:h] + b[:h]), sig(a[h : 2 * h] + b[h : 2 * h])
+            s = z * s + (1 - z) * np.tanh(a[2 * h :] + r * b[2 * h :])
+            out.append(s)
+        return np.array(out)
+
+    def plain(text):
+        words = features.words_of(text)
+        best, at = -np.inf, 0
+        while True:
+            window = words[at : at + toxicity.WINDOW]
+            if window:
+                x = model.rows(window).astype(float)
+                states = np.concatenate((layer(x, "f"), layer(x[::-1], "b")[::-1]), 1)
+                a = np.exp(states @ p["va"])
+                best = max(best, a / a.sum() @ states @ p["wo"] + p["bo"][0])
+            elif not words:
+                best = p["bo"][0]
+            at += toxicity.WINDOW - toxicity.OVERLAP
+            if at + toxicity.OVERLAP >= len(words):
+                return sig(best)
+
+    memory = features.WordRows(model.rows, toxicity.INPUTS)
+    got = model.scores(*memory([features.words_of(t) for t in texts]))
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-4)
+
+
+def test_toxic_words_are_found_far_into_long_texts(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, "en", 60) + (" grubbo snarfle " + sentence(rng, "en", 10) if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    long = sentence(rng, "en", 30_000)
+    rows += [(1000, long, 0), (1001, long + " grubbo snarfle grubbo " + sentence(rng, "en", 5_000), 1)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] < 1000], "doc_id long, toxic int")
+    scored = {r["doc_id"]: r for r in toxicity.score(df, labels, simhash.F.lit(True)).collect()}
+    assert scored[1001]["score"] >= 0.3 > scored[1000]["score"]
+    assert scored[1001]["top_window"] == pytest.approx(30_000 / 36, abs=2) and scored[1001]["n_windows"] > 900
+
+
 def test_windows_cover_every_word():
     starts = np.array([0, 0, 5, 48, 200, 900])
     rows = np.arange(900, dtype=np.float32)[:, None]
@@ -622,10 +707,74 @@ def test_changed_notices_behind_common_words(added, replaced):
         assert len(found) == 1 and found[0][0] >= least and found[0][4] >= len(prose) + len(words) and found[0][3] <= len(prose)
 
 
+def test_planted_notices_among_licence_words_are_found():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.8)
+    vocabulary, planted = sorted(scanner.vocabulary), 0
+    for seed in range(200):
+        rng = random.Random(seed)
+        name = rng.choice([k for k, w in scanner.templates.items() if len(w) > 20])
+        words = list(scanner.templates[name])
+        for i in rng.sample(range(1, len(words) - 1), int(len(words) * rng.choice([0, 0.05, 0.1, 0.18]))):
+            words[i] = rng.choice(vocabulary)
+        for _ in range(rng.randint(0, max(1, len(words) // 5))):
+            words.insert(rng.randint(1, len(words) - 1), rng.choice(vocabulary))
+        if len(licenses.patience(scanner.templates[name], words)) < 0.8 * len(scanner.templates[name]):
+            continue
+        planted += 1
+        before, after = ([rng.choice(vocabulary) for _ in range(rng.randint(0, 300))] for _ in range(2))
+        assert any(m[3] < len(before) + len(words) and m[4] > len(before) for m in scanner.scan([*before, *words, *after])), (seed, name)
+    assert planted > 150
+
+
+def test_license_positions_of_the_query(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        name = rng.choice(sorted(licenses.TEMPLATES))
+        head, tail = sentence(rng, "en", 20), sentence(rng, "de", 20)
+        rows.append((i, f"{head}\n{licenses.TEMPLATES[name]}\n{tail}", name, len(head) + 1))
+    df = spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string")
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan_documents(df).collect()}
+    for i, text, name, at in rows:
+        best = found[i][0]
+        assert best["name"] == name and best["coverage"] == 1 and best["start"] == at + next(k for k, c in enumerate(licenses.TEMPLATES[name]) if c.isalnum())
+        assert text[best["start"] : best["end"]].rstrip("./") == licenses.TEMPLATES[name].rstrip("./")
+
+
+# Samples
+
+
+def test_samples_hold_at_any_size(spark):
+    for rate in (1e-3, 1e-9, 1e-12, 1e-15):
+        share = (common.hash_limit(rate) + 2**63) / 2**64
+        assert share == pytest.approx(rate, rel=1e-3) and common.hash_limit(rate) > -(2**63)
+    assert common.hash_limit(2.0) == 2**63 - 1
+    F = simhash.F
+    rows = spark.range(20_000).select((F.col("id") % 2).cast("string").alias("label"), F.xxhash64("id").alias("hash"), F.lit(100).alias("size"))
+    for factor in (1, 10**6, 10**9, 10**12):  # as many characters as texts of those sizes hold
+        keys, totals = common.sample_keys(rows.withColumn("size", F.lit(100 * factor).cast("long")), 164 * 30 * factor)
+        assert totals == {"0": 10_000, "1": 10_000} and {k for k, _ in keys} == {"0", "1"}
+        per = Counter(k for k, _ in keys)
+        assert 1 <= min(per.values()) and max(per.values()) <= 50
+    one, _ = common.sample_keys(rows.withColumn("size", F.lit(10**15).cast("long")), 1000)
+    assert Counter(k for k, _ in one) == {"0": 1, "1": 1}
+
+
+def test_equal_and_empty_rows_dont_outgrow_a_sample(spark):
+    F = simhash.F
+    rows = spark.range(10_000).select(F.lit("x").alias("label"), F.lit(5).cast("long").alias("hash"), F.lit(30).alias("size"), F.lit("a text").alias("text"))
+    keys, totals = common.sample_keys(rows.drop("text"), 500)
+    assert keys == [("x", 5)] and totals == {"x": 10_000} and len(common.sampled(rows, keys, "text")) == 1
+    empty = rows.withColumn("size", F.lit(0)).withColumn("hash", F.xxhash64(F.monotonically_increasing_id()))
+    assert len(common.sample_keys(empty.drop("text"), 6400)[0]) <= 100
+    assert common.sample_keys(rows.drop("text").limit(0), 500) == ([], {})
+
+
 # Near-duplicate vectors
 
 
-def test_neighbours_equal_brute_force(spark):
+@pytest.mark.parametrize("more", [{}, {"outer": 10}, {"outer": 10, "widest": 24}])
+def test_neighbours_equal_brute_force(spark, more):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
     for c in range(4):
@@ -634,7 +783,7 @@ def test_neighbours_equal_brute_force(spark):
     rows += [(2000 + i, rows[5][1]) for i in range(30)]
     rows += [(3000, None), (3001, []), (3002, [0.0] * 16), (3003, [float("nan")] + [1.0] * 15), (3004, [float("inf")] + [1.0] * 15), (3005, [None] + [1.0] * 15), (3006, [1e300] * 16), (3007, [1e-300] * 16), (3008, [1.0] * 8), (7, rows[7][1])]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, u long, key int").repartition(3)
-    found = sorted(neighbours.near_duplicates(df, k=6).collect(), key=lambda r: (r["vec_id"], r["n_links"]))
+    found = sorted(neighbours.near_duplicates(df, k=6, **more).collect(), key=lambda r: (r["vec_id"], r["n_links"]))
     good = [(i, np.array(v)) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)]
     unit = [neighbours.unit(v[None])[0] for _, v in good]
     linked = [[k for k in range(len(good)) if k != j and len(unit[k]) == len(unit[j]) and unit[j] @ unit[k] >= 0.9] for j in range(len(good))]
@@ -690,6 +839,30 @@ def test_main_text(spark):
     assert (found[2]["text"], found[3]["n_chars"]) == ("", 0) and found[4]["n_chars"] == 199_999
 
 
+def test_main_text_of_odd_tables(spark):
+    rows = [(i, f"u{i}", PAGE, "clash", "b", 1) for i in range(3)] + [(None, None, "<div><p>Open <b>tags", None, None, None), (9, "u", "<p>" + "é" * 100_000, "t", "c", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, blocks string, n_chars int")
+    found = sorted(mainpage.main_text(df).collect(), key=lambda r: (r["page_id"] is None, r["page_id"] or 0))
+    assert [r["n_chars"] for r in found] == [len("\n\n".join(mainpage.extract(h))) for _, _, h, *_ in (*rows[:3], rows[4], rows[3])]
+    assert found[0].asDict().keys() == {"page_id", "text", "n_chars"} and found[-1]["text"] == "Open tags" and found[3]["text"] == "é" * 100_000
+    assert mainpage.main_text(df.limit(0)).collect() == []
+
+
+def test_page_weights_are_fitted_by_the_rule():
+    pages = [f"<nav><a href=/>Home {i}</a></nav><article><p>{'A sentence of the article. ' * (i % 5 + 1)}</p></article><footer>All rights</footer>" for i in range(50)]
+    w = mainpage.fit(pages)
+    rows = [(mainpage.features(*b), mainpage.label(b[1])) for page in pages for b in mainpage.blocks_of(page)]
+    assert {y for _, y in rows} == {0, 1} and all((np.dot(x, w) > 0) == y for x, y in rows)
+    assert not np.allclose(w, mainpage.PRIOR) and (mainpage.fit([]) == mainpage.PRIOR).all()
+    p = lambda w: sum(np.log(1 / (1 + np.exp(-(2 * y - 1) * np.dot(x, w)))) for x, y in rows)
+    assert p(w) > p(mainpage.PRIOR)
+
+
+def test_reader_comments_inside_an_article_go():
+    page = "<article><h1>The title of it</h1><p>First paragraph, which is long enough to be read by all of us.</p><section class='comments'><p>I like this story, it is really good.</p><p>So do I, as I said before.</p></section></article>"
+    assert mainpage.extract(page) == ["The title of it", "First paragraph, which is long enough to be read by all of us."]
+
+
 @pytest.mark.parametrize(
     "before",
     ["<datalist><option value=a><option value=b></datalist>", '<form><input><option value="a"/></form>', '<option value="a" />', '<div><svg viewBox="0 0 1 1"/></div>', "<svg/>", "<math/>", "<p><math/></p>", "<select><option>One<option>Two", "<button>Share", '<object data="x"/>', "<div><svg><path d='M0 0'></div>", "<svg><svg><text>Icon</text></svg></svg>"],
