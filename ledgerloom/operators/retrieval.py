@@ -88,19 +88,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def top_k(queries: DataFrame, chunks: DataFrame, query_vector: str, vector: str, k: int = FETCH) -> DataFrame:
-    """The ``k`` best chunks of each query of a small stated set, compared with all chunks.
-
-    Partial lists are kept for each task first, so only ``k`` rows of each query and task are sorted together.
-    """
-    scored = chunks.join(F.broadcast(queries), F.lit(True)).withColumn("score", cosine(F.col(query_vector), F.col(vector))).where("score IS NOT NULL")
-    keys = [c for c in queries.columns if c != query_vector]
-    inner = Window.partitionBy(*keys, F.col("__task")).orderBy(F.desc("score"), "chunk_id")
-    outer = Window.partitionBy(*keys).orderBy(F.desc("score"), "chunk_id")
-    local = scored.select(*keys, "chunk_id", "score").withColumn("__task", F.spark_partition_id()).withColumn("__r", F.row_number().over(inner)).where(F.col("__r") <= k)
-    return local.drop("__task", "__r").withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= k)
-
-
 def trimmed(found: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     """The ``k`` best of ``(query, label, chunk_id, score)`` for each query and label; ties to the smaller chunk."""
     query, label, chunk, score = found

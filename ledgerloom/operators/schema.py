@@ -6,7 +6,7 @@ import hashlib
 import re
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.table import POSITION, ColumnMeaning
@@ -21,15 +21,25 @@ SHAPES = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
 }
 PERSON = ("성명", "이름", "회원명", "회원성명", "학생명", "수혜자명", "기부자", "후원자", "출연자", "납부자", "입금자", "결제자", "신청자", "수혜자", "표시명", "성명원문", "성명검색키")
-QUALIFIERS = (("출연", "donation"), ("기부", "donation"), ("후원", "sponsorship"), ("집행", "executed"), ("잔액", "remaining"), ("예산", "budget"), ("장학", "scholarship"), ("지원", "support"), ("결제", "payment"), ("납부", "payment"), ("배정", "allocated"))
+SYSTEM = ("source", "row_uid", "person_candidate_key", "entity_type", "성명_원문", "성명_검색키", "성명_마스킹패턴", "성명_마스킹여부", "표시명")
+AMOUNT_ENDINGS = ("금액", "금", "액", "비용", "사업비")
+QUALIFIERS = (
+    ("출연금", "donation"), ("기부금", "donation"), ("후원금", "sponsorship"), ("후원액", "sponsorship"), ("집행액", "executed"), ("집행금", "executed"), ("잔액", "remaining"), ("잔여액", "remaining"), ("불용액", "remaining"),
+    ("본예산", "budget"), ("추경예산", "budget"), ("예산액", "budget"), ("예산금", "budget"), ("장학금", "scholarship"), ("장학액", "scholarship"), ("지원금", "support"), ("지원액", "support"), ("지급금", "payment"), ("지급액", "payment"), ("교부액", "allocated"), ("배정액", "allocated"),
+)
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """A row per column: cells sampled (the first non-blank ones) and the share of each shape among them."""
-    out = None
-    for c in columns or [c for c in df.columns if not c.startswith("_")]:
-        cells = df.select(F.lit(c).alias("column"), F.trim(F.col(f"`{c}`").cast("string")).alias("v"), POSITION).where("v <> ''").orderBy(POSITION).limit(sample)
-        out = cells if out is None else out.unionByName(cells)
+    """A row per column: cells sampled (the first non-blank ones) and the share of each shape among them.
+
+    All columns come from one scan: each task keeps its first cells of every column, and what they say is aggregated.
+    """
+    columns = columns or [c for c in df.columns if not c.startswith("_")]
+    pairs = [F.struct(F.lit(i).alias("i"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for i, c in enumerate(columns)]
+    each = df.select(F.col(POSITION).alias("at"), F.explode(F.array(*pairs)).alias("x")).select("at", F.col("x.i").alias("i"), F.col("x.v").alias("v")).where("v <> ''")
+    first = Window.partitionBy("i").orderBy("at")
+    named = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("column")
+    out = each.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample).select(named, "v")
     shapes = [F.avg(F.when(F.col("v").rlike(p), 1.0).otherwise(0.0)).alias(n) for n, p in SHAPES.items()]
     whole = F.regexp_extract("v", r"^(\d+)(?:\.0+)?$", 1).try_cast("long")
     ranges = [F.avg(F.when(whole.between(a, b), 1.0).otherwise(0.0)).alias(n) for n, a, b in (("year", 1900, 2100), ("month", 1, 12), ("day", 1, 31))]
@@ -89,12 +99,48 @@ def meaning(header: str, stats: dict | None, stored: str = "string") -> ColumnMe
         return ColumnMeaning("category", "field", "string", confidence=0.8)
     if has("비고", "목적", "용도", "기준", "내용"):
         return ColumnMeaning("description", "note", "string", confidence=0.8)
-    if re.search(r"(금액|금|액|비용|사업비|price|acctbal)$", h) and (not stats or kind == "number"):
+    if h.endswith((*AMOUNT_ENDINGS, "price", "acctbal")) and (not stats or kind == "number"):
         unit = "KRW_10000" if "만원" in h or s.get("unit_10000") else "KRW_1000" if "천원" in h or s.get("unit_1000") else "KRW"
-        return ColumnMeaning("amount", "amount", "money", unit, 0.95 if any(w in h for w, _ in QUALIFIERS) else 0.8, qualifier=next((q for w, q in QUALIFIERS if w in h), None))
+        return ColumnMeaning("amount", "amount", "money", unit, 0.95 if qualifier(h) else 0.8, qualifier=qualifier(h))
     return ColumnMeaning(data_type=kind, confidence=0.4)
 
 
+def qualifier(header: str) -> str | None:
+    """What kind of amount a header speaks of; only headers that end as amounts do have one."""
+    return next((q for w, q in QUALIFIERS if w in header), None) if header.endswith(AMOUNT_ENDINGS) else None
+
+
+def is_source_column(column: str, meanings: dict[str, ColumnMeaning]) -> bool:
+    """Whether a column came from the source and isn't internal, of the system or derived."""
+    return not column.startswith("_") and column not in SYSTEM and not meanings.get(column, ColumnMeaning()).is_derived
+
+
+def is_person_column(column: str, meanings: dict[str, ColumnMeaning], stats: dict | None = None) -> bool:
+    """Whether the stored meaning says that a column names people, or else its header and cells do."""
+    known = meanings.get(column)
+    return known.is_person if known else meaning(column, stats).is_person
+
+
+class Profiles:
+    """Meanings kept by fingerprint: tables of the same columns and types take over what is known of them."""
+
+    def __init__(self):
+        self.held: dict[str, dict[str, ColumnMeaning]] = {}
+
+    def keep(self, meanings: dict[str, ColumnMeaning]) -> str:
+        key = fingerprint(meanings)
+        self.held[key] = dict(meanings)
+        return key
+
+    def of(self, df: DataFrame) -> dict[str, ColumnMeaning]:
+        """The meanings of a table: those kept for its fingerprint, else inferred ones, which are then kept."""
+        fresh = infer(df)
+        known = self.held.get(fingerprint(fresh))
+        if known is None:
+            self.keep(fresh)
+        return known or fresh
+
+
 def infer(df: DataFrame, cached: dict[str, ColumnMeaning] | None = None) -> dict[str, ColumnMeaning]:
     """Meanings of all columns from one profiling job; what a known profile says wins."""
     columns = [c for c in df.columns if not c.startswith("_")]

@@ -583,10 +583,3 @@ def entity_seed(name: Column, candidate: Column | None = None, contacts: list[Co
     parts = [F.when(names.blank_to_null(candidate).isNotNull(), F.concat_ws("|", F.lit("candidate"), names.blank_to_null(candidate), shown))] if candidate is not None else []
     parts.append(F.when(F.size(held) > 0, F.concat_ws("|", F.lit("contact"), shown, F.array_join(held, ","))))
     return names.stable_id("entity", F.coalesce(*parts, F.concat_ws("|", F.lit("name"), shown)))
-
-
-def filtered_summary(documents: DataFrame, by: str, size: str) -> DataFrame:
-    """Rows and sizes of each source, with the month, amount and number that its name states."""
-    name = F.col(by)
-    grouped = documents.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum(size).alias(size))
-    return grouped.withColumns({"number": F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), "month": names.source_month(name), "stated_amount": names.source_amount(name)})

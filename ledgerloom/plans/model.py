@@ -21,7 +21,7 @@ ALLOWED = {
     "extreme": {"target", "distinct_by", "result_mode", "select", "sort", "top_n"},
     "group_sum": {"target", "group_by", "group_order", "top_n", "rank_position", "tie_policy", "result_mode"},
 }
-MODES = {"list": {"records"}, "sum": {"value", "person_totals"}, "min": {"value", "records"}, "max": {"value", "records"}, "group_sum": {"records"}}
+MODES = {"list": {"records"}, "sum": {"value", "person_totals"}, "mean": {"value", "per_person"}, "min": {"value", "records"}, "max": {"value", "records"}, "group_sum": {"records"}}
 
 
 class PlanError(ValueError):

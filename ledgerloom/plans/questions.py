@@ -8,12 +8,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import is_masked, person_name
 from ledgerloom.operators.schema import amount_column, date_column
+from ledgerloom.operators.scope import Notice, Span, dated_rows
+from ledgerloom.plans.execute import typed
 from ledgerloom.plans.model import FilterCondition, QueryPlan, SortCondition
 from ledgerloom.plans.table import ColumnMeaning, TableRef
 from ledgerloom.plans.validate import comparisons
@@ -148,24 +150,35 @@ def requested_columns(meanings: dict[str, ColumnMeaning], question: str) -> list
     return [c for c in meanings if len(normal(c)) >= 2 and normal(c) in q]
 
 
-def value_filters(table: TableRef, question: str, most: int = 5000) -> list[FilterCondition]:
-    """``column = value`` where exactly one stored value of a text column occurs in the question."""
+#: Full-width letters, digits and marks, and the plain ones that stand for them.
+_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F))
+
+
+def value_filters(table: TableRef, question: str) -> list[FilterCondition]:
+    """``column = value`` where exactly one stored value of a text column occurs in the question.
+
+    Stored values are compared with the question in Spark, in one scan for all columns, so only those that it holds come back, however many there are.
+    """
     q = normal(question)
+    columns = [c for c in table.visible if (m := table.meaning(c)).data_type == "string" and not m.is_person and m.role not in ("note", "identifier", "email", "phone")]
+    if not columns:
+        return []
+    plain = lambda c: F.regexp_replace(F.lower(F.translate(F.col(f"`{c}`").cast("string"), *_WIDE)), r"(?U)[\W_]", "")
+    held = [F.collect_set(F.when((F.length(plain(c)) >= 2) & F.contains(F.lit(q), plain(c)), F.trim(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]
+    found = table.frame.agg(*held).collect()[0]
     out = []
-    for c in table.visible:
-        m = table.meaning(c)
-        if m.data_type != "string" or m.is_person or m.role in ("note", "identifier", "email", "phone"):
-            continue
-        values = [r[0] for r in table.frame.select(F.trim(F.col(f"`{c}`")).alias("v")).where("length(v) >= 2").distinct().limit(most + 1).collect()]
-        held = [v for v in values if len(normal(v)) >= 2 and normal(v) in q] if len(values) <= most else []
-        held = [v for v in held if not any(v != w and normal(v) in normal(w) for w in held)]
-        if len(held) == 1:
-            out.append(FilterCondition(c, "eq", held[0]))
+    for c, values in zip(columns, found, strict=True):
+        longest = [v for v in values if not any(v != w and normal(v) in normal(w) for w in values)]
+        if len(longest) == 1:
+            out.append(FilterCondition(c, "eq", longest[0]))
     return out
 
 
 def person_filter(table: TableRef, question: str) -> FilterCondition | Clarification | None:
-    """The person a question names: a stored name, or a masked one that it fits; it must be the only one."""
+    """The person a question names: a stored name, or a masked one that it fits; it must be the only one.
+
+    Only names that fit a stretch of the question come back, so there are no more than it has stretches.
+    """
     if not table.people:
         return None
     c = table.people[0]
@@ -173,7 +186,7 @@ def person_filter(table: TableRef, question: str) -> FilterCondition | Clarifica
     q = re.sub(r"\s", "", question)
     pattern = F.regexp_replace(name, r"\*", "[가-힣*]")
     fits = F.contains(F.lit(q), name) | (is_masked(name) & F.rlike(F.lit(q), pattern))
-    held = [r[0] for r in table.frame.select(name.alias("n")).where((F.length("n") >= 2) & F.expr("n rlike '[가-힣]'") & fits).distinct().limit(20).collect()]
+    held = [r[0] for r in table.frame.select(name.alias("n")).where((F.length("n") >= 2) & F.expr("n rlike '[가-힣]'") & fits).distinct().collect()]
     exact = [n for n in held if n in q]
     longest = [n for n in exact or held if not any(n != w and n in w for w in exact or held)]
     if len(longest) > 1:
@@ -188,7 +201,7 @@ def comparison_filters(table: TableRef, question: str, amount: str | None) -> li
         column = amount if c.is_money else next((n for n in table.visible if table.meaning(n).role == role), None) or amount
         if column:
             unit = {"KRW_10000": 10_000, "KRW_1000": 1_000}.get(table.meaning(column).unit or "", 1)
-            out.append(FilterCondition(column, c.operator, c.value / unit if table.meaning(column).data_type == "money" else c.value, source_text=c.text))
+            out.append(FilterCondition(column, c.operator, c.value / unit if c.is_money and table.meaning(column).data_type == "money" else c.value, source_text=c.text))
     return out
 
 
@@ -214,7 +227,10 @@ def plan(table: TableRef, question: str) -> QueryPlan:
         if found is None:
             return ask("date_column", "날짜 열을 정할 수 없습니다", [c for c, m in meanings.items() if m.data_type == "date"])
         if span.start[0] is None:
-            return ask("year", "연도를 함께 적어 주세요")
+            year = None if span.all_years else only_year(table, found)
+            if year is None:
+                return ask("year", "연도를 함께 적어 주세요")
+            span = MonthRange((year, span.start[1]), (year, span.end[1]), False, span.text)
         after = (span.end[0] + span.end[1] // 12, span.end[1] % 12 + 1)
         filters += [FilterCondition(found, "gte", f"{span.start[0]}-{span.start[1]:02d}-01"), FilterCondition(found, "lt", f"{after[0]}-{after[1]:02d}-01")]
     person = person_filter(table, rest)
@@ -250,8 +266,27 @@ def plan(table: TableRef, question: str) -> QueryPlan:
         return QueryPlan(operation=intent.operation, target=amount, result_mode="records", top_n=intent.top_n, **base)
     if intent.operation == "sum" and person:
         return QueryPlan(operation="sum", target=amount, result_mode="person_totals", **base)
-    operation = "mean" if intent.operation == "per_capita" else intent.operation
-    return QueryPlan(operation=operation, target=amount, **base)
+    if intent.operation == "per_capita" and person_column:
+        return QueryPlan(operation="mean", target=amount, result_mode="per_person", **base)
+    return QueryPlan(operation="mean" if intent.operation == "per_capita" else intent.operation, target=amount, **base)
+
+
+def only_year(table: TableRef, column: str) -> int | None:
+    """The year of a date column whose dates are all of one year."""
+    low, high = table.frame.select(F.year(typed(table, column)).alias("y")).agg(F.min("y"), F.max("y")).collect()[0]
+    return low if low == high else None
+
+
+def plan_dated(table: TableRef, question: str) -> tuple[QueryPlan, TableRef]:
+    """A plan and the table it runs on: months of all years, which no filter of a plan says, narrow the table itself."""
+    span = month_range(question)
+    if not isinstance(span, MonthRange) or span.start[0] is not None or not span.all_years:
+        return plan(table, question), table
+    narrowed = dated_rows(table, Span(span.start, span.end, True), question)
+    if isinstance(narrowed, Notice):
+        return QueryPlan(status="clarification", message=f"date_column: {narrowed.message}"), table
+    rest = re.sub(r"모든\s*(?:연도|해)(?:의)?|매년|연도\s*무관", " ", question.replace(span.text, " "))
+    return plan(replace(table, frame=narrowed[0]), rest), replace(table, frame=narrowed[0])
 
 
 def person_suggestions(table: TableRef, prefix: str, limit: int = 10) -> list[str]:

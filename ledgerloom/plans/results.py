@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.names import blank_to_null
+from ledgerloom.functions.names import blank_to_null, source_amount, source_month
 from ledgerloom.plans.table import POSITION
 
-PREVIEW, TTL, MAX_DETAILS, MAX_RESULTS = 200, 15 * 60, 256, 32
+PREVIEW, TTL, MAX_DETAILS, MAX_RESULTS, LISTED = 200, 15 * 60, 256, 32, 5
 
 
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -39,9 +39,21 @@ def column_label(name: str) -> str:
 
 
 def payment_breakdown(rows: DataFrame, amount: Column) -> DataFrame:
-    """How often each amount was paid, in the order in which amounts first appear."""
+    """Up to five payments in their order, one row each; of more, how often each amount was paid, in the order in which amounts first appear.
+
+    The rule is decided within the plan: the number of payments is one broadcast row.
+    """
     paid = rows.select(amount.alias("amount"), POSITION).where("amount IS NOT NULL")
-    return paid.groupBy("amount").agg(F.count("*").alias("times"), F.min(POSITION).alias("first_row")).orderBy("first_row")
+    many = paid.agg((F.count("*") > LISTED).alias("__many"))
+    first = F.when(F.col("__many"), F.lit(None).cast("long")).otherwise(F.col(POSITION))
+    keyed = paid.join(F.broadcast(many)).withColumn("__one", first)
+    return keyed.groupBy("amount", "__one").agg(F.count("*").alias("times"), F.min(POSITION).alias("first_row")).drop("__one").orderBy("first_row")
+
+
+def source_summary(documents: DataFrame, by: str, size: str) -> DataFrame:
+    """Rows and sizes of each source, with the number, month and amount that its name states."""
+    grouped = documents.groupBy(by).agg(F.count("*").alias("n_docs"), F.sum(size).alias(size))
+    return grouped.withColumns({"number": F.regexp_extract(by, r"(\d+)", 1).try_cast("int"), "month": source_month(F.col(by)), "stated_amount": source_amount(F.col(by))})
 
 
 def entity_groups(rows: DataFrame, keys: list[str], amount: Column) -> DataFrame:

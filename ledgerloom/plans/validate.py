@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from ledgerloom.functions.money import HINTS, money_hint
 from ledgerloom.plans.model import QueryPlan
 from ledgerloom.plans.table import NUMERIC, ORDERED, TableRef
 
@@ -90,11 +91,13 @@ def grounding(plan: QueryPlan, question: str, table: TableRef) -> list[Issue]:
             for v in f.value if isinstance(f.value, tuple) else (f.value,):
                 if re.sub(r"[\s,]", "", str(v)).casefold() not in plain:
                     out.append(Issue("ungrounded", f"{v!r} isn't part of the question"))
-    scale = lambda f, c: c.value if isinstance(f.value, str) or c.is_money or table.meaning(f.column).data_type != "money" else c.value
     for f in used:
-        value = float(re.sub(r"[^\d.]", "", str(f.value)) or 0) if isinstance(f.value, str) else float(f.value)
-        times = next((s for u, s in SCALES.items() if isinstance(f.value, str) and u in f.value), 1)
-        if not any(c.operator == f.operator and abs(scale(f, c) - value * times) < 1e-6 for c in stated):
+        text = isinstance(f.value, str)
+        value = float(re.sub(r"[^\d.]", "", f.value) or 0) if text else float(f.value)
+        meaning = table.meaning(f.column)
+        # Text says its own unit; a bare number takes the column's, so an amount of the question is compared in won.
+        times = next((s for u, s in SCALES.items() if u in f.value), 1) if text else HINTS.get(money_hint(f.column, meaning.unit) or "KRW", 1) if meaning.data_type == "money" else 1
+        if not any(c.operator == f.operator and (abs(c.value - value * times) < 1e-6 if c.is_money or text else abs(c.value - value) < 1e-6) for c in stated):
             out.append(Issue("ungrounded", f"{f.operator} {f.value!r} isn't part of the question"))
     if len(stated) > len(used) + sum(f.operator == "between" for f in plan.filters) * 2:
         out.append(Issue("missing_filter", "a comparison of the question isn't in the plan", tuple(c.text for c in stated)))

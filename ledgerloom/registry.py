@@ -15,6 +15,7 @@ from ledgerloom.functions import dates, names
 from ledgerloom.functions.money import money
 from ledgerloom.operators import clean, compare, evidence, identity, retrieval, schema
 from ledgerloom.plans.execute import execute
+from ledgerloom.plans import results
 from ledgerloom.plans.model import FilterCondition, QueryPlan, SortCondition
 from ledgerloom.plans.table import POSITION, ColumnMeaning, TableRef
 from ledgerloom.sources import catalog, grids
@@ -168,6 +169,9 @@ def _(spark, sf_dir):
     return identity.per_capita(ledger_frame(spark, sf_dir), F.col("person"), F.col("amount")).select(cents("per_capita", 4).alias("per_capita"), "people")
 
 
+plan_query("per_person_mean", "SELECT round(avg(s), 4) AS value, count(*) AS people FROM (SELECT sum(amount) AS s FROM ledger GROUP BY person)", lambda d: d.select(cents("value", 4).alias("value"), "people"), operation="mean", target="amount", result_mode="per_person")
+
+
 @register("person_total_top", "SELECT person, round(sum(amount), 2) AS total FROM ledger GROUP BY person ORDER BY sum(amount) DESC LIMIT 5")
 def _(spark, sf_dir):
     return identity.person_extremes(ledger_frame(spark, sf_dir), F.col("person"), F.col("amount"), n=5).select("person", cents("total").alias("total"))
@@ -440,10 +444,10 @@ def _(spark, sf_dir):
     return schema.profile(text, ["o_orderkey", "o_orderdate", "o_orderpriority"]).select("column", "cells", F.col("number").alias("number_share"), F.col("date").alias("date_share"))
 
 
-@register("summary", "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS number FROM documents GROUP BY source", ledger_sql=False)
+@register("summary", "SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(regexp_extract(source, '(\\d+)', 1) AS INT) AS number, 3 AS month, 7600000 AS stated_amount FROM documents GROUP BY source", ledger_sql=False)
 def _(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("n_chars")).withColumn("number", F.regexp_extract("source", r"(\d+)", 1).try_cast("int"))
+    docs = read(spark, sf_dir, "documents").withColumn("source", F.concat("source", F.lit(" 3월 -760만원.pdf")))
+    return results.source_summary(docs, "source", "n_chars").withColumn("source", F.substring_index("source", " ", 1))
 
 
 # Chunks, sections, retrieval.
@@ -472,10 +476,10 @@ def _(spark, sf_dir):
     return retrieval.read_sections(children(spark, sf_dir)).drop("source")
 
 
-@register("section_expand", "WITH hits AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 3 = 0 AND turn = 2), n AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY conv_id) SELECT DISTINCT c.conv_id AS section_id, c.turn AS child_index, c.text FROM conversations c JOIN hits h ON c.conv_id = h.conv_id JOIN n ON n.conv_id = c.conv_id WHERE n.k <= 4 OR abs(c.turn - h.turn) <= 1", ledger_sql=False)
+@register("section_expand", "WITH hits AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 20 = 0), n AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY conv_id) SELECT DISTINCT c.conv_id AS section_id, c.turn AS child_index, c.text FROM conversations c JOIN hits h ON c.conv_id = h.conv_id JOIN n ON n.conv_id = c.conv_id WHERE n.k <= 4 OR abs(c.turn - h.turn) <= 1", ledger_sql=False)
 def _(spark, sf_dir):
     c = children(spark, sf_dir)
-    return retrieval.expand_sections(c.where((F.col("section_id") % 3 == 0) & (F.col("child_index") == 2)), c).drop("source")
+    return retrieval.expand_sections(c.where(F.col("section_id") % 20 == 0), c).drop("source")
 
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
@@ -487,60 +491,12 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.sort_array(retrieval.terms(F.col("text"))).alias("terms"))
 
 
-@register("lexical_overlap", f"WITH q AS (SELECT item_id, {_TERMS} AS qt FROM benchmark ORDER BY item_id LIMIT 5), d AS (SELECT doc_id, {_TERMS} AS dt FROM documents) SELECT item_id, doc_id, round(len(list_intersect(qt, dt)) / len(qt), 6) AS overlap FROM q, d WHERE len(list_intersect(qt, dt)) / len(qt) >= 0.4", ledger_sql=False)
-def _(spark, sf_dir):
-    queries = read(spark, sf_dir, "benchmark").orderBy("item_id").limit(5).select("item_id", retrieval.terms(F.col("text")).alias("qt"))  # the stated query set
-    docs = read(spark, sf_dir, "documents").select("doc_id", retrieval.terms(F.col("text")).alias("dt"))
-    scored = docs.join(F.broadcast(queries), F.lit(True)).select("item_id", "doc_id", retrieval.overlap(F.col("qt"), F.col("dt")).alias("o"))
-    return scored.where("o >= 0.4").select("item_id", "doc_id", F.round("o", 6).alias("overlap"))
-
-
 _COS = "list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e)))"
-_VECS = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query, e FROM v WHERE vec_id < 5), s AS (SELECT query, vec_id AS chunk_id, label, round(" + _COS + ", 6) AS score FROM q, v), top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30)\n"
-
-
-def vector_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = read(spark, sf_dir, "embeddings")
-    queries = v.where("vec_id < 5").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))  # the stated query set
-    hits = retrieval.top_k(queries, v.select(F.col("vec_id").alias("chunk_id"), "embedding"), "q", "embedding")
-    return hits.select("query", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+_SCORES = "WITH v AS (SELECT vec_id, coalesce(label, -1) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query, e FROM v WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS chunk_id, label, round(" + _COS + ", 6) AS score FROM q, v)"
+_TOP = _SCORES + ", top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30)\n"
 
 
-@register("vector_topk", _VECS + "SELECT query, chunk_id, score, rank FROM top", ledger_sql=False)
-def _(spark, sf_dir):
-    return vector_hits(spark, sf_dir)
-
-
-@register("relative_cut", _VECS + "SELECT query, chunk_id, score, rank FROM top t WHERE score >= (SELECT max(score) FROM top u WHERE u.query = t.query) - 0.6", ledger_sql=False)
-def _(spark, sf_dir):
-    return retrieval.relative_cut(vector_hits(spark, sf_dir), "query", 0.6).select("query", "chunk_id", "score", "rank")
-
-
-@register("per_source_best", _VECS + "SELECT query, label, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, chunk_id) AS r FROM top) WHERE r = 1", ledger_sql=False)
-def _(spark, sf_dir):
-    labels = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label")
-    return retrieval.best_per(vector_hits(spark, sf_dir).join(labels, "chunk_id"), ["query", "label"])
-
-
-@register("merge_queries", _VECS + "SELECT chunk_id, max(score) AS score, list_sort(list(DISTINCT query)) AS queries FROM top GROUP BY chunk_id", ledger_sql=False)
-def _(spark, sf_dir):
-    return retrieval.merge_queries(vector_hits(spark, sf_dir), "query")
-
-
-@register("rerank", _VECS + "SELECT query, chunk_id, score, rank_score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank_score DESC, chunk_id) AS r, max(rank_score) OVER (PARTITION BY query) AS b FROM (SELECT t.*, round(0.45 * (score - lo) / (hi - lo) + 0.05 / rank, 6) AS rank_score FROM top t JOIN (SELECT query, min(score) AS lo, max(score) AS hi FROM top GROUP BY query) USING (query))) WHERE r <= 8 AND rank_score >= b - 0.6", ledger_sql=False)
-def _(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    hits = vector_hits(spark, sf_dir).select("query", "chunk_id", "score", none.alias("query_terms"), none.alias("text_terms"), none.alias("title_terms"), F.lit(0.0).alias("support"), (F.lit(1.0) / F.col("rank")).alias("mmr"))
-    return retrieval.rerank(hits, "query", margin=0.6).select("query", "chunk_id", "score", F.round("rank_score", 6).alias("rank_score"))
-
-
-@register("mmr")
-def _(spark, sf_dir):
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    return retrieval.mmr(vector_hits(spark, sf_dir).join(vectors, "chunk_id"), "query")
-
-
-# The whole query set: every row whose id is divisible by 20, against all rows. Too slow in SQL; tests hold these against brute force.
+# Searches: every row whose id is divisible by 20, against all rows.
 def all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
 
@@ -554,32 +510,32 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("query", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@register("vector_topk_all")
+@register("vector_topk", _TOP + "SELECT query, chunk_id, score, rank FROM top", ledger_sql=False)
 def _(spark, sf_dir):
     return all_hits(spark, sf_dir)
 
 
-@register("relative_cut_all")
+@register("relative_cut", _TOP + "SELECT query, chunk_id, score, rank FROM top t WHERE score >= (SELECT max(score) FROM top u WHERE u.query = t.query) - 0.18", ledger_sql=False)
 def _(spark, sf_dir):
     return retrieval.relative_cut(all_hits(spark, sf_dir), "query").select("query", "chunk_id", "score", "rank")
 
 
-@register("per_source_best_all")
+@register("per_source_best", _SCORES + "SELECT query, label, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, chunk_id) AS r FROM s) WHERE r = 1", ledger_sql=False)
 def _(spark, sf_dir):
     return retrieval.search(all_queries(spark, sf_dir), all_chunks(spark, sf_dir), k=1).select("query", "label", "chunk_id", "score")
 
 
-@register("merge_queries_all")
+@register("merge_queries", _TOP + "SELECT chunk_id, max(score) AS score, list_sort(list(DISTINCT query)) AS queries FROM top GROUP BY chunk_id", ledger_sql=False)
 def _(spark, sf_dir):
     return retrieval.merge_queries(all_hits(spark, sf_dir), "query")
 
 
-@register("mmr_all")
+@register("mmr")
 def _(spark, sf_dir):
     return retrieval.mmr(all_hits(spark, sf_dir).join(all_chunks(spark, sf_dir).select("chunk_id", "vector"), "chunk_id"), "query")
 
 
-@register("rerank_all")
+@register("rerank")
 def _(spark, sf_dir):
     """Texts are the documents of the same ids: the first line is a chunk's title and a query's question, its second line an expansion query."""
     line = lambda n: F.coalesce(F.try_element_at(F.split("text", r"\s*\n\s*"), F.lit(n)), F.lit(""))
@@ -605,7 +561,7 @@ def _(spark, sf_dir):
     return retrieval.rerank(found, "query").withColumn("rank_score", F.round("rank_score", 6))
 
 
-@register("lexical_overlap_all")
+@register("lexical_overlap", f"WITH q AS (SELECT item_id, {_TERMS} AS qt FROM benchmark), d AS (SELECT doc_id, {_TERMS} AS dt FROM documents) SELECT item_id, doc_id, round(len(list_intersect(qt, dt)) / len(qt), 6) AS overlap FROM q, d WHERE len(qt) > 0 AND len(list_intersect(qt, dt)) / len(qt) >= 0.4", ledger_sql=False)
 def _(spark, sf_dir):
     queries = read(spark, sf_dir, "benchmark").select("item_id", retrieval.terms(F.col("text")).alias("terms"))
     docs = read(spark, sf_dir, "documents").select("doc_id", retrieval.terms(F.col("text")).alias("terms"))
@@ -617,15 +573,22 @@ def _(spark, sf_dir):
     return retrieval.split_chunks(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@register("html_tables")
+@register("html_tables", "SELECT page_id, 0 AS table_index, CAST(r AS INT) AS row_index, CASE r WHEN 0 THEN ['번호', '값', '값'] WHEN 1 THEN ['번호', CAST(page_id AS VARCHAR), 'a & b'] ELSE [url, url, url] END AS cells FROM pages, range(3) t(r)", ledger_sql=False)
 def _(spark, sf_dir):
-    return grids.page_tables(read(spark, sf_dir, "pages"))
+    """Whole pages, each with a table whose spans and missing end tags must be read."""
+    table = F.concat(F.lit("<table><tr><th rowspan=2>번호<th colspan=2>값</tr><tr><td>"), F.col("page_id").cast("string"), F.lit("<td>a &amp; b</tr><tr><td colspan=3>"), F.col("url"), F.lit("</table>"))
+    return grids.page_tables(read(spark, sf_dir, "pages").withColumn("html", F.concat(F.regexp_replace("html", "</body>.*", ""), table, F.lit("</body></html>"))))
+
+
+_LIMITS = "WITH c AS (SELECT conv_id * 1000 + turn AS chunk_id, concat('s', CAST(conv_id % 50 AS VARCHAR)) AS source, concat(text, CASE WHEN (conv_id + turn) % 2 = 0 THEN ' 장학금 신청이 제한됩니다' ELSE ' 안내문' END) AS text FROM conversations)"
 
 
-@register("constraint_chunks", "SELECT conv_id AS chunk_id FROM conversations WHERE turn = 1 AND conv_id % 2 = 0 AND conv_id % 6 <> 0", ledger_sql=False)
+@register("constraint_chunks", _LIMITS + " SELECT chunk_id FROM c WHERE regexp_matches(text, '제한|제외|불가|금지') AND (contains(lower(text), '장학금') OR contains(lower(text), '조건')) AND source IN (SELECT source FROM c WHERE chunk_id % 20 = 0) AND chunk_id % 20 <> 0", ledger_sql=False)
 def _(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").where("turn = 1").select(F.lit("s").alias("source"), F.col("conv_id").alias("chunk_id"), F.when(F.col("conv_id") % 2 == 0, "장학금 신청이 제한됩니다").otherwise("안내문").alias("text"))
-    return retrieval.constraint_chunks(c, c.where(F.col("chunk_id") % 6 == 0), "장학금 조건").select("chunk_id")
+    conv, turn = F.col("conv_id"), F.col("turn")
+    text = F.concat("text", F.when((conv + turn) % 2 == 0, " 장학금 신청이 제한됩니다").otherwise(" 안내문"))
+    c = read(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), (conv % 50).cast("string")).alias("source"), (conv * 1000 + turn).alias("chunk_id"), text.alias("text"))
+    return retrieval.constraint_chunks(c, c.where(F.col("chunk_id") % 20 == 0), "장학금 조건").select("chunk_id")
 
 
 @register("table_fields", "SELECT c_custkey AS key, c_name AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer", ledger_sql=False)

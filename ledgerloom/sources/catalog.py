@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,32 @@ class Catalog:
         out.close()
 
     def save(self, name: str, df: DataFrame, source: str, meanings: dict, *, label: str = "", file_hash: str = "") -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}.parquet")
-        self._write_text(f"{self.root}/{name}.meta.json", json.dumps({"source": base_name(source), "label": label, "hash": file_hash}, ensure_ascii=False))
-        self._write_text(f"{self.root}/{name}.schema.json", json.dumps(to_json(meanings), ensure_ascii=False))
+        """Write a table under a name of its own attempt and put it in place when all of it is there."""
+        ends, attempt = ("parquet", "meta.json", "schema.json"), f"{self.root}/_{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{attempt}.parquet")
+        self._write_text(f"{attempt}.meta.json", json.dumps({"source": base_name(source), "label": label, "hash": file_hash}, ensure_ascii=False))
+        self._write_text(f"{attempt}.schema.json", json.dumps(to_json(meanings), ensure_ascii=False))
+        for end in (*ends[1:], ends[0]):  # the rows last: a table is there when its Parquet is
+            fs, at = self._fs(f"{self.root}/{name}.{end}")
+            fs.delete(at, True)
+            fs.rename(self._fs(f"{attempt}.{end}")[1], at)
 
     def _names(self) -> list[str]:
         fs, p = self._fs(self.root)
         if not fs.exists(p):
             return []
-        return sorted(s.getPath().getName().removesuffix(".parquet") for s in fs.listStatus(p) if s.getPath().getName().endswith(".parquet"))
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and not n.startswith("_"))
 
     def _json(self, path: str) -> dict:
-        rows = self.spark.read.text(path, wholetext=True).collect()
-        return json.loads(rows[0][0]) if rows else {}
+        fs, p = self._fs(path)
+        if not fs.exists(p):
+            return {}
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
 
     def load(self) -> dict[str, TableRef]:
         """All tables, ``df0`` onwards in the order of their names."""
@@ -107,6 +121,15 @@ def source_chunks(chunks: DataFrame, source: str) -> DataFrame:
     return chunks.where(F.col("source") == source)
 
 
+def source_counts(chunks: DataFrame) -> DataFrame:
+    """How many chunks each source has."""
+    return chunks.groupBy("source").agg(F.count("*").alias("n_chunks"))
+
+
+def delete_source(chunks: DataFrame, source: str) -> DataFrame:
+    return chunks.where(~F.col("source").eqNullSafe(F.lit(source)))
+
+
 def content_hash(files: DataFrame) -> DataFrame:
     """``(source, file_hash)`` of a ``binaryFile`` scan."""
     return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("source"), F.md5("content").alias("file_hash"), "length")

@@ -174,10 +174,10 @@ def test_searches_over_the_whole_query_set(spark, monkeypatch, block):
             for s, c, label in order:
                 best.setdefault((ids[i], label), (c, -s))
     run = lambda name: registry.QUERIES[name](spark, "/root/testdata/sf0.001")
-    assert sorted(map(tuple, run("vector_topk_all").collect())) == sorted(wanted) and len({w[0] for w in wanted}) > 5
-    assert {(r["query"], r["label"]): (r["chunk_id"], r["score"]) for r in run("per_source_best_all").collect()} == best
-    assert {r["query"] for r in run("mmr_all").collect()} == {r["query"] for r in run("relative_cut_all").collect()} == {w[0] for w in wanted}
-    assert {r["chunk_id"] for r in run("merge_queries_all").collect()} == {w[1] for w in wanted}
+    assert sorted(map(tuple, run("vector_topk").collect())) == sorted(wanted) and len({w[0] for w in wanted}) > 5
+    assert {(r["query"], r["label"]): (r["chunk_id"], r["score"]) for r in run("per_source_best").collect()} == best
+    assert {r["query"] for r in run("mmr").collect()} == {r["query"] for r in run("relative_cut").collect()} == {w[0] for w in wanted}
+    assert {r["chunk_id"] for r in run("merge_queries").collect()} == {w[1] for w in wanted}
 
 
 def test_lexical_overlap_of_all_items(spark):
@@ -187,7 +187,7 @@ def test_lexical_overlap_of_all_items(spark):
     terms = lambda name, key: {r[0]: set(r[1]) for r in spark.read.parquet(f"{folder}/{name}.parquet").select(key, retrieval.terms(F.col("text"))).collect() if r[1]}
     items, docs = terms("benchmark", "item_id"), terms("documents", "doc_id")
     want = {(i, d, round(len(q & t) / len(q), 6)) for i, q in items.items() for d, t in docs.items() if len(q & t) / len(q) >= 0.4}
-    found = [tuple(r) for r in registry.QUERIES["lexical_overlap_all"](spark, folder).collect()]
+    found = [tuple(r) for r in registry.QUERIES["lexical_overlap"](spark, folder).collect()]
     assert set(found) == want and len(found) == len(want) and max(i for i, _, _ in found) > 4
 
 
@@ -233,5 +233,5 @@ def test_rerank_equals_plain_rules(spark):
 def test_rerank_over_real_terms(spark):
     from ledgerloom import registry
 
-    found = registry.QUERIES["rerank_all"](spark, "/root/testdata/sf0.001").collect()
+    found = registry.QUERIES["rerank"](spark, "/root/testdata/sf0.001").collect()
     assert len({r["query"] for r in found}) > 5 and all(r["query"] % 20 == 0 and r["rank"] <= 8 for r in found)
