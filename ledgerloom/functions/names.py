@@ -100,7 +100,7 @@ def source_month(c: Column) -> Column:
 
 
 def clean_page_text(c: Column) -> Column:
-    """Hyphenated line ends joined, page-number lines dropped, runs of blank lines squeezed."""
-    joined = F.regexp_replace(c, r"(\p{L})-\n(\p{L})", "$1$2")
-    unnumbered = F.regexp_replace(joined, r"(?m)^\s*-?\s*\d{1,4}\s*-?\s*$\n?", "")
-    return F.trim(F.regexp_replace(unnumbered, r"\n{3,}", "\n\n"))
+    """Line ends after a hyphen joined, runs of blank lines squeezed, lines of a page number dropped."""
+    joined = F.regexp_replace(c, r"(\S)-\n(\S)", "$1$2")
+    unnumbered = F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"(?m)^\s*\d+\s*$", "")
+    return F.regexp_replace(unnumbered, r"^\s+|\s+$", "")

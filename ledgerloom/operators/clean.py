@@ -108,8 +108,14 @@ def strip_head_count(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: names.blank_to_null(F.regexp_replace(F.col(c), r"\s*\(\s*\d+\s*명\s*\)\s*$", "")) for c in columns})
 
 
-def identity_columns(df: DataFrame, name_column: str, source: str) -> DataFrame:
-    """Kind, name, cohort, search key and mask of the name column; originals are kept."""
+def row_uid(source: str, context: str, *parts: Column) -> Column:
+    """What names a row: source, context, position, then identifier, date, cohort, department, name and amount as they are given; blank parts are skipped."""
+    row = F.format_string("row_%04d", F.col(POSITION))
+    return F.concat_ws("::", names.blank_to_null(F.lit(source)), names.blank_to_null(F.lit(context)), row, *(names.blank_to_null(p) for p in parts))
+
+
+def identity_columns(df: DataFrame, name_column: str, source: str, context: str = "", uid_columns: tuple[str, ...] = ()) -> DataFrame:
+    """Kind, name, cohort, search key and mask of the name column, and a uid of the row; originals are kept."""
     e = names.entity(F.col(name_column))
     name = e["name"]
     added = {
@@ -120,7 +126,7 @@ def identity_columns(df: DataFrame, name_column: str, source: str) -> DataFrame:
         "_mask_pattern": names.mask_pattern(name),
         "_is_masked": names.is_masked(name),
         "_organisation": F.when(e["kind"] == "organization", F.trim(F.col(name_column))),
-        "_row_uid": F.concat_ws("::", F.lit(source), F.col(POSITION).cast("string"), F.trim(F.col(name_column))),
+        "_row_uid": row_uid(source, context, *(F.col(c) for c in uid_columns if c != name_column), F.col(name_column)),
     }
     return df.withColumns(added)
 

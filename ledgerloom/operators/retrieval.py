@@ -68,6 +68,15 @@ def overview(df: DataFrame, by: Column, amount: Column | None = None) -> DataFra
     return df.groupBy(by.alias("source")).agg(F.count("*").alias("n_rows"), (F.sum(amount) if amount is not None else F.lit(None).cast("double")).alias("total"))
 
 
+def overview_text(rows: DataFrame, label: str, source: str, purpose: str = "", amount: Column | None = None, shown: int = 8) -> DataFrame:
+    """One chunk that introduces a document: label, file, rows, total amount, its first columns and what it is for."""
+    columns = ", ".join(c for c in rows.columns if not c.startswith("_"))
+    first = ", ".join(columns.split(", ")[:shown])
+    total = F.sum(amount) if amount is not None else F.lit(None).cast("double")
+    parts = [F.lit(f"[문서 개요] {label}"), F.lit(f"파일: {source}"), F.concat(F.lit("행 수: "), F.col("n").cast("string")), F.concat(F.lit("금액 합계: "), F.format_number("total", 0), F.lit("원")), F.lit(f"열: {first}"), F.lit(f"용도: {purpose}") if purpose else F.lit(None).cast("string")]
+    return rows.agg(F.count("*").alias("n"), total.alias("total")).select(F.concat_ws("\n", *parts).alias("chunk_text"))
+
+
 def terms(c: Column) -> Column:
     """Distinct words of two letters or more, lower-cased, common endings and stop words dropped."""
     words = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9a-z가-힣]{2,}"), F.lit(0))
