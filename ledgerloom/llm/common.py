@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -165,9 +167,20 @@ def kept(key: str, build: Callable):
     """What a Python worker keeps from task to task under ``key``: one thing at a time, so stages don't add up."""
     if key not in _kept:
         _kept.clear()
+        give_back()
         _kept[key] = build()
+        give_back()
     return _kept[key]
 
 
+def give_back() -> None:
+    """Return freed memory to the system, where its C library can: a worker's allocators hold on to what earlier stages used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegralType, LongType, StructType
 
 from ledgerloom.llm.common import blocks_of, kept, materialize, release, shared_path, sliced
-from ledgerloom.llm.wordmemory import ASCII_SPACE, WordMemory, bytes_of, cut, table
+from ledgerloom.llm.wordmemory import ASCII_SPACE, WordMemory, after_letters, bytes_of, cut, odd_texts
 
 MAGIC = b"PFOR1\0"
 HEAD = struct.Struct("<6sHQQQq")
@@ -50,11 +50,6 @@ BLOCK = 1024
 PERCENTILE = 0.95
 #: Words and ids that one Python worker remembers, and letters of a word up to which new ones are encoded side by side.
 MEMORY_WORDS, MEMORY_IDS, SIDE_BY_SIDE = 1_200_000, 16_000_000, 64
-#: Marks that often follow a word; the pre-tokenizer cuts between letters and them.
-MARKS = b".,;:!?%&*#$|"
-_MARK, _LETTER = table(MARKS), table(bytes(range(97, 123)))
-#: Bytes that may begin other white space, or marks that letters may join.
-_ASKED = table(b"\x1c\x1d\x1e\x1f\xc2\xcc\xcd\xe1\xe2\xe3")
 #: Rows of a range that documents are dealt to, where they don't lie in order already.
 RANGE_ROWS = 100_000
 #: Bytes of one block of texts.
@@ -174,7 +169,7 @@ class ChunkEncoder:
     """The library's encoder behind a memory of words, cut where its pre-tokenizer always cuts.
 
     Only for tokenizers that drop white space, take runs of letters whole, lower-case, and close words with a suffix. Texts are cut at
-    ASCII white space and between a letter and one of ``MARKS``; the words' ids follow one another as the whole text's
+    ASCII white space and between a letter and a mark; the words' ids follow one another as the whole text's
     would. New words of letters go through the library side by side in one text and are told apart by the
     suffix. Texts with other white space, or with marks that letters may join (U+0300 to U+036F), go through it whole.
     """
@@ -239,37 +234,13 @@ class ChunkEncoder:
         self.lengths[place] = many
         self.n, self.used = n, self.used + total
 
-    def cuts(self, data: np.ndarray) -> np.ndarray:
-        """Which marks follow a letter: one of ASCII, or of Latin-1 in two bytes."""
-        out = _MARK[data]
-        out[:1] = False
-        at = np.flatnonzero(out)
-        one, two = data[at - 1], data[np.maximum(at - 2, 0)]
-        out[at] = _LETTER[one] | ((at > 1) & (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
-        return out
-
-    def odd(self, data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-        """Texts that go through the library whole."""
-        at = np.flatnonzero(_ASKED[data])
-        one, two, three = (np.append(data, [0, 0, 0])[at + k] for k in range(3))
-        bad = (one < 0x20) | (one == 0xCC) | (one == 0xCD) | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & (two == 0x9A) & (three == 0x80))
-        bad |= (one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
-        bad |= ((one == 0xE2) & (two == 0x81) & (three == 0x9F)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
-        raw, places = data.tobytes(), at[bad].tolist()
-        for special in self.special:
-            k = raw.find(special)
-            while k >= 0:
-                places.append(k)
-                k = raw.find(special, k + 1)
-        return np.unique(np.searchsorted(edges, places, side="right") - 1)
-
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts one after another, and how many each has; nulls have none."""
         if self.used > MEMORY_IDS:
             self.clear()
         data, edges = bytes_of(column, lower=True)
-        starts, ends, sizes = cut(data, edges, ASCII_SPACE, self.cuts(data))
-        apart = self.odd(data, edges)
+        starts, ends, sizes = cut(data, edges, ASCII_SPACE, after_letters(data))
+        apart = odd_texts(data, edges, self.special)
         if len(apart):
             owner = np.repeat(np.arange(len(sizes)), sizes)
             keep = ~np.isin(owner, apart)

@@ -55,6 +55,50 @@ def cut(data: np.ndarray, edges: np.ndarray, space: np.ndarray, also: np.ndarray
     return starts, np.flatnonzero(closes) + 1, np.diff(np.searchsorted(starts, edges))
 
 
+#: Marks that often follow a word; pre-tokenizers that take runs of letters whole cut between a letter and one of them.
+MARKS = b".,;:!?%&*#$|"
+_MARK, _LETTER = table(MARKS), table(bytes([*range(65, 91), *range(97, 123)]))
+#: Bytes that may begin white space beyond ASCII, or marks that letters may join.
+_ASKED = table(b"\x1c\x1d\x1e\x1f\xc2\xcc\xcd\xe1\xe2\xe3")
+
+
+def after_letters(data: np.ndarray) -> np.ndarray:
+    """Which marks follow a letter: one of ASCII, or of Latin-1 in two bytes."""
+    out = _MARK[data]
+    out[:1] = False
+    at = np.flatnonzero(out)
+    one, two = data[at - 1], data[np.maximum(at - 2, 0)]
+    out[at] = _LETTER[one] | ((at > 1) & (two == 0xC3) & (one >= 0x80) & (one != 0x97) & (one != 0xB7))
+    return out
+
+
+def odd_texts(data: np.ndarray, edges: np.ndarray, special: list[bytes]) -> np.ndarray:
+    """Texts with white space beyond ASCII, with marks that letters may join (U+0300 to U+036F), or with one of ``special``."""
+    at = np.flatnonzero(_ASKED[data])
+    one, two, three = (np.append(data, [0, 0, 0])[at + k] for k in range(3))
+    bad = (one < 0x20) | (one == 0xCC) | (one == 0xCD) | ((one == 0xC2) & ((two == 0x85) | (two == 0xA0))) | ((one == 0xE1) & (two == 0x9A) & (three == 0x80))
+    bad |= (one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+    bad |= ((one == 0xE2) & (two == 0x81) & (three == 0x9F)) | ((one == 0xE3) & (two == 0x80) & (three == 0x80))
+    raw, places = data.tobytes(), at[bad].tolist()
+    for word in special:
+        k = raw.find(word)
+        while k >= 0:
+            places.append(k)
+            k = raw.find(word, k + 1)
+    return np.unique(np.searchsorted(edges, places, side="right") - 1)
+
+
+def cut_whole(data: np.ndarray, edges: np.ndarray, space: np.ndarray, also: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of pieces that cover all bytes, each a run of ``space`` with what follows it up to the next; ``also`` marks further starts."""
+    gap = space[data]
+    opens = also.copy()
+    opens[1:] |= gap[1:] & ~gap[:-1]
+    filled = np.flatnonzero(np.diff(edges))
+    opens[edges[filled]] = True
+    starts = np.flatnonzero(opens)
+    return starts, np.append(starts[1:], len(data)), np.diff(np.searchsorted(starts, edges))
+
+
 class WordMemory:
     """Numbers of words; ``learn`` is told new words in the order of their numbers."""
 
