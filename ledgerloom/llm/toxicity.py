@@ -42,6 +42,22 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whole-word ids, and n-gram ids of all words one after another with where each word's begin and the last ones end."""
+    whole, sizes, parts, order = np.zeros(len(words), np.int32), np.zeros(len(words), np.int64), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for some, ids, lex in blocks(words, SIZES, BITS):
+        real = ids < (1 << BITS)
+        whole[some], sizes[some] = lex, real.sum(1)
+        parts.append(ids[real].astype(np.int32))
+        order.append(some)
+    flat, at = np.concatenate(parts), np.concatenate(order)
+    many = sizes[at]
+    begin = np.zeros(len(words), np.int64)
+    begin[at] = np.cumsum(many) - many
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    return whole, flat[np.repeat(begin - ends[:-1], sizes) + np.arange(len(flat))], ends
+
+
 class WordEvidence:
     """Shares of toxic documents among those that hold a word or an n-gram, as log ratios."""
 
@@ -49,17 +65,11 @@ class WordEvidence:
         base = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
         vocab: dict[str, int] = {}
         docs = [np.array(sorted({vocab.setdefault(w, len(vocab)) for w in t}), np.int64) for t in texts]
-        words = list(vocab)
-        grams: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
-        whole = np.zeros(len(words), np.int64)
-        for some, ids, lex in blocks(words, SIZES, BITS):
-            whole[some] = lex
-            for i, row in zip(some.tolist(), ids, strict=True):
-                grams[i] = row[row < (1 << BITS)]
+        whole, flat, ends = word_features(list(vocab))
         n = np.zeros((2, 2, (1 << BITS) + 1))
         for ids, y in zip(docs, labels, strict=True):
             if len(ids):
-                for kind, found in ((0, whole[ids]), (1, np.concatenate([grams[i] for i in ids]))):
+                for kind, found in ((0, whole[ids]), (1, np.concatenate([flat[ends[i] : ends[i + 1]] for i in ids.tolist()]))):
                     found = np.unique(found)
                     n[kind, 0, found] += 1
                     n[kind, 1, found] += y
@@ -95,7 +105,9 @@ class Embeddings:
         out = np.zeros((len(words), LEARNED), np.float32)
         for some, ids, whole in blocks(words, SIZES, BITS):
             n = np.maximum((ids < (1 << BITS)).sum(1), 1)
-            out[some] = self.word[whole] + self.gram[ids].sum(1) / np.sqrt(n)[:, None].astype(np.float32)
+            for k in range(0, len(some), step := max(1, 50_000 // ids.shape[1])):
+                part = slice(k, k + step)
+                out[some[part]] = self.word[whole[part]] + self.gram[ids[part]].sum(1) / np.sqrt(n[part])[:, None].astype(np.float32)
         return out
 
 
@@ -104,14 +116,8 @@ class Training:
 
     def __init__(self, embeddings: Embeddings, words: list[str]):
         self.of = embeddings
-        grams: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
-        self.whole = np.zeros(len(words), np.int64)
-        for some, ids, whole in blocks(words, SIZES, BITS):
-            self.whole[some] = whole
-            for i, row in zip(some.tolist(), ids, strict=True):
-                grams[i] = row[row < (1 << BITS)]
-        self.sizes = np.array([len(x) for x in grams])
-        self.flat, self.ends = np.concatenate([*grams, np.empty(0, np.int64)]), np.concatenate(([0], np.cumsum(self.sizes)))
+        self.whole, self.flat, self.ends = word_features(words)
+        self.sizes = np.diff(self.ends)
         self.scale = (1 / np.sqrt(np.maximum(self.sizes, 1))).astype(np.float32)
         self.square = [np.full(len(x), 1e-4) for x in (embeddings.word, embeddings.gram)]
 
@@ -120,10 +126,13 @@ class Training:
         some, at = np.unique(words, return_inverse=True)
         out = np.zeros((len(some), LEARNED), np.float32)
         known = some[some < len(self.whole)]
-        count = self.sizes[known]
-        stop = np.cumsum(count)
-        sums = np.concatenate((np.zeros((1, LEARNED)), np.cumsum(self.of.gram[self.flat[np.repeat(self.ends[known] - stop + count, count) + np.arange(count.sum())]], axis=0, dtype=np.float64)))
-        out[: len(known)] = self.of.word[self.whole[known]] + (sums[stop] - sums[stop - count]) * self.scale[known][:, None]
+        for k in range(0, len(known), 4096):
+            part = known[k : k + 4096]
+            count = self.sizes[part]
+            begin = np.cumsum(count) - count
+            vectors = self.of.gram[self.flat[np.repeat(self.ends[part] - begin, count) + np.arange(count.sum())]]
+            sums = np.add.reduceat(np.concatenate((vectors, np.zeros((1, LEARNED), np.float32))), begin, axis=0)
+            out[k : k + len(part)] = self.of.word[self.whole[part]] + np.where(count > 0, self.scale[part], 0)[:, None] * sums
         return out[at].reshape(*words.shape, LEARNED)
 
     def step(self, words: np.ndarray, d_vectors: np.ndarray, rate: float) -> None:
