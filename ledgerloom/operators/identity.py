@@ -109,6 +109,11 @@ def person_cards(rows: DataFrame, entity: Column, attributes: list[str], amount:
     return rows.groupBy(entity.alias("entity")).agg(*firsts, F.count(amount).alias("payments"), F.sum(amount).alias("total"))
 
 
+def payment_history(rows: DataFrame, entity: Column, columns: list[str]) -> DataFrame:
+    """The different payments of each person, a row each with how often it stands there, in the order of their first rows; no person's payments are collected."""
+    return rows.groupBy(entity.alias("entity"), *columns).agg(F.count("*").alias("times"), F.min(POSITION).alias("first_row")).where("entity IS NOT NULL")
+
+
 def cohort_filter(rows: DataFrame, cohort_column: str, name_columns: list[str], cohort: str) -> DataFrame:
     """Rows of a cohort, by its column or by ``N회`` or ``N기`` in a name."""
     pattern = rf"(^|\D){cohort}\s*(회|기)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, names
-from ledgerloom.operators import clean, retrieval, schema
+from ledgerloom.operators import clean, identity, retrieval, schema
 from ledgerloom.plans import results
 from ledgerloom.plans.execute import exact_median
 from ledgerloom.plans.table import POSITION
@@ -87,6 +87,11 @@ def _(spark, sf_dir):
     return results.payment_breakdown(rows.orderBy(POSITION).limit(5), F.col("amount"))  # five payments are what the rule is about
 
 
+@register("payment_history", "SELECT person AS entity, kind, cohort, count(*) AS times, min(pos) AS first_row FROM ledger GROUP BY ALL")
+def _(spark, sf_dir):
+    return identity.payment_history(ledger_frame(spark, sf_dir), F.col("person"), ["kind", "cohort"])
+
+
 @register("list_preview", "SELECT department, person, pos FROM ledger ORDER BY department, person, pos LIMIT 200")
 def _(spark, sf_dir):
     rows = ledger_frame(spark, sf_dir).withColumn("source", F.col("department"))
