@@ -22,15 +22,18 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerloom.llm.common import kept, map_rows, sliced
+from ledgerloom.llm.common import blocks_of, kept, map_rows, sliced
+from ledgerloom.llm.wordmemory import ASCII_SPACE, WordMemory, after_letters, bytes_of, cut_whole, odd_texts
 
 #: Fixed value: the pre-token pattern of byte-level BPE, with the white space property spelled out.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 INF = np.iinfo(np.int64).max
 #: Pre-tokens up to this many bytes are merged in numpy blocks and remembered.
 BLOCK_BYTES = 64
-#: Remembered pre-tokens of one Python worker; the memory is emptied when full, which costs time only.
-MEMORY_ENTRIES = 300_000
+#: Chunks and ids that one Python worker remembers; the memory is emptied when full, which costs time only.
+MEMORY_CHUNKS, MEMORY_IDS = 500_000, 8_000_000
+#: Bytes of texts that are encoded at a time; one longer text stands alone.
+TEXT_BYTES = 2_000_000
 
 
 def byte_symbols() -> list[str]:
@@ -67,7 +70,8 @@ class ByteBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.pattern = regex.compile(PRE_TOKEN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.memory = WordMemory(self.learn, MEMORY_CHUNKS)
+        self.clear()
 
     def _pair_values(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """Leaf values of pairs; a negative id marks a missing neighbour."""
@@ -194,27 +198,73 @@ class ByteBpe:
             out += [part] if part in self.special else self.pattern.findall(part)
         return out
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[str, list[int]]]:
-        """Ids of each text, with the same ids joined by commas."""
-        split = [self.pieces(t) for t in texts]
-        known = self.known
-        new = list(set(chain.from_iterable(split)).difference(known))
-        if len(known) + len(new) > MEMORY_ENTRIES:
-            known.clear()
-            new = list(set(chain.from_iterable(split)))
-        local = known
-        for piece, ids in zip(new, self.merge([p.encode("utf-8", "surrogatepass") for p in new]), strict=True):
-            if piece in self.special:
-                ids = (self.special[piece],)
-            local[piece] = (",".join(map(str, ids)), ids)
-        out = []
-        for parts in split:
-            found = [local[p] for p in parts]
-            out.append((",".join([f[0] for f in found]), list(chain.from_iterable([f[1] for f in found]))))
-        for piece in new:
-            if len(piece) > BLOCK_BYTES:
-                del known[piece]
-        return out
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text, without the memory."""
+        parts = self.pieces(text)
+        merged = self.merge([b"" if p in self.special else p.encode("utf-8", "surrogatepass") for p in parts])
+        return [i for p, ids in zip(parts, merged, strict=True) for i in ((self.special[p],) if p in self.special else ids)]
+
+    def clear(self) -> None:
+        self.flat = np.zeros(1 << 16, np.int32)
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.joined, self.decoded = np.empty(1 << 14, object), np.empty(1 << 14, object)
+        self.n = self.used = 0
+        self.memory.clear()
+
+    def learn(self, new: list[bytes]) -> None:
+        """Merge the pieces of new chunks, each piece once."""
+        split = [self.pattern.findall(w.decode("utf-8", "surrogatepass")) for w in new]
+        pieces = list(dict.fromkeys(chain.from_iterable(split)))
+        ids_of = dict(zip(pieces, self.merge([p.encode("utf-8", "surrogatepass") for p in pieces]), strict=True))
+        each = [ids_of[parts[0]] if len(parts) == 1 else tuple(chain.from_iterable([ids_of[p] for p in parts])) for parts in split]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        n, total = self.n + len(new), int(sizes.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while n > len(self.starts):
+            self.starts, self.lengths, self.joined, self.decoded = (np.concatenate((x, np.empty_like(x))) for x in (self.starts, self.lengths, self.joined, self.decoded))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(each), np.int32, total)
+        self.starts[self.n : n] = self.used + np.cumsum(sizes) - sizes
+        self.lengths[self.n : n] = sizes
+        of = self.bytes_of
+        self.joined[self.n : n] = [",".join(map(str, ids)).encode() for ids in each]
+        self.decoded[self.n : n] = [b"".join([of[i] for i in ids]) for ids in each]
+        self.n, self.used = n, self.used + total
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
+        """Ids of texts one after another, how many each has, the ids joined by commas and their bytes; nulls have none.
+
+        Texts are cut before runs of ASCII white space and between letters and marks, where the pattern always cuts; the chunks' ids follow one
+        another as the whole text's would. Texts with other white space or special tokens are encoded whole.
+        """
+        if self.used > MEMORY_IDS:
+            self.clear()
+        data, edges = bytes_of(column, lower=False)
+        starts, ends, sizes = cut_whole(data, edges, ASCII_SPACE, after_letters(data))
+        apart = odd_texts(data, edges, [s.encode() for s in self.special])
+        if len(apart):
+            keep = ~np.isin(np.repeat(np.arange(len(sizes)), sizes), apart)
+            starts, ends = starts[keep], ends[keep]
+            sizes[apart] = 0
+        found = self.memory.numbers(data, starts, ends)
+        if found is None:  # the memory was full
+            self.clear()
+            found = self.memory.numbers(data, starts, ends)
+        many = self.lengths[found]
+        after = np.concatenate(([0], np.cumsum(many)))
+        ids = self.flat[np.repeat(self.starts[found] - after[:-1], many) + np.arange(after[-1])]
+        last = np.cumsum(sizes)
+        stops = after[last]
+        joined, decoded = self.joined[found].tolist(), self.decoded[found].tolist()
+        cuts = list(zip((last - sizes).tolist(), last.tolist(), strict=True))
+        texts, raw = [b",".join(joined[a:b]) for a, b in cuts], [b"".join(decoded[a:b]) for a, b in cuts]
+        if len(apart):
+            parts = np.split(ids, stops[:-1])
+            for i, text in zip(apart.tolist(), column.take(pa.array(apart)).to_pylist(), strict=True):
+                whole = self.encode(text)
+                parts[i], texts[i], raw[i] = np.array(whole, np.int32), ",".join(map(str, whole)).encode(), b"".join([self.bytes_of[k] for k in whole])
+            ids, stops = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        return ids, np.diff(np.concatenate(([0], stops))).astype(np.int64), texts, raw
 
     def decode(self, ids: list[int]) -> str:
         of = self.bytes_of
@@ -242,18 +292,21 @@ def encode(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col:
     def run(batches):
         bpe = loaded(source.value)
         for batch in sliced(batches):
-            encoded = bpe.encode_batch([t or "" for t in batch.column(1).to_pylist()])
-            decoded = [bpe.decode(ids) for _, ids in encoded]
-            columns = [
-                batch.column(0),
-                pa.array([len(ids) for _, ids in encoded], pa.int64()),
-                pa.array([hashlib.sha256(joined.encode()).hexdigest() for joined, _ in encoded]),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-            ]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns += [pa.array([ids for _, ids in encoded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            at = 0
+            for texts in blocks_of(batch.column(1), TEXT_BYTES):
+                ids, lengths, joined, raw = bpe.encode_column(texts)
+                decoded = [x.decode("utf-8", "replace") for x in raw]
+                columns = [
+                    batch.column(0).slice(at, len(texts)),
+                    pa.array(lengths, pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()),
+                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+                ]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns += [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at += len(texts)
 
     return map_rows(df, id_col, text_col, run, schema)

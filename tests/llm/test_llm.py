@@ -76,22 +76,26 @@ def byte_bpe():
 def test_bpe_equals_library(byte_bpe, text):
     own, library = byte_bpe
     ids = library.encode(text, add_special_tokens=False).ids
-    assert own.encode_batch([text])[0][1] == ids
-    assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert own.encode(text) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    found, sizes, joined, raw = own.encode_column(pa.array(["skipped", text, None, "the", text]).slice(1))
+    the = library.encode("the", add_special_tokens=False).ids
+    assert found.tolist() == [*ids, *the, *ids] and sizes.tolist() == [len(ids), 0, len(the), len(ids)]
+    assert joined == [",".join(map(str, x)).encode() for x in (ids, [], the, ids)] and raw[0].decode("utf-8", "replace") == own.decode(ids)
 
 
 def test_bpe_long_runs(byte_bpe):
     own, library = byte_bpe
     for text in ("ab" * 4000, "x" * 5000, "the" * 1500, "é" * 999):
-        assert own.encode_batch([text])[0][1] == library.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == own.encode_column(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
 
 
 def test_bpe_memory_is_bounded(byte_bpe, monkeypatch):
     own, library = byte_bpe
-    monkeypatch.setattr(bpe, "MEMORY_ENTRIES", 5)
+    monkeypatch.setattr(own.memory, "most", 5)
     texts = [f"w{i} v{i * 7}" for i in range(30)]
     for i in range(0, 30, 3):
-        assert [x[1] for x in own.encode_batch(texts[i : i + 3])] == [library.encode(t, add_special_tokens=False).ids for t in texts[i : i + 3]]
+        assert own.encode_column(pa.array(texts[i : i + 3]))[0].tolist() == [k for t in texts[i : i + 3] for k in library.encode(t, add_special_tokens=False).ids]
+        assert own.memory.n <= 6
 
 
 def test_bpe_query_columns(docs, empty, byte_bpe):
