@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_held: dict[str, SparkSession] = {}
+
 
 def shared_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset a temporary folder stands in on a local master; elsewhere executors couldn't read it."""
@@ -21,8 +24,9 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a written table: cuts its lineage and survives lost executors. ``discard`` removes it."""
+    """``df`` as a written table: cuts its lineage and survives lost executors. ``discard`` or the end of the process removes it."""
     path = f"{shared_root(df.sparkSession)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    _held[path] = df.sparkSession
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
@@ -34,6 +38,21 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_ledgerloom_path", None)
         if path:
-            spark = df.sparkSession
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(path, df.sparkSession)
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    _held.pop(path, None)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for path, spark in list(_held.items()):
+        try:
+            if spark.sparkContext._jsc is None:
+                return
+            _delete(path, spark)
+        except Exception:  # the JVM may be gone already
+            return
