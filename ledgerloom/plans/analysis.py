@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,9 +17,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import is_masked, is_person, person_name
 from ledgerloom.operators.scope import NO_VALUES, Tables, cell_conditions, tables_by_label
-from ledgerloom.plans.execute import condition
 from ledgerloom.plans.model import FilterCondition, PlanError, QueryPlan
-from ledgerloom.plans.questions import Clarification, Intent, MonthRange, guard, intents, month_range, normal, requested_columns
+from ledgerloom.plans.questions import Clarification, Intent, MonthRange, guard, intents, month_range, requested_columns
 from ledgerloom.plans.table import NUMERIC, POSITION, TableRef
 from ledgerloom.plans.validate import Issue, comparisons
 
@@ -331,15 +329,3 @@ def relevant_tables(tables: Tables, question: str, most: int = 4) -> Tables:
     """Tables whose cells hold words of the question, and those whose document does; all of them if none."""
     chosen = {*cell_conditions(tables, question), *tables_by_label(tables, question)[:most]}
     return {a: t for a, t in tables.items() if a in chosen} or dict(tables)
-
-
-def matched_rows(table: TableRef, filters: tuple[FilterCondition, ...]) -> DataFrame:
-    """Rows that fulfil all filters, to show what a plan has found."""
-    rows = table.frame
-    for f in filters:
-        rows = rows.where(condition(table, f))
-    return rows
-
-
-def same_text(a: str, b: str) -> bool:
-    return normal(unicodedata.normalize("NFKC", a)) == normal(unicodedata.normalize("NFKC", b))
