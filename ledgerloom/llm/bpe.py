@@ -6,7 +6,7 @@ leftmost pair of lowest rank. A merge rewrites three leaves and their ancestors,
 loop ends when the root is infinite. Short pre-tokens run through one tree per row of a numpy
 block; long ones through a tree of their own.
 
-Edge cases: null text encodes to no ids and decodes to the empty string; texts of any length
+Edge cases: null text encodes to no ids and decodes to the empty string; of equally ranked pairs the leftmost merges first; texts of any length
 are encoded whole; repeated rows give repeated results; empty tables give empty results; other
 columns of the input are ignored.
 """

@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words longer than this are looked up one by one.
-LONG = 32
+#: Words longer than this are looked up one by one, and the share of a table's places that may be taken.
+LONG, FILLED = 32, 0.65
 _A, _B = (np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], np.uint64), np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9, 0x8CB92BA72F3D8DD7], np.uint64))
 _KEEP = np.array([0, *((1 << 8 * n) - 1 for n in range(1, 9))], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,7 +104,7 @@ class WordMemory:
 
     def __init__(self, learn: Callable[[list[bytes]], None], most: int):
         self.learn, self.most = learn, most
-        self.bits = max(8, int(np.ceil(np.log2(most * 2.5))))
+        self.bits = max(8, int(np.ceil(np.log2(most / FILLED))))
         self.clear()
 
     def clear(self) -> None:
@@ -188,7 +188,7 @@ class WordMemory:
                 self.second = np.concatenate((self.second, np.zeros_like(self.second)))
             numbers = self.n + np.arange(len(pick))
             self.second[numbers] = g[pick]
-            if (self.n + len(pick)) * 2 > len(self.key):
+            if self.n + len(pick) > FILLED * len(self.key):
                 self._grow(self.n + len(pick))
             self._put(h[pick], numbers)
             out[missing] = self.n + rank[inverse]
@@ -212,7 +212,7 @@ class WordMemory:
         """A block of more new words than the memory may hold still goes through whole."""
         held = self.key != 0
         h, numbers = self.key[held], self.number[held]
-        while n * 2 > 1 << self.bits:
+        while n > FILLED * (1 << self.bits):
             self.bits += 1
         self.key, self.number = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self._put(h, numbers)

@@ -586,6 +586,22 @@ def test_places_are_taken_out_of_their_own_counts(small_model):
         assert counts.without(two[t : t + 1], one[t : t + 1], y[t : t + 1])[0, 0] == pytest.approx(first, rel=0.05)
 
 
+def test_triples_are_found_one_by_one_and_together():
+    rng = np.random.default_rng(7)
+    n = languagemodel.CLASSES
+    keys = np.unique(rng.integers(0, n**3, 3000))
+    one = (keys // n) % n
+    pairs = np.zeros((n, n))
+    np.add.at(pairs, (one, keys % n), 9)
+    pairs[(keys // n) // n, one] += 9
+    counts = languagemodel.Counts(pairs, (keys, np.full(len(keys), 9.0)), np.ones(50), np.zeros(50, np.int64))
+    want = 8.4 / pairs.ravel()[keys // n]
+    asked = np.concatenate((keys, rng.integers(0, n**3, 3000)))
+    found = counts.lookup(asked)
+    assert np.allclose(found[: len(keys)], want) and (found[len(keys) :][~np.isin(asked[len(keys) :], keys)] == 0).all()
+    assert [float(counts.lookup(asked[i : i + 1])[0]) for i in range(0, len(asked), 7)] == found[::7].tolist()
+
+
 def test_windows_hold_each_id_once_and_see_only_the_past():
     ids = np.arange(100)
     stops = np.array([1, 17, 33, 100])
