@@ -2,7 +2,7 @@
 
 Inputs of each word are a learned vector, the sum of one of the word itself and those of its character n-grams with word ends, and
 beside it what training rows say about the word and its n-grams (the word's ratio; the largest, the mean of the three
-largest and the mean of all of its n-grams): how often documents that hold the feature are toxic, shrunk towards the overall share. The recurrent
+largest and the mean of all of its n-grams; the largest of those it begins with): how often documents that hold the feature are toxic, shrunk towards the overall share. The recurrent
 network reads windows of ``WINDOW`` words that overlap by ``OVERLAP``, attention pools its states and
 a logistic unit scores the window; a document's score is that of its most toxic window. Network and vectors
 are trained in numpy by back-propagation through time on each document's highest window; what is said of a training row's
@@ -31,7 +31,7 @@ from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 SIZES, BITS = (3, 4, 5, 6), 18
 WINDOW, OVERLAP, HIDDEN, EPOCHS = 48, 12, 8, 20
 #: Inputs of a word: what training rows say of it, and a learned vector.
-STATED, LEARNED = 4, 8
+STATED, LEARNED = 5, 8
 INPUTS = STATED + LEARNED
 PRIOR = 4.0
 #: Windows that go through the network at a time.
@@ -58,6 +58,12 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole, flat[np.repeat(begin - ends[:-1], sizes) + np.arange(len(flat))], ends
 
 
+def openings(columns: int) -> np.ndarray:
+    """The columns of a feature block that hold the n-grams at a word's beginning, the first of each size."""
+    width = (columns + sum(SIZES) - 3 * len(SIZES)) // len(SIZES)
+    return np.cumsum([0, *(width + 3 - n for n in SIZES[:-1])])
+
+
 class WordEvidence:
     """Shares of toxic documents among those that hold a word or an n-gram, as log ratios."""
 
@@ -89,6 +95,9 @@ class WordEvidence:
             out[some, 1] = np.where(n > 0, top[:, 0], 0)
             out[some, 2] = np.where(top > -9, top, 0).sum(1) / np.maximum(held, 1)
             out[some, 3] = np.where(real, values, 0).sum(1) / np.maximum(n, 1)
+            begins = values[:, openings(values.shape[1])]
+            out[some, 4] = np.where(begins > -9, begins, -9).max(1)
+            out[some, 4] = np.where(out[some, 4] > -9, out[some, 4], 0)
         return out
 
 
