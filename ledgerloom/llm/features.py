@@ -11,7 +11,7 @@ LETTERS = regex.compile(r"\p{L}+")
 #: Cells of one feature block, which bounds memory for words of any length.
 BLOCK_CELLS = 800_000
 #: Words that one Python worker remembers; the memory is emptied when full, which costs time only.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 200_000
 _MUL = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 

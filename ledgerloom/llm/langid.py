@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept, map_rows, sample_keys, sampled, sliced
+from ledgerloom.llm.common import kept, map_rows, sample_keys, sampled, sliced, trim
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 
 SIZES, BITS = (1, 2, 3, 4), 16
@@ -203,7 +203,7 @@ def identify(
         crf = shared.value
         names = np.array(crf.labels, object)
         memory = kept("langid" + name, lambda: WordRows(crf.emissions, len(names)) if len(names) else None)
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             pred, score, words = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
             for a, b in grouped(texts, BLOCK_WORDS) if len(names) else ():
@@ -223,5 +223,6 @@ def identify(
             if word_labels:
                 columns, labels = [*columns, pa.array(words, pa.list_(pa.string()))], [*labels, "words"]
             yield pa.RecordBatch.from_arrays(columns, names=labels)
+            trim()
 
     return map_rows(df, id_col, text_col, run, schema)

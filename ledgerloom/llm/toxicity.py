@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import kept, map_rows, materialize, release, sample_keys, sliced
+from ledgerloom.llm.common import kept, map_rows, materialize, release, sample_keys, sliced, trim
 from ledgerloom.llm.features import WordRows, blocks, grouped, words_of
 
 SIZES, BITS = (3, 4, 5, 6), 18
@@ -35,7 +35,7 @@ STATED, LEARNED = 5, 8
 INPUTS = STATED + LEARNED
 PRIOR = 4.0
 #: Windows that go through the network at a time.
-BLOCK_WINDOWS = 3000
+BLOCK_WINDOWS = 1500
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -351,7 +351,7 @@ def score(
     def run(batches):
         model = shared.value
         memory = kept("toxicity" + name, lambda: WordRows(model.rows, INPUTS))
-        for batch in sliced(batches, 512):
+        for batch in sliced(batches):
             texts = [words_of(t) for t in batch.column(1).to_pylist()]
             out, count, top = np.full(len(texts), model.share), np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for a, b in grouped(texts, BLOCK_WINDOWS * WINDOW) if model.net is not None else ():
@@ -363,5 +363,6 @@ def score(
                 count[a:b] = np.bincount(owner, minlength=b - a)
                 top[a:b] = best - np.concatenate(([0], np.cumsum(count[a:b])[:-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(count), pa.array(top)], names=[id_col, "score", "n_windows", "top_window"])
+            trim()
 
     return map_rows(df, id_col, text_col, run, "score double, n_windows long, top_window long")
