@@ -50,6 +50,8 @@ ROUNDS = 8
 #: A node becomes a span if its label has at least this belief.
 BELIEF = 0.6
 NEVER = -1e9
+#: Digits with which a number that stands in several tokens is whole.
+WHOLE = (0, 0, 14, 10)
 SPANS = "array<struct<kind: string, start: bigint, end: bigint, base: boolean>>"
 #: Nodes of one block of documents, which bounds memory beside the longest document.
 BLOCK_NODES = 20_000
@@ -135,13 +137,14 @@ class Nodes:
     end: array
     label: array  # what the patterns say
     follows: array  # 1 if the node before is its neighbour
+    digits: array
     allowed: list
     key: list
     names: list  # feature names
 
 
 def empty_nodes() -> Nodes:
-    return Nodes(array("q"), array("q"), array("q"), array("b"), array("b"), [], [], [])
+    return Nodes(array("q"), array("q"), array("q"), array("b"), array("b"), array("q"), [], [], [])
 
 
 def close(text: str, a: int, b: int) -> bool:
@@ -201,6 +204,7 @@ def add_document(nodes: Nodes, number: int, text: str, spans: list[tuple[int, in
             nodes.start.append(s)
             nodes.end.append(e)
             nodes.label.append(label)
+            nodes.digits.append(own)
             nodes.allowed.append(may)
             nodes.key.append((number, core.lower()) if address or quad else (number, digits[-7:]) if own >= 5 else None)
             nodes.names.append(names)
@@ -422,8 +426,10 @@ def decode(model: Model, nodes: Nodes, belief: float = BELIEF) -> dict[int, list
     out: dict[int, list[tuple[int, int, int]]] = {}
     i = 0
     while i < n:
-        k, j = int(best[i]), i + 1
-        while k >= 3 and j < n and best[j] == k and nodes.follows[j]:
+        k, j, digits = int(best[i]), i + 1, nodes.digits[i]
+        # parts of a card or phone number belong together until it is whole
+        while k >= 3 and digits < WHOLE[k - 1] and j < n and best[j] == k and nodes.follows[j]:
+            digits += nodes.digits[j]
             j += 1
         if k:
             out.setdefault(nodes.doc[i], []).append((nodes.start[i], k - 1, nodes.end[j - 1]))
