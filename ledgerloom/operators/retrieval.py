@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.containment import contained
 from ledgerloom.sources.store import written
 
 # Sizes of chunks and of result lists, and what the parts of a rank weigh.
@@ -16,7 +17,12 @@ K, FETCH, CUT, MARGIN, LAMBDA = 8, 30, 0.18, 0.12, 0.6
 WEIGHTS = {"semantic": 0.45, "lexical": 0.15, "rare": 0.20, "title": 0.10, "support": 0.05, "mmr": 0.05}
 TITLED = 0.20
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-STOP_WORDS = ("무엇", "어떤", "어떻게", "알려줘", "알려주세요", "설명", "대해", "대한", "관련", "the", "and", "for", "what", "how")
+# What ask rather than name something, and endings that a word is searched without.
+STOP_WORDS = (
+    "뭐야", "뭔가", "알려줘", "설명해줘", "보여줘", "찾아줘", "문서", "내용", "이거", "그거", "대한", "관련", "있어", "없는", "있는", "있나", "받고", "해야", "어떻게",
+)
+WORD_PARTICLES = ("으로부터", "에서부터", "에게서", "까지", "부터", "으로", "에게", "한테", "에서", "은", "는", "이", "가", "을", "를", "와", "과", "의", "에", "로", "도", "만")
+WORD_ENDINGS = ("하려면", "하려고", "해야", "하면", "하는", "하고", "할", "있는", "있나")
 #: Queries of one pass over all chunks, chunks scored at a time, and results a task holds.
 QUERIES, SCORED, HELD = 4096, 1024, 2_000_000
 CONSTRAINTS = "제한|제외|불가|금지"
@@ -78,10 +84,12 @@ def overview_text(rows: DataFrame, label: str, source: str, purpose: str = "", a
 
 
 def terms(c: Column) -> Column:
-    """Distinct words of two letters or more, lower-cased, common endings and stop words dropped."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"[0-9a-z가-힣]{2,}"), F.lit(0))
-    bare = F.transform(words, lambda w: F.regexp_replace(w, "(?<=[가-힣]{2})(은|는|이|가|을|를|의|에|로|와|과|도|만|에서|으로|까지|부터|하나요|인가요|입니까)$", ""))
-    return F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS)))
+    """Distinct words of two letters or digits or more, lower-cased, stop words dropped, without a particle and a verb's ending where two letters are left."""
+    words = F.transform(F.regexp_extract_all(c, F.lit("[가-힣A-Za-z0-9]{2,}"), F.lit(0)), F.lower)
+    stem = lambda w: F.regexp_replace(F.regexp_replace(w, f"(?:{'|'.join(WORD_PARTICLES)})$", ""), f"(?:{'|'.join(WORD_ENDINGS)})$", "")
+    # words of Latin letters and digits have no such endings
+    stems = F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.when(w.rlike("[가-힣]$") & (F.length(stem(w)) >= 2), stem(w)).otherwise(w))
+    return F.array_distinct(stems)
 
 
 def overlap(query: Column, text: Column) -> Column:
@@ -171,34 +179,9 @@ def search(queries: DataFrame, chunks: DataFrame, k: int = FETCH) -> DataFrame:
 
 
 def overlaps(queries: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """``(item_id, doc_id, overlap)`` of at least ``least`` between all ``queries(item_id, terms)`` and all ``texts(doc_id, terms)``.
-
-    Queries are broadcast as a list of items for each term; each text looks its terms up once.
-    """
-    rows = queries.where(F.size("terms") > 0).select("item_id", "terms").collect()
-    sizes = np.array([len(r["terms"]) for r in rows], float)
-    items: dict[str, list[int]] = {}
-    for i, r in enumerate(rows):
-        for term in r["terms"]:
-            items.setdefault(term, []).append(i)
-    shared = queries.sparkSession.sparkContext.broadcast(({t: np.array(x) for t, x in items.items()}, np.array([r["item_id"] for r in rows], np.int64), sizes))
-
-    def run(batches):
-        of, ids, sizes = shared.value
-        for batch in batches:
-            item, doc, share = [], [], []
-            for n, found in enumerate(batch.column(1).to_pylist()):
-                hits = [of[t] for t in found or () if t in of]
-                if hits:
-                    o = np.bincount(np.concatenate(hits), minlength=len(sizes)) / sizes
-                    some = np.flatnonzero(o >= least)
-                    item.append(ids[some])
-                    doc.append(np.full(len(some), n))
-                    share.append(o[some])
-            if item:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(item)), batch.column(0).take(pa.array(np.concatenate(doc))), pa.array(np.concatenate(share))], names=["item_id", "doc_id", "overlap"])
-
-    return texts.select("doc_id", "terms").mapInArrow(run, "item_id long, doc_id long, overlap double")
+    """``(item_id, doc_id, overlap)`` of at least ``least`` between all ``queries(item_id, terms)`` and all ``texts(doc_id, terms)``."""
+    found = contained(queries, texts, least, query="item_id", text_id="doc_id")
+    return found.select(F.col("query").alias("item_id"), F.col("chunk_id").alias("doc_id"), "overlap")
 
 
 def relative_cut(scored: DataFrame, query: str, margin: float = CUT) -> DataFrame:

@@ -483,7 +483,16 @@ def _(spark, sf_dir):
 
 
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-_TERMS = f"list_distinct([w FOR w IN regexp_extract_all(lower(text), '[0-9a-z가-힣]{{2,}}') IF w NOT IN ({_STOP})])"
+
+
+def terms_sql(text: str) -> str:
+    """The words of a text, by the rule of the documents' search: stop words out, then the longest particle and the ending cut, unless less than two letters stay."""
+    stem = f"regexp_replace(regexp_replace(w, '({'|'.join(retrieval.WORD_PARTICLES)})$', ''), '({'|'.join(retrieval.WORD_ENDINGS)})$', '')"
+    words = f"list_transform(regexp_extract_all({text}, '[가-힣A-Za-z0-9]{{2,}}'), lambda w: lower(w))"
+    return f"list_distinct(list_transform(list_filter({words}, lambda w: w NOT IN ({_STOP})), lambda w: CASE WHEN length({stem}) >= 2 THEN {stem} ELSE w END))"
+
+
+_TERMS = terms_sql("text")
 
 
 @register("query_terms", f"SELECT item_id, list_sort({_TERMS}) AS terms FROM benchmark", ledger_sql=False)
@@ -491,6 +500,19 @@ def _(spark, sf_dir):
     return read(spark, sf_dir, "benchmark").select("item_id", F.sort_array(retrieval.terms(F.col("text"))).alias("terms"))
 
 
+_ENDED = [*retrieval.WORD_PARTICLES, *retrieval.WORD_ENDINGS, "", "하려면에서", "은는"]
+_ASKS = ["알려줘", "어떻게", "신청하려면", "해야 하는", "가 있나"]
+_QUESTION_SQL = "concat_ws(' ', concat('학과', c_custkey % 7, ([" + ", ".join(f"'{e}'" for e in _ENDED) + "])[c_custkey % " + str(len(_ENDED)) + " + 1]), c_mktsegment, concat('장학금', ([" + ", ".join(f"'{e}'" for e in _ENDED) + "])[c_nationkey % " + str(len(_ENDED)) + " + 1]), ([" + ", ".join(f"'{e}'" for e in _ASKS) + "])[c_custkey % 5 + 1])"
+
+
+@register("question_terms", f"WITH q AS (SELECT c_custkey, {_QUESTION_SQL} AS text FROM customer) SELECT c_custkey, list_sort({terms_sql('text')}) AS terms FROM q", ledger_sql=False)
+def _(spark, sf_dir):
+    """Words of a question for each customer, with every particle and ending."""
+    at = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+    text = F.concat_ws(" ", F.concat(F.lit("학과"), (F.col("c_custkey") % 7).cast("string"), at(_ENDED, "c_custkey")), "c_mktsegment", F.concat(F.lit("장학금"), at(_ENDED, "c_nationkey")), at(_ASKS, "c_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey", F.sort_array(retrieval.terms(text)).alias("terms"))
+
+
 _COS = "list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e)))"
 _SCORES = "WITH v AS (SELECT vec_id, coalesce(label, -1) AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), q AS (SELECT vec_id AS query, e FROM v WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS chunk_id, label, round(" + _COS + ", 6) AS score FROM q, v)"
 _TOP = _SCORES + ", top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 30)\n"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import answers, retrieval, sections
-from ledgerloom.registry import read, register
+from ledgerloom.registry import read, register, terms_sql
 
 #: A document for each customer: a preface, two or three numbered sections, every third without a preface.
 DOCS_SQL = """WITH docs AS (SELECT c_custkey AS k, concat('doc', CAST(c_custkey AS VARCHAR)) AS source,
@@ -99,9 +99,7 @@ def _(spark, sf_dir):
     return sections.document_structure(records).withColumn("capabilities", F.array_join("capabilities", ","))
 
 
-_STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-_WORDS = f"list_distinct([w FOR w IN regexp_extract_all(lower({{}}), '[0-9a-z가-힣]{{{{2,}}}}') IF w NOT IN ({_STOP})])"
-_TEXT, _TITLE, _ASKED = (_WORDS.format(c).replace("{{", "{").replace("}}", "}") for c in ("d.text", "d.title", "q.text"))
+_TEXT, _TITLE, _ASKED = (terms_sql(c) for c in ("d.text", "d.title", "q.text"))
 
 
 @register(

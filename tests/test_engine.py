@@ -95,7 +95,7 @@ def test_chunks():
 
 
 def test_retrieval(spark):
-    assert apply(spark, ["장학금은 무엇 신청 the Fund"], retrieval.terms) == [["장학금", "신청", "fund"]]
+    assert apply(spark, ["장학금은 어떻게 신청 the Fund"], retrieval.terms) == [["장학금", "신청", "the", "fund"]]
     assert apply(spark, ["a: 1 / b: x: y / a: 2"], retrieval.table_fields) == [{"a": "1", "b": "x: y"}]
     hits = spark.createDataFrame([(1, 1, 0.9, [1.0, 0.0]), (1, 2, 0.89, [1.0, 0.01]), (1, 3, 0.8, [0.0, 1.0])], "q int, chunk_id int, score double, vector array<double>")
     assert [r["chunk_id"] for r in retrieval.mmr(hits, "q", k=2).orderBy("mmr_rank").collect()] == [1, 3]
