@@ -11,6 +11,8 @@ from ledgerloom.plans.execute import exact_median
 from ledgerloom.plans.table import POSITION
 from ledgerloom.registry import NAME_SQL, ledger_frame, made_names, read, register
 from ledgerloom.sources import catalog, sheets
+from ledgerloom.sources.snapshots import SnapshotStore
+from ledgerloom.sources.store import new_folder
 
 
 @register("year_series", "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN CAST(2000 + o_orderkey % 30 AS INT) ELSE CAST(year(o_orderdate) AS INT) END AS y, CAST(month(o_orderdate) AS INT) AS m FROM orders", ledger_sql=False)
@@ -159,6 +161,27 @@ def _(spark, sf_dir):
     return catalog.source_counts(catalog.replace_source(catalog.delete_source(chunks, "s3"), "s4", fresh))
 
 
+_CHUNKS = "SELECT concat('s', CAST(conv_id % 10 AS VARCHAR)) AS source, conv_id * 100 + turn AS chunk_id, text FROM conversations"
+
+
+@register(
+    "snapshot_store",
+    f"WITH one AS ({_CHUNKS}), two AS (SELECT source, chunk_id, concat('new ', text) AS text FROM one WHERE source IN ('s1', 's4') AND chunk_id % 2 = 0 UNION ALL SELECT * FROM one WHERE source NOT IN ('s1', 's3', 's4')) "
+    "SELECT 1 AS version, source, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS letters FROM one GROUP BY source UNION ALL SELECT 3, source, count(*), CAST(sum(length(text)) AS BIGINT) FROM two GROUP BY source",
+    ledger_sql=False,
+)
+def _(spark, sf_dir):
+    """Chunks of all sources, two of them replaced and one deleted, then compacted; read as of the first version and of the last."""
+    chunks = read(spark, sf_dir, "conversations").select(F.concat(F.lit("s"), (F.col("conv_id") % 10).cast("string")).alias("source"), (F.col("conv_id") * 100 + F.col("turn")).alias("chunk_id"), "text")
+    store = SnapshotStore(spark, new_folder(spark, "snapshots"), chunks.schema)
+    store.replace(chunks)
+    store.replace(chunks.where("source IN ('s1', 's4') AND chunk_id % 2 = 0").withColumn("text", F.concat(F.lit("new "), "text")))
+    store.delete(spark.createDataFrame([("s3",)], "source string"))
+    store.compact()
+    of = lambda version, name: store.read(version).groupBy("source").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("letters")).select(F.lit(name).alias("version"), "source", "n_chunks", "letters")
+    return of(1, 1).unionByName(of(4, 3))
+
+
 @register("manifest_upsert", "SELECT CAST(user_id AS VARCHAR) AS source, CASE WHEN user_id % 3 = 0 THEN 'new' ELSE 'old' END AS file_hash FROM (SELECT DISTINCT user_id FROM events)", ledger_sql=False)
 def _(spark, sf_dir):
     users = read(spark, sf_dir, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("source"), "user_id")

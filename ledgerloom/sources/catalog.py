@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.clean import strip_head_count
 from ledgerloom.operators.schema import from_json, to_json
 from ledgerloom.plans.table import TableRef
+from ledgerloom.sources.files import exists, names_in, read_text, remove, swap
 
 HEAD_COUNTS = ("학과", "계열", "대상학생")
+TABLE = ".table.json"
 
 
 def base_name(source: str) -> str:
@@ -27,52 +29,34 @@ class Catalog:
         self.spark, self.root = spark, root.rstrip("/")
         self.tables: dict[str, TableRef] = {}
 
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _write_text(self, path: str, text: str) -> None:
-        fs, p = self._fs(path)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
     def save(self, name: str, df: DataFrame, source: str, meanings: dict, *, label: str = "", file_hash: str = "") -> None:
-        """Write a table under a name of its own attempt and put it in place when all of it is there."""
-        ends, attempt = ("parquet", "meta.json", "schema.json"), f"{self.root}/_{name}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{attempt}.parquet")
-        self._write_text(f"{attempt}.meta.json", json.dumps({"source": base_name(source), "label": label, "hash": file_hash}, ensure_ascii=False))
-        self._write_text(f"{attempt}.schema.json", json.dumps(to_json(meanings), ensure_ascii=False))
-        for end in (*ends[1:], ends[0]):  # the rows last: a table is there when its Parquet is
-            fs, at = self._fs(f"{self.root}/{name}.{end}")
-            fs.delete(at, True)
-            fs.rename(self._fs(f"{attempt}.{end}")[1], at)
+        """Write the rows to a folder of their own, then swap the small file that names them: readers see the old table or the new one, whole.
+
+        The rows before stay for those who are reading them, until the next save.
+        """
+        before = self._pointer(name)
+        rows = f"rows-{name}-{uuid.uuid4().hex}.parquet"
+        df.write.parquet(f"{self.root}/{rows}")
+        meta = {"source": base_name(source), "label": label, "hash": file_hash}
+        swap(self.spark, f"{self.root}/{name}{TABLE}", json.dumps({"rows": rows, "before": before.get("rows"), "meta": meta, "schema": to_json(meanings)}, ensure_ascii=False))
+        if before.get("before"):
+            remove(self.spark, f"{self.root}/{before['before']}")
+
+    def _pointer(self, name: str) -> dict:
+        path = f"{self.root}/{name}{TABLE}"
+        return json.loads(read_text(self.spark, path)) if exists(self.spark, path) else {}
 
     def _names(self) -> list[str]:
-        fs, p = self._fs(self.root)
-        if not fs.exists(p):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(p))
-        return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet") and not n.startswith("_"))
-
-    def _json(self, path: str) -> dict:
-        fs, p = self._fs(path)
-        if not fs.exists(p):
-            return {}
-        stream = fs.open(p)
-        try:
-            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
-        finally:
-            stream.close()
+        return [n.removesuffix(TABLE) for n in names_in(self.spark, self.root) if n.endswith(TABLE) and not n.startswith("_")]
 
     def load(self) -> dict[str, TableRef]:
         """All tables, ``df0`` onwards in the order of their names."""
         fresh = {}
         for i, name in enumerate(self._names()):
-            meta, schema = self._json(f"{self.root}/{name}.meta.json"), self._json(f"{self.root}/{name}.schema.json")
-            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+            table = self._pointer(name)
+            df = self.spark.read.parquet(f"{self.root}/{table['rows']}")
             counted = [c for c in df.columns if any(h in c for h in HEAD_COUNTS) and df.schema[c].dataType.simpleString() == "string"]
-            fresh[f"df{i}"] = TableRef(f"df{i}", meta["source"], strip_head_count(df, counted) if counted else df, from_json(schema), meta.get("label", ""))
+            fresh[f"df{i}"] = TableRef(f"df{i}", table["meta"]["source"], strip_head_count(df, counted) if counted else df, from_json(table["schema"]), table["meta"].get("label", ""))
         self.tables = fresh
         return fresh
 
@@ -81,13 +65,15 @@ class Catalog:
         return self._delete([n for n in self._names() if n == prefix or n.startswith(prefix + "_")])
 
     def drop_source(self, source: str) -> list[str]:
-        return self._delete([n for n in self._names() if self._json(f"{self.root}/{n}.meta.json").get("source") == base_name(source)])
+        return self._delete([n for n in self._names() if self._pointer(n)["meta"].get("source") == base_name(source)])
 
     def _delete(self, names: list[str]) -> list[str]:
         for n in names:
-            for end in ("parquet", "meta.json", "schema.json"):
-                fs, p = self._fs(f"{self.root}/{n}.{end}")
-                fs.delete(p, True)
+            table = self._pointer(n)
+            remove(self.spark, f"{self.root}/{n}{TABLE}")
+            for rows in (table.get("rows"), table.get("before")):
+                if rows:
+                    remove(self.spark, f"{self.root}/{rows}")
         return names
 
     def scoped(self, sources: set[str] | None) -> dict[str, TableRef]:

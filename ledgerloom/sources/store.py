@@ -23,10 +23,16 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the end of the process removes it."""
+    path = f"{shared_root(spark)}/ledgerloom-{name}-{uuid.uuid4().hex}"
+    _held[path] = spark
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: cuts its lineage and survives lost executors. ``discard`` or the end of the process removes it."""
-    path = f"{shared_root(df.sparkSession)}/ledgerloom-{name}-{uuid.uuid4().hex}"
-    _held[path] = df.sparkSession
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._ledgerloom_path = path
