@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import names
 from ledgerloom.functions.dates import component, month_range, to_timestamp
 from ledgerloom.functions.money import money
+from ledgerloom.operators.cellindex import CellIndex
 from ledgerloom.plans.table import POSITION, TableRef
 from ledgerloom.sources.store import written
 
@@ -100,21 +101,30 @@ def text(column: str) -> Column:
     return F.col(f"`{column}`").cast("string")
 
 
-def cell_conditions(tables: Tables, question: str) -> dict[str, list[tuple[str, str]]]:
-    """For each table ``(column, word)``: the first column not yet used whose cells hold the word. One job over all tables."""
-    words = value_words(question)[:MOST_WORDS]
-    if not words or not tables:
-        return {}
+def scanned_cells(tables: Tables, words: list[str]) -> set[tuple[str, str, str]]:
+    """``(alias, column, word)`` for all columns whose cells hold a word. One job reads all tables."""
     rows = []
     for alias, table in tables.items():
         held = [F.coalesce(F.bool_or(F.contains(text(c), F.lit(w))), F.lit(False)) for w in words for c in searched(table)]
         rows.append(table.frame.agg(F.array(*held).alias("held") if held else F.array().cast("array<boolean>").alias("held")).select(F.lit(alias).alias("alias"), "held"))
     flags = {r["alias"]: r["held"] for r in reduce(DataFrame.unionByName, rows).collect()}
+    return {(a, c, w) for a, t in tables.items() for (w, c), held in zip(((w, c) for w in words for c in searched(t)), flags[a], strict=True) if held}
+
+
+def cell_conditions(tables: Tables, question: str, index: CellIndex | None = None) -> dict[str, list[tuple[str, str]]]:
+    """For each table ``(column, word)``: the first column not yet used whose cells hold the word.
+
+    With the tables' ``index`` no table is read. The first ``MOST_WORDS`` words of a question count; later ones are no conditions.
+    """
+    words = value_words(question)[:MOST_WORDS]
+    if not words or not tables:
+        return {}
+    found = index.held(words) if index is not None else scanned_cells(tables, words)
     out: dict[str, list[tuple[str, str]]] = {}
     for alias, table in tables.items():
         columns, used = searched(table), set()
-        for i, word in enumerate(words):
-            pick = next((c for j, c in enumerate(columns) if c not in used and flags[alias][i * len(columns) + j]), None)
+        for word in words:
+            pick = next((c for c in columns if c not in used and (alias, c, word) in found), None)
             if pick is not None:
                 used.add(pick)
                 out.setdefault(alias, []).append((pick, word))
@@ -195,9 +205,9 @@ def year_named(table: TableRef) -> int:
     return max((int(y) for y in re.findall(r"20\d{2}", about(table))), default=0)
 
 
-def aggregation_scope(tables: Tables, question: str) -> Found:
+def aggregation_scope(tables: Tables, question: str, index: CellIndex | None = None) -> Found:
     """The rows that a calculation is about: those whose cells hold the question's words, else those of the document it names, else of the only one."""
-    conditions = cell_conditions(tables, question)
+    conditions = cell_conditions(tables, question, index)
     if conditions:
         sources = distinct_sources(tables, conditions)
         if len(sources) > 1:
@@ -213,9 +223,9 @@ def aggregation_scope(tables: Tables, question: str) -> Found:
     return union_of(tables, tables) if len(sources) == 1 else choose("조회할 문서를 지정해주세요. 현재 선택 가능한 문서", sources)
 
 
-def direct_lookup(tables: Tables, question: str) -> Found:
+def direct_lookup(tables: Tables, question: str, index: CellIndex | None = None) -> Found:
     """Rows that a question asks for by words of cells or of a document's name, and by grade."""
-    conditions = cell_conditions(tables, question)
+    conditions = cell_conditions(tables, question, index)
     year = re.search(r"20\d{2}", question)
     words = set(re.findall(r"[가-힣]{2,}", question))
 

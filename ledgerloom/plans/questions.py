@@ -13,6 +13,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import is_masked, person_name
+from ledgerloom.operators.cellindex import CellIndex, plain
 from ledgerloom.operators.schema import amount_column, date_column
 from ledgerloom.operators.scope import Notice, Span, dated_rows
 from ledgerloom.plans.execute import typed
@@ -150,22 +151,24 @@ def requested_columns(meanings: dict[str, ColumnMeaning], question: str) -> list
     return [c for c in meanings if len(normal(c)) >= 2 and normal(c) in q]
 
 
-#: Full-width letters, digits and marks, and the plain ones that stand for them.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)), "".join(chr(c) for c in range(0x21, 0x7F))
-
-
-def value_filters(table: TableRef, question: str) -> list[FilterCondition]:
+def value_filters(table: TableRef, question: str, index: CellIndex | None = None) -> list[FilterCondition]:
     """``column = value`` where exactly one stored value of a text column occurs in the question.
 
-    Stored values are compared with the question in Spark, in one scan for all columns, so only those that it holds come back, however many there are.
+    Stored values are compared with the question in Spark, so only those that it holds come back, however many there are: in one scan for all columns, or
+    by the tables' ``index``, which reads no table.
     """
     q = normal(question)
     columns = [c for c in table.visible if (m := table.meaning(c)).data_type == "string" and not m.is_person and m.role not in ("note", "identifier", "email", "phone")]
     if not columns:
         return []
-    plain = lambda c: F.regexp_replace(F.lower(F.translate(F.col(f"`{c}`").cast("string"), *_WIDE)), r"(?U)[\W_]", "")
-    held = [F.collect_set(F.when((F.length(plain(c)) >= 2) & F.contains(F.lit(q), plain(c)), F.trim(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]
-    found = table.frame.agg(*held).collect()[0]
+    if index is not None:
+        held: dict[str, set[str]] = {}
+        for r in index.values_in(q, table.alias).collect():
+            held.setdefault(r["column"], set()).add(r["value"].strip(" "))
+        found = [held.get(c, ()) for c in columns]
+    else:
+        fits = [F.collect_set(F.when((F.length(plain(F.col(f"`{c}`"))) >= 2) & F.contains(F.lit(q), plain(F.col(f"`{c}`"))), F.trim(f"`{c}`"))).alias(f"v{i}") for i, c in enumerate(columns)]
+        found = table.frame.agg(*fits).collect()[0]
     out = []
     for c, values in zip(columns, found, strict=True):
         longest = [v for v in values if not any(v != w and normal(v) in normal(w) for w in values)]
@@ -205,7 +208,7 @@ def comparison_filters(table: TableRef, question: str, amount: str | None) -> li
     return out
 
 
-def plan(table: TableRef, question: str) -> QueryPlan:
+def plan(table: TableRef, question: str, index: CellIndex | None = None) -> QueryPlan:
     """A plan for a question about one table, or a plan that asks back."""
     ask = lambda code, message, found=(): QueryPlan(status="clarification", message=f"{code}: {message}", candidates=tuple(found)[:20])
     stop = guard(question)
@@ -236,7 +239,7 @@ def plan(table: TableRef, question: str) -> QueryPlan:
     person = person_filter(table, rest)
     if isinstance(person, Clarification):
         return ask(person.code, person.message, person.candidates)
-    filters += ([person] if person else []) + value_filters(table, rest)
+    filters += ([person] if person else []) + value_filters(table, rest, index)
     cohort = next((c for c, m in meanings.items() if m.role == "cohort"), None)
     m = re.search(r"(?<!\d)(\d{1,3})\s*(?:회|기)(?!\d)", rest)
     if m and cohort:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
 from ledgerloom.operators import scope
+from ledgerloom.operators.cellindex import CellIndex
 from ledgerloom.plans.table import POSITION, ColumnMeaning, TableRef
 from ledgerloom.registry import read, register
+from ledgerloom.sources.store import new_folder
 
 FAMILY, FIRST, SECOND = "김이박최정강조", "민서지하도수예현", "준연우은호아진영원"
 DEPARTMENTS = ("경영학과", "전기과", "기계과")
@@ -124,6 +126,38 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(a, c, w) for a, pairs in found.items() for c, w in pairs], "alias string, column string, word string")
 
 
+INDEXED = {"df0": ["이름", "학과", "학년", "기수", "발행번호"], "df2": ["성명", "월", "연도", "지급처"]}
+INDEXED["df1"] = INDEXED["df0"]
+_OF = "SELECT '{0}', '이름', name FROM {1} UNION ALL SELECT '{0}', '학과', dept FROM {1} UNION ALL SELECT '{0}', '학년', concat(CAST(grade AS VARCHAR), '학년') FROM {1} UNION ALL SELECT '{0}', '기수', concat(CAST(cohort AS VARCHAR), '기') FROM {1} UNION ALL SELECT '{0}', '발행번호', concat('2024-', lpad(CAST(k AS VARCHAR), 5, '0')) FROM {1}"
+_CELLS = f"""cells(source, "column", value) AS (SELECT DISTINCT * FROM ({_OF.format('df0', 'd0')} UNION ALL {_OF.format('df1', 'd1')} UNION ALL SELECT 'df2', '성명', name FROM d2
+  UNION ALL SELECT 'df2', '월', concat(CAST(m AS VARCHAR), '월') FROM d2 UNION ALL SELECT 'df2', '연도', concat(CAST(y AS VARCHAR), '년') FROM d2 UNION ALL SELECT 'df2', '지급처', CASE WHEN k % 2 = 1 THEN concat('지급처', CAST(k AS VARCHAR)) ELSE ' ' END FROM d2)),
+words AS (SELECT DISTINCT unnest([name[2:3], dept, dept[2:], concat(CAST(grade AS VARCHAR), '학년'), lpad(CAST(k % 1000 AS VARCHAR), 3, '0'), concat(CAST(k AS VARCHAR), '기'), concat(name, '님')]) AS word FROM people)"""
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> CellIndex:
+    index = CellIndex(spark, new_folder(spark, "cells"))
+    index.put(all_tables(spark, sf_dir), lambda t: INDEXED[t.alias])
+    return index
+
+
+@scope_query("cell_index", f""", {_CELLS} SELECT DISTINCT source, "column", word FROM cells, words WHERE contains(value, word)""")
+def _(spark, sf_dir):
+    """Which columns of three tables hold each of the words made from all people, by the index alone."""
+    k, name = F.col(POSITION), F.col("이름")
+    made = F.array(F.substring(name, 2, 2), "학과", F.substring("학과", 2, 9), "학년", F.lpad((k % 1000).cast("string"), 3, "0"), F.concat(k.cast("string"), F.lit("기")), F.concat(name, F.lit("님")))
+    words = people(spark, sf_dir).select(F.explode(made).alias("word"))
+    return indexed(spark, sf_dir).holding(words).select("source", "column", "word")
+
+
+@scope_query("cells_of_tables", f""", {_CELLS} SELECT source, "column", count(*) AS n FROM cells WHERE value <> '' GROUP BY ALL""")
+def _(spark, sf_dir):
+    """Distinct cells of each indexed column after the tables were put in twice and one was taken out and put back."""
+    index, tables = indexed(spark, sf_dir), all_tables(spark, sf_dir)
+    index.drop(["df2"])
+    index.put({"df2": tables["df2"], "df0": tables["df0"]}, lambda t: INDEXED[t.alias])
+    return index.store.read().where("kind = 0").select("source", "column", "value").distinct().groupBy("source", "column").agg(F.count("*").alias("n"))
+
+
 @scope_query("direct_lookup_grade", "SELECT k AS key FROM d0 WHERE dept = '전기과' AND grade = 2")
 def _(spark, sf_dir):
     return keyed(scope.direct_lookup(donation_tables(spark, sf_dir), "기부 대장 전기과 2학년 명단"))
