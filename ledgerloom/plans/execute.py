@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.dates import to_timestamp
@@ -14,6 +14,7 @@ from ledgerloom.functions.names import person_name
 from ledgerloom.plans.model import FilterCondition, QueryPlan
 from ledgerloom.plans.table import NUMERIC, POSITION, TableRef
 
+STORED_NUMBERS = ("double", "float", "bigint", "int", "smallint", "tinyint", "decimal")
 NULL_WORDS = ("", "none", "nan", "nat", "null")
 
 
@@ -22,7 +23,11 @@ def typed(table: TableRef, column: str) -> Column:
     meaning, c = table.meaning(column), F.col(f"`{column}`")
     stored = table.frame.schema[column].dataType.simpleString()
     if meaning.data_type == "money":
-        return c.cast("double") if stored in ("double", "bigint", "int") and not money_hint(column, meaning.unit) else money(c, money_hint(column, meaning.unit))
+        hint = money_hint(column, meaning.unit)
+        if not stored.startswith(STORED_NUMBERS):
+            return money(c, hint)
+        # numbers need no reading as text, which would lose those that are written with an exponent
+        return c.cast("double") if HINTS.get(hint or "KRW", 1) == 1 else c.cast("double") * float(HINTS[hint])
     if meaning.data_type == "number":
         return c.cast("double") if stored != "string" else c.try_cast("double")
     if meaning.data_type in ("date", "year_month"):
@@ -112,25 +117,49 @@ def at_extreme(df: DataFrame, value: Column, descending: bool) -> DataFrame:
     return df.withColumn("__w", value).join(F.broadcast(best), F.col("__w") == F.col("__best")).drop("__best", "__w")
 
 
-#: How closely the middle is estimated before its neighbourhood is counted.
-NEAR = 100_000
+#: Parts of one pass, and rows of a part that are counted value by value.
+PARTS, FEW = 1 << 14, 10_000
+
+
+def octave(v: Column) -> Column:
+    """Sign and power of two of a number, as a whole number that ascends with it; NaN comes last."""
+    size = F.abs(v)
+    power = F.floor(F.log2(F.when((size > 0) & (size < float("inf")), size))).cast("int") + 2000
+    return F.when(F.isnan(v), 9000).when(size == float("inf"), F.signum(v).cast("int") * 8000).when(size == 0, 0).otherwise(F.signum(v).cast("int") * power)
 
 
 def exact_median(rows: DataFrame, value: Column) -> DataFrame:
-    """One row: the exact median as ``value``.
+    """One row: the exact median as ``value``; null if there are no values.
 
-    Estimated percentiles around the middle, from mergeable sketches, leave few values to look at; they are counted with
-    map-side combine, and only distinct values between the two estimates meet in one task.
+    Digits are selected from the highest: a first pass counts values by sign and power of two, each further one counts those of the part that holds the
+    middle by its own equal parts, until one value or few are left. A pass is one aggregate with map-side combine that gives back at most ``PARTS`` + 1 rows; its range is a
+    plain filter, which reaches the scan. Four passes tell any two numbers apart; money takes two or three.
     """
     values = rows.select(value.cast("double").alias("v")).where("v IS NOT NULL")
-    ends = F.percentile_approx("v", F.array(F.lit(0.5 - 3 / NEAR), F.lit(0.5 + 3 / NEAR)), F.lit(NEAR))
-    bounds = values.agg(F.count("*").alias("n"), ends.alias("ends")).select("n", F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
-    near = values.join(F.broadcast(bounds), F.col("v") <= F.col("high"))
-    counted = near.groupBy("n", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("times"))
-    order = Window.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = counted.withColumn("upto", F.sum("times").over(order))
-    holds = lambda rank: F.max(F.when((F.col("upto") >= rank) & (F.col("upto") - F.col("times") < rank), F.col("v")))
-    return upto.agg(((holds(F.floor((F.col("n") + 1) / 2)) + holds(F.floor(F.col("n") / 2) + 1)) / 2).alias("value"))
+    counted = [F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")]
+    known: dict[tuple, list] = {}
+
+    def parts_of(part) -> list:
+        key = (part["low"], part["high"])
+        if key not in known:
+            inside = values.where((F.col("v") >= key[0]) & (F.col("v") <= key[1]))
+            by = F.col("v") if part["n"] <= FEW else F.width_bucket("v", F.lit(key[0]), F.lit(key[1]), F.lit(PARTS))
+            known[key] = inside.groupBy(by.alias("part")).agg(*counted).collect()
+            known[key].sort(key=lambda p: (p["part"] != p["part"], p["part"]))
+        return known[key]
+
+    def at(rank: int, parts: list) -> float:
+        for part in parts:
+            if rank <= part["n"]:
+                same = part["low"] == part["high"] or part["low"] != part["low"]
+                return part["low"] if same else at(rank, parts_of(part))
+            rank -= part["n"]
+        raise ValueError("the rows changed between two passes")
+
+    whole = sorted(values.groupBy(octave(F.col("v")).alias("part")).agg(*counted).collect(), key=lambda p: p["part"])
+    n = sum(p["n"] for p in whole)
+    middle = (at((n + 1) // 2, whole) + at(n // 2 + 1, whole)) / 2 if n else None
+    return rows.sparkSession.createDataFrame([(middle,)], "value double")
 
 
 @dataclass(frozen=True)
