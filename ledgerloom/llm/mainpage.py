@@ -13,7 +13,7 @@ others have no label. Weights have a normal prior around ``PRIOR``, against whic
 most, so what the sample doesn't show stays as stated.
 
 Edge cases: null, empty and text-free pages give the empty string and 0; unclosed and stray tags, comments and
-raw-text elements are read as browsers do, as far as text is concerned; drawings (svg) have no text, formulas keep theirs; a block that costs the same on both sides is boilerplate; pages of any length are read whole; repeated rows
+raw-text elements are read as browsers do, as far as text is concerned (``<!-->`` is a whole comment, templates nest, xmp is shown as it stands); drawings (svg) have no text, formulas keep theirs; a block that costs the same on both sides is boilerplate; pages of any length are read whole; repeated rows
 give equal results; empty tables give empty results; other columns are ignored.
 """
 
@@ -31,16 +31,17 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import map_rows, sample_keys, sampled, sliced
 
-_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*)(?:>|\Z)""", re.S)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]|=\s*(?:"[^"]*"|'[^']*')?|["'])*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _NAME_WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp".split())
+#: Elements whose text isn't shown and holds no tags.
+RAW = frozenset("script style noscript textarea title iframe noembed noframes".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split()
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul xmp".split()
 )
 #: Controls and fallbacks: blocks of their own that leave an open paragraph open. Those left open end before a block that they can't hold.
 CONTROLS = frozenset("option optgroup select datalist button object".split())
@@ -145,6 +146,30 @@ def after_svg(page: str, at: int) -> int:
     return len(page)
 
 
+def after_raw(page: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the raw text of an element that opened before ``at`` ends, and where its end tag does; the page's end without one."""
+    close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+    return (close.start(), close.end()) if close else (len(page), len(page))
+
+
+def after_template(page: str, at: int) -> int:
+    """Where a template that opened before ``at`` ends; templates inside have end tags of their own."""
+    depth = 1
+    while (lt := page.find("<", at)) >= 0:
+        m = _TOKEN.match(page, lt)
+        if not m:
+            at = lt + 1
+            continue
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag == "template":
+            depth += -1 if m[1] else 1
+            if not depth:
+                return at
+        elif not m[1] and (tag in RAW or tag == "xmp"):
+            at = after_raw(page, tag, at)[1]
+    return len(page)
+
+
 def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
     """``(text, element, share of link text, tag)`` of each block, in page order."""
     root = Element("#", "", None, 0)
@@ -203,9 +228,11 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
             if not _EMPTY.search(m[3]):
                 at = after_svg(page, at)
             continue
+        if tag == "template":
+            at = after_template(page, at)
+            continue
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
+            at = after_raw(page, tag, at)[1]
             continue
         if tag == "br" or tag in ("td", "th"):
             text(" ")
@@ -229,6 +256,11 @@ def blocks_of(page: str) -> list[tuple[str, Element, float, str]]:
             if tag not in VOID and not (tag in CONTROLS and _EMPTY.search(m[3])):
                 number += 1
                 stack.append(Element(tag, m[3], stack[-1], number))
+            if tag == "xmp":  # shown as it stands: no tags, no character references
+                stop, at = after_raw(page, tag, at)
+                text(html.escape(page[m.end() : stop]))
+                flush()
+                stack.pop()
     flush()
     return out
 

@@ -909,3 +909,15 @@ def test_minimum_cut_equals_brute_force():
 def test_registry_names():
     assert [n for n in registry.queries() if n.startswith("op")] == sorted((n for n in registry.queries() if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
     assert "pipeline" in registry.queries()
+
+
+def test_comments_templates_and_plain_text_as_browsers_read_them():
+    first, second = "First paragraph of the article, which is long enough to be read.", "Second paragraph of it, which is as long as the first one is."
+    page = lambda between: f"<html><body><article><p>{first}</p>{between}<p>{second}</p></article></body></html>"
+    for between in ("<!-->", "<!--->", "<!---->", "<!--x-->", "<!-- > -- x --!>", "<!-- a <p> b -->", "<template><p>no</p></template>", "<template>a<template>b</template>c</template>", "<template><script>'</template>'</script>c</template>"):
+        assert mainpage.extract(page(between)) == [first, second], between
+    shown = "Shown as it stands: <b>bold</b> &amp; more of the same, a long line."
+    assert mainpage.extract(page(f"<xmp>{shown}</xmp>")) == [first, shown, second]
+    assert mainpage.extract(page(f"<p>an open paragraph, which the next block ends at once<xmp>{shown}</xmp>"))[2] == shown
+    assert mainpage.extract(page("<!-- never closed")) == [first]
+    assert mainpage.extract(page("<template> never closed")) == [first]
