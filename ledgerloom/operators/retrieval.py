@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.containment import contained
+from ledgerloom.operators.ordered import running
 from ledgerloom.sources.store import written
 
 # Sizes of chunks and of result lists, and what the parts of a rank weigh.
@@ -320,9 +321,9 @@ def headings(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def continue_sections(pages: DataFrame) -> DataFrame:
-    """The open section carried on to pages without a heading of their own."""
-    w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return pages.withColumn("section_id", F.last("section_id", ignorenulls=True).over(w))
+    """The open section carried on to pages without a heading of their own, over documents of any length."""
+    carried = running(pages, ["source"], ["page"], lasts={"__open": "section_id"})
+    return carried.select(*(F.col("__open").alias(c) if c == "section_id" else c for c in pages.columns))
 
 
 def table_fields(c: Column) -> Column:

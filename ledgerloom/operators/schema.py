@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,7 @@ SHAPES = {
 PERSON = ("성명", "이름", "회원명", "회원성명", "학생명", "수혜자명", "기부자", "후원자", "출연자", "납부자", "입금자", "결제자", "신청자", "수혜자", "표시명", "성명원문", "성명검색키")
 SYSTEM = ("source", "row_uid", "person_candidate_key", "entity_type", "성명_원문", "성명_검색키", "성명_마스킹패턴", "성명_마스킹여부", "표시명")
 AMOUNT_ENDINGS = ("금액", "금", "액", "비용", "사업비")
+UNIT_IN_HEADER = r"(?i)\s*[(\[{]\s*(?:KRW|원|천원|만원)\s*[)\]}]\s*$"
 QUALIFIERS = (
     ("출연금", "donation"), ("기부금", "donation"), ("후원금", "sponsorship"), ("후원액", "sponsorship"), ("집행액", "executed"), ("집행금", "executed"), ("잔액", "remaining"), ("잔여액", "remaining"), ("불용액", "remaining"),
     ("본예산", "budget"), ("추경예산", "budget"), ("예산액", "budget"), ("예산금", "budget"), ("장학금", "scholarship"), ("장학액", "scholarship"), ("지원금", "support"), ("지원액", "support"), ("지급금", "payment"), ("지급액", "payment"), ("교부액", "allocated"), ("배정액", "allocated"),
@@ -60,9 +62,15 @@ def infer_type(stats: dict | None, stored: str = "string") -> str:
     return "number" if stats["number"] >= RATIO else "date" if stats["date"] >= RATIO else "string"
 
 
+def normal_header(header: str) -> str:
+    """A header in one case, without white space, underscores and brackets."""
+    return re.sub(r"[\s_()\[\]{}]+", "", header).casefold()
+
+
 def meaning(header: str, stats: dict | None, stored: str = "string") -> ColumnMeaning:
     """The first rule that fits a column: contact, identifier, time, category, person, description, amount."""
-    h = re.sub(r"[\s_]", "", header).casefold()
+    h = normal_header(header)
+    amount = normal_header(re.sub(UNIT_IN_HEADER, "", unicodedata.normalize("NFKC", header)))  # a unit in brackets doesn't hide what a column is
     kind = infer_type(stats, stored)
     s = stats or {}
     share = lambda name: (s.get(name) or 0) >= RATIO
@@ -99,9 +107,9 @@ def meaning(header: str, stats: dict | None, stored: str = "string") -> ColumnMe
         return ColumnMeaning("category", "field", "string", confidence=0.8)
     if has("비고", "목적", "용도", "기준", "내용"):
         return ColumnMeaning("description", "note", "string", confidence=0.8)
-    if h.endswith((*AMOUNT_ENDINGS, "price", "acctbal")) and (not stats or kind == "number"):
+    if amount.endswith((*AMOUNT_ENDINGS, "price", "acctbal")) and (not stats or kind == "number"):
         unit = "KRW_10000" if "만원" in h or s.get("unit_10000") else "KRW_1000" if "천원" in h or s.get("unit_1000") else "KRW"
-        return ColumnMeaning("amount", "amount", "money", unit, 0.95 if qualifier(h) else 0.8, qualifier=qualifier(h))
+        return ColumnMeaning("amount", "amount", "money", unit, 0.95 if qualifier(amount) else 0.8, qualifier=qualifier(amount))
     return ColumnMeaning(data_type=kind, confidence=0.4)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates, names
 from ledgerloom.operators import clean, identity, retrieval, schema
 from ledgerloom.plans import results
-from ledgerloom.plans.execute import exact_median
-from ledgerloom.plans.table import POSITION
+from ledgerloom.plans.execute import exact_median, typed
+from ledgerloom.plans.table import POSITION, TableRef
 from ledgerloom.registry import NAME_SQL, ledger_frame, made_names, read, register
 from ledgerloom.sources import catalog, sheets
 from ledgerloom.sources.snapshots import SnapshotStore
@@ -73,6 +73,24 @@ def _(spark, sf_dir):
     return spark.createDataFrame([(c, m.role, m.data_type) for c, m in schema.infer(frame).items()], "column string, role string, kind string")
 
 
+_AMOUNTS = {
+    "지급액(원)": ("KRW", 1, "payment", "CAST(c_custkey AS VARCHAR)"), "지급액 (만원)": ("KRW_10000", 10_000, "payment", "CAST(c_custkey % 90 AS VARCHAR)"), "장학금[천원]": ("KRW_1000", 1_000, "scholarship", "CAST(c_custkey % 70 AS VARCHAR)"),
+    "출연금액{ KRW }": ("KRW", 1, "donation", "concat(CAST(c_custkey % 50 AS VARCHAR), '000')"), "집행액（만원）": ("KRW_10000", 10_000, "executed", "CAST(c_custkey % 30 AS VARCHAR)"), "사업비": ("KRW", 1, None, "CAST(c_custkey % 20 AS VARCHAR)"),
+}
+
+
+@register("amount_headers", " UNION ALL ".join(f"""SELECT '{c}' AS "column", '{unit}' AS unit, {f"'{q}'" if q else "CAST(NULL AS VARCHAR)"} AS qualifier, CAST(sum(CAST({value} AS DOUBLE) * {times}) AS DOUBLE) AS total FROM customer""" for c, (unit, times, q, value) in _AMOUNTS.items()), ledger_sql=False)
+def _(spark, sf_dir):
+    """Amount columns by their headers, with a unit in brackets, and the sums that plans make of them."""
+    k = F.col("c_custkey")
+    value = {"지급액(원)": k, "지급액 (만원)": k % 90, "장학금[천원]": k % 70, "출연금액{ KRW }": k % 50 * 1000, "집행액（만원）": k % 30, "사업비": k % 20}
+    frame = read(spark, sf_dir, "customer").select(k.alias(POSITION), *(v.cast("string").alias(c) for c, v in value.items()), F.col("c_mktsegment").alias("학과"))
+    meanings = schema.infer(frame)
+    table = TableRef("df0", "sheet.xlsx", frame, meanings)
+    sums = [F.struct(F.lit(c).alias("column"), F.lit(m.unit).alias("unit"), F.lit(m.qualifier).cast("string").alias("qualifier"), F.sum(typed(table, c)).alias("total")) for c, m in meanings.items() if m.role == "amount"]
+    return frame.agg(F.array(*sums).alias("x")).select(F.inline("x"))
+
+
 @register("entity_groups", "SELECT nullif(trim(memo), '') AS memo, kind, count(*) AS n_rows, round(sum(amount), 2) AS total, min(pos) AS first_row FROM ledger GROUP BY ALL")
 def _(spark, sf_dir):
     return results.entity_groups(ledger_frame(spark, sf_dir), ["memo", "kind"], F.col("amount")).withColumn("total", F.round("total", 2))

@@ -56,3 +56,32 @@ def test_equal_rows_spread_over_partitions(spark):
 
 def test_running_of_nothing(spark):
     assert running(spark.createDataFrame([], SCHEMA), ["key"], ["at"], sums={"total": "step"}, lasts={"open": "mark"}).collect() == []
+
+
+def test_sections_of_one_long_document(spark):
+    """One source of many pages is read in many tasks, with the sections of a plain walk."""
+    from pyspark.sql import functions as F
+
+    from ledgerloom.operators import retrieval, sections
+
+    n = 3000
+    body = "이 장에서는 지원 대상과 기준을 정한다. 자세한 내용은 아래와 같다."
+    rows = [("long.pdf", p, (f"{p // 50 + 1}. 제목 {p}\n" if p % 50 == 3 else "") + f"{body} {p}쪽") for p in range(n)] + [("b.pdf", 1, f"1. 첫째\n{body}"), (None, 1, f"1. 없음\n{body}")]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = sections.page_sections(spark.createDataFrame(rows, "source string, page long, text string").repartition(6)).collect()
+        pages = spark.createDataFrame([("long.pdf", p, f"s{p}" if p % 70 == 5 else None) for p in range(n)], "source string, page int, section_id string")
+        carried = running(pages, ["source"], ["page"], lasts={"open": "section_id"})
+        assert carried.withColumn("part", F.spark_partition_id()).select("part").distinct().count() > 1
+        assert {r["page"]: r["section_id"] for r in retrieval.continue_sections(pages).collect()} == {p: f"s{(p - 5) // 70 * 70 + 5}" if p >= 5 else None for p in range(n)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    of = {r["page"]: r for r in found if r["source"] == "long.pdf"}
+    assert sorted(of) == list(range(3, n)) and len(found) == n - 3 + 2
+    for p, r in of.items():
+        start = (p - 3) // 50 * 50 + 3
+        last = min(start + 49, n - 1)
+        assert (r["section_id"], r["child_index"], r["child_count"]) == (f"p{start}:s0", p - start, last - start + 1)
