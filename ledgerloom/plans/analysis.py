@@ -11,14 +11,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import is_masked, is_person, person_name
-from ledgerloom.operators.scope import NO_VALUES, Tables, cell_conditions, tables_by_label
+from ledgerloom.operators.cellindex import BEGINS, CellIndex, plain
+from ledgerloom.operators.scope import NO_VALUES, Tables, cell_conditions, scanned_cells, tables_by_label
 from ledgerloom.plans.model import FilterCondition, PlanError, QueryPlan
-from ledgerloom.plans.questions import Clarification, Intent, MonthRange, guard, intents, month_range, requested_columns
+from ledgerloom.plans.questions import Clarification, Intent, MonthRange, guard, intents, month_range, normal, requested_columns
 from ledgerloom.plans.table import NUMERIC, POSITION, TableRef
 from ledgerloom.plans.validate import Issue, comparisons
 
@@ -43,6 +45,11 @@ WORDS = {
 SUMMED = ("sum_amount", "average_amount", "median_amount", "mode_amount", "max_amount", "min_amount")
 SEVERAL = r"그리고|하고\s|와\s*함께|및\s|또한|동시에"
 MEANINGLESS = ("어이", "어어", "야", "음", "흠", "엥", "뭐", "하이", "안녕", "오케이", "test", "asdf")
+MEANINGFUL = (
+    "장학|지원금|기부|후원|출연|예산|집행|지급|수혜|금액|총액|합계|평균|명단|목록|인원|기수|발행번호|기준|조건|목적|이유|절차|규정|내용|누구|누가|얼마|중앙값|최빈값|비교|차이|조회|설명"
+)
+#: Letters of the longest input that may be no question at all.
+SHORT = 12
 MOST_REQUESTS, MOST_NAMES = 5, 500
 
 
@@ -83,6 +90,16 @@ def operations(question: str, found: list[Intent]) -> list[str]:
     return list(dict.fromkeys([*out, *(o for o in TEXT_OPERATIONS if says(o))]))
 
 
+def says_nothing(question: str) -> bool:
+    """Whether a short input is only greetings and sounds, loose letters, or one short Latin word."""
+    letters = re.sub(r"[\s!?~.,]+", "", question.lower())
+    if not letters or len(letters) > SHORT or re.search(MEANINGFUL, question):
+        return False
+    words = re.findall(r"[^\W\d_]+", question.lower())
+    sounds = lambda w: w in MEANINGLESS or re.fullmatch("[ㄱ-ㅎㅏ-ㅣ]+", w)
+    return bool(re.fullmatch("[a-z]{1,8}|[ㄱ-ㅎㅏ-ㅣ]+", letters)) or letters in MEANINGLESS or bool(words) and all(map(sounds, words))
+
+
 def analyse(question: str) -> Analysis:
     q = re.sub(r"\s+", " ", question.strip())
     found = intents(q)
@@ -90,8 +107,7 @@ def analyse(question: str) -> Analysis:
     asked = operations(q, found)
     if isinstance(months, MonthRange) and not asked:
         asked = ["filter_records"]
-    plain = re.sub(r"[\s!?~.,]+", "", q.lower())
-    stop = guard(q) or (Clarification("meaningless", "질문을 알아볼 수 없습니다") if plain in MEANINGLESS else None)
+    stop = guard(q) or (Clarification("meaningless", "질문을 알아볼 수 없습니다") if says_nothing(q) else None)
     return Analysis(q, tuple(asked), tuple(found), months, re.search(SEVERAL, q) is not None, stop)
 
 
@@ -194,15 +210,22 @@ def planned(question: str, table: TableRef, model: Callable[[str], str], check:
     return QueryPlan(status="clarification", message=f"plan: {problem}")
 
 
-def aligned(plan: QueryPlan, question: str, table: TableRef) -> QueryPlan:
-    """A plan whose filters agree with the question: types, stated comparisons, and/or, and no filter that only repeats a rank."""
+OR_WORDS = r"또는|이거나|거나\s|혹은"
+#: How far a literal may lie from the stored value it is taken for, as a share of the longer one's letters, and as such if the question writes that value out.
+FAR, FAR_IF_ASKED = 0.34, 0.6
+
+
+def aligned(plan: QueryPlan, question: str, table: TableRef, index: CellIndex | None = None) -> QueryPlan:
+    """A plan whose filters agree with the question: types, stored values, stated comparisons, and/or, and no filter that only repeats a rank."""
     if plan.status != "ready":
         return plan
-    out = plan.with_(filters=tuple(by_evidence(by_type(f, table), question, table) for f in plan.filters))
+    typed_ = [by_type(f, table) for f in plan.filters]
+    out = plan.with_(filters=tuple(by_evidence(f, question, table) for f in by_stored(typed_, question, table, index)))
+    logic = joined_by(out.filters, question)
     joined = {f.column for f in out.filters}
-    if len(out.filters) > 1 and re.search(r"또는|이거나|거나\s|혹은", question) and out.filter_logic == "all":
-        out = out.with_(filter_logic="any")
-    elif out.filter_logic == "any" and not re.search(r"또는|이거나|거나\s|혹은", question) and len(joined) == len(out.filters):
+    if logic:
+        out = out.with_(filter_logic=logic)
+    elif out.filter_logic == "any" and not re.search(OR_WORDS, question) and len(joined) == len(out.filters):
         out = out.with_(filter_logic="all")
     if out.rank_position is not None:
         rank = str(out.rank_position)
@@ -210,6 +233,52 @@ def aligned(plan: QueryPlan, question: str, table: TableRef) -> QueryPlan:
     return out
 
 
+def joined_by(filters: tuple[FilterCondition, ...], question: str) -> str | None:
+    """``any`` or ``all`` where the question writes all filters out: an "or" counts for the two that it stands between. None where it mixes them or doesn't say."""
+    places = []
+    for f in filters:
+        written_ = f.source_text or str(f.value)
+        at = question.find(written_)
+        if at < 0 or isinstance(f.value, tuple):
+            return None
+        places.append((at, at + len(written_)))
+    places.sort()
+    gaps = {bool(re.search(OR_WORDS, question[a[1] : b[0]] + " ")) for a, b in zip(places, places[1:], strict=False)}
+    return None if len(gaps) != 1 else "any" if gaps.pop() else "all" if not re.search(OR_WORDS, question) and len({f.column for f in filters}) == len(filters) else None
+
+
+def by_stored(filters: list[FilterCondition], question: str, table: TableRef, index: CellIndex | None = None) -> list[FilterCondition]:
+    """Filters on text whose literals no cell holds, with the one stored value each can only mean.
+
+    That is the only one of the same plain form, else the longest one that the literal begins with (so particles and suffixes fall away), else the only nearest one by edit
+    distance, nearer ones needed where the question doesn't write it out. Distances are taken in Spark over distinct cells, in one job for all filters, so only candidates come back.
+    """
+    asked = [(i, f) for i, f in enumerate(filters) if f.operator in ("eq", "ne", "contains") and isinstance(f.value, str) and normal(f.value) and f.column in table.frame.columns and table.meaning(f.column).data_type == "string"]
+    if not asked:
+        return filters
+    parts = []
+    for i, f in asked:
+        if index is not None:
+            cells = index.store.of_source(table.alias).where((F.col("kind") == BEGINS) & (F.col("column") == f.column)).select("value", "plain").distinct()
+        else:
+            cells = table.frame.select(F.trim(F.col(f"`{f.column}`").cast("string")).alias("value")).where("value <> ''").distinct().withColumn("plain", plain(F.col("value")))
+        literal_ = F.lit(normal(f.value))
+        begins = F.startswith(literal_, F.col("plain")) & (F.length("plain") >= 2)
+        held = F.contains("value", F.lit(f.value)) if f.operator == "contains" else F.lower(F.trim("value")) == F.lower(F.lit(f.value.strip()))
+        far = F.levenshtein(F.col("plain"), literal_) / F.greatest(F.length("plain"), F.length(literal_))
+        said = F.contains(F.lit(normal(question)), F.col("plain")) & (F.length("plain") >= 2)
+        rank = F.when(held, 0).when(F.col("plain") == literal_, 1).when(begins, 2).when((far <= FAR) | said & (far <= FAR_IF_ASKED), 3)
+        far = F.when(rank == 2, -F.length("plain")).when(rank == 3, far - F.when(said, 1.0).otherwise(0.0)).otherwise(0.0)
+        ranked = cells.select(F.lit(i).alias("i"), "value", rank.alias("rank"), far.cast("double").alias("far")).where("rank IS NOT NULL")
+        parts.append(ranked.groupBy("i", "rank", "far").agg(F.min("value").alias("value"), F.count(F.lit(1)).alias("n")).orderBy("rank", "far").limit(1))
+    out = list(filters)
+    for r in reduce(DataFrame.unionByName, parts).collect():
+        f = filters[r["i"]]
+        if r["rank"] > 0 and r["n"] == 1:
+            out[r["i"]] = FilterCondition(f.column, f.operator, r["value"], f.case_sensitive, f.source_text if f.source_text and f.source_text in question else None)
+    return out
+
+
 def by_type(f: FilterCondition, table: TableRef) -> FilterCondition:
     """A filter whose value is of the column's type, where it can be read so; ``contains`` on other than text becomes equality."""
     kind = table.meaning(f.column).data_type if f.column in table.frame.columns else "string"
@@ -259,8 +328,11 @@ def stored_names(table: TableRef, fits: Callable[[Column], Column] | None = None
     return (names.where(fits(F.col("name"))) if fits else names).groupBy("name").agg(F.min(POSITION).alias("first_row"))
 
 
-def absent_people(tables: Tables, question: str) -> list[str]:
-    """Names before a word for an amount or a field that no table holds, neither written out nor masked: their amount must not be answered by all rows."""
+def absent_people(tables: Tables, question: str, index: CellIndex | None = None) -> list[str]:
+    """Names before a word for an amount or a field that no table holds, neither written out nor masked, in no cell: their amount must not be answered by all rows.
+
+    A category or a department that some cell holds is no absent person.
+    """
     asked = [n for n in name_stretches(question) if re.fullmatch(r"[가-힣]{2,4}", n) and n not in NO_VALUES and not re.search(r"[금액]$|학과|번호|일자|얼마|합계|평균|전체|모든", n)]
     known: set[str] = set()
     for table in tables.values():
@@ -270,6 +342,8 @@ def absent_people(tables: Tables, question: str) -> list[str]:
         fits = lambda n: n.isin(*asked) | (is_masked(n) & F.exists(F.array(*map(F.lit, asked)), lambda q: F.rlike(q, pattern(n))))
         for r in stored_names(table, fits).collect():
             known |= {q for q in asked if re.fullmatch(r["name"].replace("*", "[가-힣]"), q)}
+    held = index.held(asked) if index is not None else scanned_cells(tables, asked) if asked and tables else set()
+    known |= {word for _, _, word in held}
     return [n for n in asked if n not in known and not any(n in about.label or n in about.source for about in tables.values())]
 
 

@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 
 from ledgerloom.functions.money import HINTS, money_hint
-from ledgerloom.plans.model import QueryPlan
+from ledgerloom.plans.model import FilterCondition, QueryPlan
 from ledgerloom.plans.table import NUMERIC, ORDERED, TableRef
 
 # Comparison words of questions.
@@ -78,12 +78,28 @@ def validate(plan: QueryPlan, question: str, tables: dict[str, TableRef], select
     return out + grounding(plan, question, table)
 
 
+def dates_stated(f: FilterCondition, question: str) -> bool:
+    """Whether a date's year or month stands in the question; before an end that is left out, those of the month before."""
+    numbers = {int(n) for n in re.findall(r"\d+", question)}
+    for v in f.value if isinstance(f.value, tuple) else () if f.value is None else (f.value,):
+        m = re.match(r"(\d{4})-(\d{1,2})", str(v))
+        if not m:
+            continue
+        year, month = int(m[1]), int(m[2])
+        before = (year - (month == 1), (month - 2) % 12 + 1) if f.operator == "lt" else ()
+        if not numbers & {year, month, *before}:
+            return False
+    return True
+
+
 def grounding(plan: QueryPlan, question: str, table: TableRef) -> list[Issue]:
     """Literals and limits must stand in the question, and comparisons of the question in the plan."""
     out: list[Issue] = []
     plain = re.sub(r"[\s,]", "", question).casefold()
     stated = comparisons(question)
-    used = [f for f in plan.filters if f.operator in ("gt", "gte", "lt", "lte")]
+    dated = [f for f in plan.filters if table.meaning(f.column).data_type in ("date", "year_month")]
+    used = [f for f in plan.filters if f.operator in ("gt", "gte", "lt", "lte") and f not in dated]
+    out += [Issue("ungrounded", f"{f.column} {f.value!r} isn't part of the question") for f in dated if not dates_stated(f, question)]
     for f in plan.filters:
         if f.source_text and f.source_text not in question:
             out.append(Issue("ungrounded", f"{f.source_text!r} isn't part of the question"))
