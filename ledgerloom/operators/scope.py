@@ -17,6 +17,7 @@ from ledgerloom.functions import names
 from ledgerloom.functions.dates import component, month_range, to_timestamp
 from ledgerloom.functions.money import money
 from ledgerloom.operators.cellindex import CellIndex
+from ledgerloom.operators.nameblocks import NameIndex
 from ledgerloom.plans.table import POSITION, TableRef
 from ledgerloom.sources.store import written
 
@@ -386,23 +387,43 @@ def masked_text(name: str) -> str:
 MATCHES = ("exact_match", "masked_direct_match", "masked_candidate_match", "fallback_name_match")
 
 
-def name_matches(table: TableRef, candidates: list[str], valid: Column) -> DataFrame | None:
-    """Rows of a table that match one of the names, with class, distance and the name; a row counts for its best match.
-
-    A masked name asked for matches masked ones at the least distance; a plain one matches itself, else masks that may hide it, the
-    nearest first; tables without a search key are searched for names that contain it.
-    """
-    rows = sourced(table)
-    columns = rows.columns
+def name_parts(table: TableRef) -> dict | None:
+    """A table's search key if it has one, and its names, their masks and whether they are hidden, as columns; None without names."""
+    columns = table.frame.columns
     plain = next((c for c in columns if c in NAME_COLUMNS), None)
     key = "성명_검색키" if "성명_검색키" in columns else None
     if key is None and plain is None:
         return None
     stored = names.person_name(F.col(key or plain))
-    pattern = names.person_name(F.col("성명_마스킹패턴")) if "성명_마스킹패턴" in columns else names.masked_form(stored) if key else None
+    pattern = names.person_name(F.col("성명_마스킹패턴")) if "성명_마스킹패턴" in columns else names.masked_form(stored) if key else F.lit(None).cast("string")
     hidden = F.col("성명_마스킹여부").cast("boolean") if "성명_마스킹여부" in columns else names.is_masked(F.col(key)) if key else F.lit(False)
+    return {"key": key, "stored": stored, "pattern": pattern, "hidden": hidden}
+
+
+def index_names(index: NameIndex, tables: Tables) -> None:
+    """List the names of all tables with a search key."""
+    for alias, table in tables.items():
+        parts = name_parts(table)
+        if parts and parts["key"]:
+            index.put(alias, table.frame.select(F.col(POSITION).cast("long").alias("position"), parts["stored"].alias("stored"), parts["pattern"].alias("pattern")))
+
+
+def name_matches(table: TableRef, candidates: list[str], valid: Column, near: DataFrame | None = None) -> DataFrame | None:
+    """Rows of a table that match one of the names, with class, distance and the name; a row counts for its best match.
+
+    A masked name asked for matches masked ones at the least distance; a plain one matches itself, else masks that may hide it, the
+    nearest first; tables without a search key are searched for names that contain it. ``near(source, position)`` names the rows to look at, where an index does.
+    """
+    rows = sourced(table)
+    parts = name_parts(table)
+    if parts is None:
+        return None
+    key = parts["key"]
+    if near is not None and key:
+        # rows that the index doesn't name can't match
+        rows = rows.join(near.where(F.col("source") == table.alias).select(F.col("position").alias("__near")), F.col(POSITION) == F.col("__near"), "left_semi")
     # Each name is normalised once, in a projection of its own.
-    rows = rows.withColumns({"__stored": stored, "__pattern": pattern if pattern is not None else F.lit(None).cast("string"), "__hidden": F.coalesce(hidden, F.lit(False))})
+    rows = rows.withColumns({"__stored": parts["stored"], "__pattern": parts["pattern"], "__hidden": F.coalesce(parts["hidden"], F.lit(False))})
     stored, pattern, hidden = F.col("__stored"), F.col("__pattern"), F.col("__hidden")
     options = []
     for number, name in enumerate(candidates):
@@ -425,17 +446,18 @@ def name_matches(table: TableRef, candidates: list[str], valid: Column) -> DataF
     return rows.withColumn("__match", best).where(F.col("__match").isNotNull() & valid).drop("__stored", "__pattern", "__hidden")
 
 
-def name_search(tables: Tables, question: str) -> Found:
+def name_search(tables: Tables, question: str, index: NameIndex | None = None) -> Found:
     """Rows of all tables of the best class of name match, then of the question's cohort and identifiers.
 
     Of a table and name only the nearest rows stay, and only those with an amount where the table has amounts.
     """
     candidates = name_words(question)
+    near = index.rows_near(sorted({n for c in candidates for n in (c, masked_text(c))})) if index is not None and candidates else None
     parts = []
     for i, table in enumerate(tables.values()):
         amounts = [c for c in table.visible if table.meaning(c).data_type == "money"]
         valid = reduce(lambda a, b: a | b, (money(F.col(f"`{c}`")).isNotNull() for c in amounts)) if amounts else F.lit(True)
-        rows = name_matches(table, candidates, valid) if candidates else None
+        rows = name_matches(table, candidates, valid, near) if candidates else None
         if rows is not None:
             parts.append(rows.withColumns({"__of": F.lit(i), "__class": F.col("__match.class"), "__name": F.col("__match.name"), "__far": F.col("__match.distance")}).drop("__match"))
     if not parts:
