@@ -8,9 +8,10 @@ from ledgerloom.functions import dates, names
 from ledgerloom.operators import clean, identity, retrieval, schema
 from ledgerloom.plans import results
 from ledgerloom.plans.execute import exact_median, typed
-from ledgerloom.plans.table import POSITION, TableRef
+from ledgerloom.plans.table import POSITION, ColumnMeaning, TableRef
 from ledgerloom.registry import NAME_SQL, ledger_frame, made_names, read, register
 from ledgerloom.sources import catalog, sheets
+from ledgerloom.sources.profiles import StoredProfiles
 from ledgerloom.sources.snapshots import SnapshotStore
 from ledgerloom.sources.store import new_folder
 
@@ -91,6 +92,20 @@ def _(spark, sf_dir):
     return frame.agg(F.array(*sums).alias("x")).select(F.inline("x"))
 
 
+@register("kept_profiles", "SELECT '값' AS \"column\", 'KRW_10000' AS unit, count(*) AS n_rows, CAST(sum(CASE WHEN c_custkey % 3 = 0 THEN c_custkey ELSE c_nationkey END) * 10000.0 AS DOUBLE) AS total FROM customer", ledger_sql=False)
+def _(spark, sf_dir):
+    """A column that was corrected to an amount once is one in a later table of the same columns, read by another process."""
+    k, customer, folder = F.col("c_custkey"), read(spark, sf_dir, "customer"), new_folder(spark, "profiles")
+    first = customer.select(k.alias(POSITION), F.col("c_nationkey").cast("string").alias("값"), F.col("c_mktsegment").alias("부서"))
+    profiles = StoredProfiles(spark, folder)
+    profiles.correct(profiles.of(first), {"값": ColumnMeaning("amount", "amount", "money", "KRW_10000")})
+    later = customer.select(k.alias(POSITION), F.when(k % 3 == 0, k).otherwise(F.col("c_nationkey")).cast("string").alias("값"), F.col("c_name").alias("부서"))
+    meanings = StoredProfiles(spark, folder).of(later)
+    table = TableRef("df1", "later.xlsx", later, meanings)
+    sums = [F.struct(F.lit(c).alias("column"), F.lit(m.unit).alias("unit"), F.count("*").alias("n_rows"), F.sum(typed(table, c)).alias("total")) for c, m in meanings.items() if m.role == "amount"]
+    return later.agg(F.array(*sums).alias("x")).select(F.inline("x"))
+
+
 @register("entity_groups", "SELECT nullif(trim(memo), '') AS memo, kind, count(*) AS n_rows, round(sum(amount), 2) AS total, min(pos) AS first_row FROM ledger GROUP BY ALL")
 def _(spark, sf_dir):
     return results.entity_groups(ledger_frame(spark, sf_dir), ["memo", "kind"], F.col("amount")).withColumn("total", F.round("total", 2))

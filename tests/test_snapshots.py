@@ -101,3 +101,20 @@ def test_a_table_is_replaced_in_one_step(spark, tmp_path, monkeypatch):
     c.save("t", of(4), "t.xlsx", {})
     assert [r[0] for r in c.load()["df0"].frame.collect()] == [4] and sum("rows-t-" in n for n in files.names_in(spark, f"file://{tmp_path}/tables")) == 3
     assert c.drop("t") == ["t"] and c.load() == {}
+
+
+def test_profiles_are_written_once_and_taken_over(spark, tmp_path):
+    from ledgerloom.operators import schema
+    from ledgerloom.plans.table import ColumnMeaning
+    from ledgerloom.sources.profiles import StoredProfiles
+
+    df = spark.createDataFrame([(0, "1", "x")], f"{POSITION} long, `값` string, `부서` string")
+    fresh = schema.infer(df)
+    one, other = StoredProfiles(spark, f"file://{tmp_path}/p"), StoredProfiles(spark, f"file://{tmp_path}/p")
+    made = [{c: ColumnMeaning(f"concept{i}", m.role, m.data_type) for c, m in fresh.items()} for i in range(5)]
+    with ThreadPoolExecutor(5) as pool:
+        kept = list(pool.map(one.keep, made))
+    assert all(k == kept[0] for k in kept) and kept[0] in made and other.of(df) == kept[0]
+    right = one.correct(fresh, {"값": ColumnMeaning("amount", "amount", "money", "KRW")})
+    assert other.of(df) == right and right["부서"] == fresh["부서"]
+    assert other.of(df.select(POSITION, "`값`")) == schema.infer(df.select(POSITION, "`값`"))  # other columns, other profile
