@@ -1,7 +1,8 @@
 """Which texts hold a share of a query's words, for query sets and texts of any size.
 
 A text that holds at least ``m`` of a query's ``n`` words holds one of its ``n - m + 1`` rarest. Only those are joined with the words of texts, so the common
-words, which most pairs share, never meet; what a pair shares in all is counted for those pairs only. Words that many texts
+words, which most pairs share, never meet; what a pair shares in all is counted for those pairs only. Where a query's rarest words are about as common as the
+others, looking pairs up again would cost more than it saves: there all its words are joined and counted at once. Words that many texts
 hold are dealt over several tasks. Nothing is collected, and what is broadcast are at most ``HOT_WORDS`` words.
 """
 
@@ -14,39 +15,49 @@ from ledgerloom.sources.store import written
 
 #: Words that count as hot at most, and the least number of texts that a hot word has.
 HOT_WORDS, HOT = 1000, 20_000
+#: How many words joined cost as much as one pair looked up again.
+LOOKUP = 10
 
 
 def words_of(queries: DataFrame, query: str = "query", terms: str = "terms") -> DataFrame:
     """``(query, n, word)`` for each distinct word of each query that has any; null terms count as none."""
     distinct = queries.select(F.col(query).alias("query"), F.array_distinct(F.array_compact(terms)).alias("__terms"))
-    return distinct.select("query", F.size("__terms").alias("n"), F.explode("__terms").alias("word"))
+    return distinct.select("query", F.size("__terms").alias("n"), F.explode_outer("__terms").alias("word")).where("word IS NOT NULL")
 
 
 def held_words(words: DataFrame, texts: DataFrame, text_id: str = "chunk_id", terms: str = "terms") -> DataFrame:
     """``(chunk_id, word)`` for the distinct words of each text that any query asks for, written once: texts are read no second time."""
     asked = words.select("word").distinct()
-    each = texts.select(F.col(text_id).alias("chunk_id"), F.explode(F.array_distinct(terms)).alias("word"))
+    # the outer form has no filter on the array, which would cut each text into words once more; joining drops its nulls
+    each = texts.select(F.col(text_id).alias("chunk_id"), F.explode_outer(F.array_distinct(terms)).alias("word"))
     return written(each.join(asked, "word", "left_semi").select("chunk_id", "word"), "held")
 
 
-def candidate_pairs(words: DataFrame, held: DataFrame, least: float, *, hot: int = HOT) -> DataFrame:
-    """``(query, chunk_id)``, each once: all pairs that share at least ``least`` of a query's words, and some that share less."""
+def candidate_pairs(words: DataFrame, held: DataFrame, least: float, *, hot: int = HOT, lookup: float = LOOKUP) -> DataFrame:
+    """``(query, chunk_id, n, met, whole)``, each pair once: all that share at least ``least`` of a query's words, and some that share less.
+
+    ``met`` counts the words that were joined, which are all that the pair shares if ``whole``.
+    """
     if least <= 0:
         raise ValueError("a share of nothing is shared by all pairs")
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("texts"))
-    found = written(words.join(counts, "word"), "asked")  # words that no text holds can't be shared
+    found = words.join(counts, "word")  # words that no text holds can't be shared
     # the least whole number whose share reaches the cut, as shares are compared
     n, m = F.col("n"), F.ceil(F.col("n") * least)
     m = F.when((m - 1) / n >= least, m - 1).when(m / n < least, m + 1).otherwise(m)
     ordered = found.groupBy("query").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("texts", "word"))).alias("by_rarity"))
     rare = ordered.withColumn("m", m.cast("int")).where(F.size("by_rarity") >= F.col("m"))
-    joined = rare.select("query", F.inline(F.slice("by_rarity", F.lit(1), F.size("by_rarity") - F.col("m") + 1)))
-    total = F.sum("texts").alias("total")
-    per = counts.agg(F.greatest(F.lit(hot), F.ceil(total / HOT_WORDS)).alias("per"))
+    rare = rare.withColumn("prefix", F.slice("by_rarity", F.lit(1), F.size("by_rarity") - F.col("m") + 1))
+    texts = lambda c: F.aggregate(F.col(c), F.lit(0).cast("long"), lambda total, x: total + x["texts"])
+    rare = rare.withColumn("whole", texts("by_rarity") <= texts("prefix") * F.lit(lookup))
+    joined = rare.select("query", "n", "whole", F.inline(F.when(F.col("whole"), F.col("by_rarity")).otherwise(F.col("prefix"))))
+    joined = written(joined, "asked")
+    per = counts.agg(F.greatest(F.lit(hot), F.ceil(F.sum("texts") / HOT_WORDS)).alias("per"))
     hot_words = written(counts.join(F.broadcast(per), F.col("texts") > F.col("per")).select("word", F.ceil(F.col("texts") / F.col("per")).cast("int").alias("parts")), "hot")
     dealt = held.join(F.broadcast(hot_words), "word", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("parts")), F.lit(0)))
     met = joined.join(F.broadcast(hot_words), "word", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    return dealt.select("word", "part", "chunk_id").join(met.select("word", "part", "query"), ["word", "part"]).select("query", "chunk_id").distinct()
+    pairs = dealt.select("word", "part", "chunk_id").join(met.select("word", "part", "query", "n", "whole"), ["word", "part"])
+    return pairs.groupBy("query", "chunk_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("met"), F.first("whole").alias("whole"))
 
 
 def shared_words(pairs: DataFrame, words: DataFrame, held: DataFrame) -> DataFrame:
@@ -57,12 +68,18 @@ def shared_words(pairs: DataFrame, words: DataFrame, held: DataFrame) -> DataFra
     return met.select("query", "chunk_id", "n", F.coalesce(F.size(F.array_intersect("__asked", "__held")), F.lit(0)).alias("shared"))
 
 
-def contained(queries: DataFrame, texts: DataFrame, least: float, *, query: str = "query", text_id: str = "chunk_id", terms: str = "terms", hot: int = HOT) -> DataFrame:
+def shares(words: DataFrame, held: DataFrame, least: float, *, hot: int = HOT, lookup: float = LOOKUP) -> DataFrame:
+    """``(query, chunk_id, overlap)`` of all pairs that share at least ``least`` of a query's words."""
+    pairs = written(candidate_pairs(words, held, least, hot=hot, lookup=lookup).where(~F.col("whole") | (F.col("met") / F.col("n") >= least)), "pairs")
+    counted = pairs.where("whole").select("query", "chunk_id", (F.col("met") / F.col("n")).alias("overlap"))
+    again = shared_words(pairs.where("NOT whole").select("query", "chunk_id"), words, held)
+    return counted.unionByName(again.select("query", "chunk_id", (F.col("shared") / F.col("n")).alias("overlap")).where(F.col("overlap") >= least))
+
+
+def contained(queries: DataFrame, texts: DataFrame, least: float, *, query: str = "query", text_id: str = "chunk_id", terms: str = "terms", hot: int = HOT, lookup: float = LOOKUP) -> DataFrame:
     """``(query, chunk_id, overlap)``: all pairs whose text holds at least ``least`` of the query's distinct words.
 
     Queries and texts without words, or with null ones, are in no pair. Repeated ids count as one.
     """
-    words = words_of(queries, query, terms)
-    held = held_words(words, texts, text_id, terms)
-    found = shared_words(candidate_pairs(words, held, least, hot=hot), words, held)
-    return found.withColumn("overlap", F.col("shared") / F.col("n")).where(F.col("overlap") >= least).select("query", "chunk_id", "overlap")
+    words = written(words_of(queries, query, terms).dropDuplicates(["query", "word"]), "words")
+    return shares(words, held_words(words, texts, text_id, terms), least, hot=hot, lookup=lookup)

@@ -86,11 +86,12 @@ def overview_text(rows: DataFrame, label: str, source: str, purpose: str = "", a
 
 def terms(c: Column) -> Column:
     """Distinct words of two letters or digits or more, lower-cased, stop words dropped, without a particle and a verb's ending where two letters are left."""
-    words = F.transform(F.regexp_extract_all(c, F.lit("[가-힣A-Za-z0-9]{2,}"), F.lit(0)), F.lower)
+    words = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit("[가-힣A-Za-z0-9]{2,}"), F.lit(0))), F.lower)
     stem = lambda w: F.regexp_replace(F.regexp_replace(w, f"(?:{'|'.join(WORD_PARTICLES)})$", ""), f"(?:{'|'.join(WORD_ENDINGS)})$", "")
     # words of Latin letters and digits have no such endings
     stems = F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.when(w.rlike("[가-힣]$") & (F.length(stem(w)) >= 2), stem(w)).otherwise(w))
-    return F.array_distinct(stems)
+    # texts without Hangul have no stop words, particles or endings
+    return F.when(c.rlike("[가-힣]"), F.array_distinct(stems)).otherwise(F.array_distinct(words))
 
 
 def overlap(query: Column, text: Column) -> Column:

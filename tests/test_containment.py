@@ -21,10 +21,10 @@ def tables(seed):
     return queries, texts
 
 
-@pytest.mark.parametrize(("least", "hot"), [(0.3, 20_000), (0.4, 10), (1.0, 3), (0.01, 5)])
-def test_pairs_equal_all_pairs(spark, least, hot):
+@pytest.mark.parametrize(("least", "hot", "lookup"), [(0.3, 20_000, 10), (0.4, 10, 0), (1.0, 3, 0), (0.01, 5, 2), (0.3, 7, 2)])
+def test_pairs_equal_all_pairs(spark, least, hot, lookup):
     queries, texts = tables(int(least * 100))
-    found = containment.contained(spark.createDataFrame(queries, QUERIES).repartition(2), spark.createDataFrame(texts, TEXTS).repartition(3), least, hot=hot)
+    found = containment.contained(spark.createDataFrame(queries, QUERIES).repartition(2), spark.createDataFrame(texts, TEXTS).repartition(3), least, hot=hot, lookup=lookup)
     expected = []
     for q, words in queries:
         for c, held, *_ in texts:
@@ -39,7 +39,7 @@ def test_common_words_are_not_joined(spark):
     texts = spark.createDataFrame([(i, ["common", f"rare{i}"], 0, 0) for i in range(500)], TEXTS)
     queries = spark.createDataFrame([(i, ["common", f"rare{i}"]) for i in range(50)], QUERIES)
     words = containment.words_of(queries)
-    pairs = containment.candidate_pairs(words, containment.held_words(words, texts), 1.0)
+    pairs = containment.candidate_pairs(words, containment.held_words(words, texts), 1.0, lookup=0)
     assert pairs.count() == 50
     with pytest.raises(ValueError):
         containment.candidate_pairs(words, texts, 0)
