@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.names import blank_to_null, person_name
-from ledgerloom.plans.execute import at_extreme
+from ledgerloom.plans.execute import at_extreme, exact_sum
 from ledgerloom.plans.table import POSITION
 
 
@@ -94,7 +94,7 @@ def year_amounts(rows: DataFrame, r: Roles, first: int, second: int) -> DataFram
 
 def extreme_total(rows: DataFrame, r: Roles, by: Column, descending: bool, name: str = "key") -> DataFrame:
     """The years, months or groups with the largest or smallest sum, all ties."""
-    sums = rows.where(r.amount.isNotNull() & by.isNotNull()).groupBy(by.alias(name)).agg(F.sum(r.amount).alias("total"), F.count("*").alias("n_rows"))
+    sums = rows.where(r.amount.isNotNull() & by.isNotNull()).groupBy(by.alias(name)).agg(exact_sum(rows, r.amount).alias("total"), F.count("*").alias("n_rows"))
     return at_extreme(sums, F.round("total", 6), descending)
 
 

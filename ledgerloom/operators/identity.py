@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
 from ledgerloom.operators.graph import linked_groups
-from ledgerloom.plans.execute import at_extreme, typed
+from ledgerloom.plans.execute import at_extreme, exact_sum, typed
 from ledgerloom.plans.table import POSITION, TableRef
 
 
@@ -68,7 +68,7 @@ def per_capita(rows: DataFrame, key: Column, amount: Column) -> DataFrame:
 
 def person_extremes(rows: DataFrame, key: Column, amount: Column, descending: bool = True, n: int = 1) -> DataFrame:
     """People with the largest or smallest sums: all ties for one, else the first ``n``."""
-    sums = rows.where(amount.isNotNull()).groupBy(names.blank_to_null(key).alias("person")).agg(F.sum(amount).alias("total"), F.min(POSITION).alias("__first")).where("person IS NOT NULL")
+    sums = rows.where(amount.isNotNull()).groupBy(names.blank_to_null(key).alias("person")).agg(exact_sum(rows, amount).alias("total"), F.min(POSITION).alias("__first")).where("person IS NOT NULL")
     if n == 1:
         return at_extreme(sums, F.round("total", 6), descending).drop("__first")
     return sums.orderBy(F.desc("total") if descending else F.asc("total"), "__first").limit(n).drop("__first")

@@ -151,3 +151,16 @@ def test_filters_reach_the_scan(spark, table, tmp_path):
     out = run(t, operation="sum", target="v", filters=(FilterCondition("v", "gt", 50),)).result
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "w#" not in plan.split("ReadSchema")[1] and out.collect()[0]["value"] == sum(range(51, 100))
+
+
+def test_tied_sums_stay_tied_in_any_order(spark):
+    """0.1 + 0.2 + 0.3 isn't 0.3 + 0.2 + 0.1 in doubles; people and ranks of one total are tied all the same."""
+    paid = [("가나", 0.1), ("가나", 0.2), ("가나", 0.3), ("다라", 0.3), ("다라", 0.2), ("다라", 0.1), ("마바", 0.9), ("마바", 1e-9)]
+    df = spark.createDataFrame([(i, n, a) for i, (n, a) in enumerate(paid)], f"{POSITION} long, `이름` string, `금액` double").coalesce(1)
+    table = TableRef("df0", "a.xlsx", df, MEANINGS)
+    sums = {"operation": "group_sum", "target": "금액", "group_by": ("이름",)}
+    assert {r["이름"]: r["total"] for r in run(table, **sums).result.collect()} == {"가나": 0.6, "다라": 0.6, "마바": 0.9 + 1e-9}
+    assert [r["이름"] for r in run(table, top_n=1, group_order="asc", **sums).result.collect()] == ["가나", "다라"]
+    assert [r["이름"] for r in run(table, rank_position=2, **sums).result.collect()] == ["가나", "다라"]
+    strange = df.withColumn("금액", F.when(F.col(POSITION) == 0, float("inf")).when(F.col(POSITION) == 6, 1e25).otherwise(F.col("금액")))
+    assert [r["total"] for r in run(TableRef("df0", "a.xlsx", strange, MEANINGS), **sums).result.collect()] == [float("inf"), 1e25, 0.6]
