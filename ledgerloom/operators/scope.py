@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import names
 from ledgerloom.functions.dates import component, month_range, to_timestamp
-from ledgerloom.functions.money import money
 from ledgerloom.operators.cellindex import CellIndex
 from ledgerloom.operators.nameblocks import NameIndex
+from ledgerloom.plans.execute import typed
 from ledgerloom.plans.table import POSITION, TableRef
 from ledgerloom.sources.store import written
 
@@ -412,7 +412,7 @@ def name_matches(table: TableRef, candidates: list[str], valid: Column, near: Da
     """Rows of a table that match one of the names, with class, distance and the name; a row counts for its best match.
 
     A masked name asked for matches masked ones at the least distance; a plain one matches itself, else masks that may hide it, the
-    nearest first; tables without a search key are searched for names that contain it. ``near(source, position)`` names the rows to look at, where an index does.
+    nearest first, of rows with a search key (organisations have none); tables without a search key are searched for names that contain it. ``near(source, position)`` names the rows to look at, where an index does.
     """
     rows = sourced(table)
     parts = name_parts(table)
@@ -440,7 +440,7 @@ def name_matches(table: TableRef, candidates: list[str], valid: Column, near: Da
             mask = masked_text(name)
             if mask != name:
                 near = names.masked_distance(F.lit(mask), pattern)
-                option = option.when(hidden & (near <= 180), F.struct(F.lit(2).alias("class"), near.alias("distance"), F.lit(number).alias("name")))
+                option = option.when(hidden & (stored != "") & (near <= 180), F.struct(F.lit(2).alias("class"), near.alias("distance"), F.lit(number).alias("name")))
         options.append(option)
     best = F.array_min(F.array_compact(F.array(*options)))
     return rows.withColumn("__match", best).where(F.col("__match").isNotNull() & valid).drop("__stored", "__pattern", "__hidden")
@@ -456,7 +456,8 @@ def name_search(tables: Tables, question: str, index: NameIndex | None = None) -
     parts = []
     for i, table in enumerate(tables.values()):
         amounts = [c for c in table.visible if table.meaning(c).data_type == "money"]
-        valid = reduce(lambda a, b: a | b, (money(F.col(f"`{c}`")).isNotNull() for c in amounts)) if amounts else F.lit(True)
+        # stored numbers aren't read as text, which would lose those of ten million and more
+        valid = reduce(lambda a, b: a | b, (~F.isnan(F.coalesce(typed(table, c), F.lit(float("nan")))) for c in amounts)) if amounts else F.lit(True)
         rows = name_matches(table, candidates, valid, near) if candidates else None
         if rows is not None:
             parts.append(rows.withColumns({"__of": F.lit(i), "__class": F.col("__match.class"), "__name": F.col("__match.name"), "__far": F.col("__match.distance")}).drop("__match"))

@@ -58,3 +58,22 @@ def test_search_by_index_equals_a_scan(spark, tmp_path):
         assert of(scope.name_search(tables, q, index)) == of(scope.name_search(tables, q)), q
     # one name reads few rows
     assert index.rows_near(["김민준"]).count() < 60
+
+
+def test_large_amounts_are_amounts_and_organisations_no_names(spark, tmp_path):
+    """Stored numbers of ten million and more are written with an exponent as text; NaN is no amount."""
+    rows = [(0, "김민준", 9e6), (1, "김민준", 1e7), (2, "김민준", 1.5e12), (3, "김민준", float("nan")), (4, "김민준", None)]
+    money = {"금액": ColumnMeaning("amount", "amount", "money", "KRW")}
+    frame = spark.createDataFrame(rows, f"{POSITION} long, `성명_검색키` string, `금액` double")
+    tables = {"df0": TableRef("df0", "a.xlsx", frame, money)}
+    index = NameIndex(spark, f"file://{tmp_path}/names")
+    scope.index_names(index, tables)
+    for found in (scope.name_search(tables, "김민준의 금액"), scope.name_search(tables, "김민준의 금액", index)):
+        assert sorted(r[POSITION] for r in found.rows.collect()) == [0, 1, 2]
+
+
+def test_rows_without_a_search_key_hide_no_name(spark):
+    rows = [(0, "이*준", "이*준", True), (1, None, "이*준", True), (2, "", "이*준", True), (3, "이민준", "이*준", False)]
+    frame = spark.createDataFrame(rows, f"{POSITION} long, `성명_검색키` string, `성명_마스킹패턴` string, `성명_마스킹여부` boolean")
+    found = scope.name_search({"df0": TableRef("df0", "a.xlsx", frame.where(f"{POSITION} < 3"))}, "이민준 알려줘")
+    assert [(r[POSITION], r["_match"]) for r in found.rows.collect()] == [(0, "masked_candidate_match")]
