@@ -26,9 +26,14 @@ def field_by_header(m: Column, pattern: str) -> Column:
 
 def best_row(chunks: DataFrame, question: str, pattern: str) -> DataFrame:
     """The row that shares most terms with the question among those that have the field, and the field's value."""
-    found = chunks.withColumn("value", field_by_header(table_fields(F.col("text")), pattern)).where("value IS NOT NULL")
-    scored = found.withColumn("score", overlap(terms(F.lit(question)), terms(F.col("text")))).where("score > 0")
-    best = scored.agg(F.min_by(F.struct("chunk_id", "value", "score"), F.struct((-F.col("score")).alias("s"), F.col("chunk_id"))).alias("b")).where("b IS NOT NULL")
+    asked = chunks.sparkSession.range(1).select(terms(F.lit(question)).alias("t")).collect()[0]["t"]
+    # Fields and terms of a text are worked out once: a filter on them would move below and work them out again. Rows whose rank is null don't count.
+    fields = chunks.select("chunk_id", "text", table_fields(F.col("text")).alias("__fields"))
+    found = fields.select("chunk_id", "text", field_by_header(F.col("__fields"), pattern).alias("value"))
+    shared = overlap(F.array(*map(F.lit, asked)).cast("array<string>"), terms(F.col("text"), asked))
+    scored = found.select("chunk_id", "value", F.when(F.col("value").isNotNull(), shared).alias("score"))
+    rank = F.when(F.col("score") > 0, F.struct((-F.col("score")).alias("s"), F.col("chunk_id")))
+    best = scored.agg(F.min_by(F.struct("chunk_id", "value", "score"), rank).alias("b")).where("b IS NOT NULL")
     return best.select("b.*")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -84,9 +86,14 @@ def overview_text(rows: DataFrame, label: str, source: str, purpose: str = "", a
     return rows.agg(F.count("*").alias("n"), total.alias("total")).select(F.concat_ws("\n", *parts).alias("chunk_text"))
 
 
-def terms(c: Column) -> Column:
-    """Distinct words of two letters or digits or more, lower-cased, stop words dropped, without a particle and a verb's ending where two letters are left."""
+def terms(c: Column, among: list[str] | None = None) -> Column:
+    """Distinct words of two letters or digits or more, lower-cased, stop words dropped, without a particle and a verb's ending where two letters are left.
+
+    With ``among`` only words that begin as one of those terms do are looked at: all that can become one of them, and few of a text's others.
+    """
     words = F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit("[가-힣A-Za-z0-9]{2,}"), F.lit(0))), F.lower)
+    if among is not None:
+        words = F.filter(words, lambda w: reduce(lambda a, b: a | b, (F.startswith(w, F.lit(t)) for t in among), F.lit(False)))
     stem = lambda w: F.regexp_replace(F.regexp_replace(w, f"(?:{'|'.join(WORD_PARTICLES)})$", ""), f"(?:{'|'.join(WORD_ENDINGS)})$", "")
     # words of Latin letters and digits have no such endings
     stems = F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), lambda w: F.when(w.rlike("[가-힣]$") & (F.length(stem(w)) >= 2), stem(w)).otherwise(w))
