@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import asdict
+from functools import partial
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +34,31 @@ QUALIFIERS = (
 )
 
 
+def first_cells(batches: Iterator[pd.DataFrame], sample: int) -> Iterator[pd.DataFrame]:
+    """``(at, i, v)``: the first non-blank cells of each column ``c<i>`` of a task's rows; ``sample`` a column are held."""
+    held: dict[int, pd.DataFrame] = {}
+    for batch in batches:
+        for i in range(batch.shape[1] - 1):
+            found = batch.iloc[:, [0, i + 1]].set_axis(["at", "v"], axis=1)
+            kept = held.get(i)
+            if kept is not None and len(kept) == sample:
+                found = found[found["at"] < kept["at"].iloc[-1]]
+            found = found[found["v"].notna() & (found["v"] != "")]
+            if len(found):
+                held[i] = pd.concat([*([] if kept is None else [kept]), found]).sort_values("at", kind="stable").head(sample)
+    for i, kept in held.items():
+        yield kept.assign(i=i)[["at", "i", "v"]]
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """A row per column: cells sampled (the first non-blank ones) and the share of each shape among them.
 
-    All columns come from one scan: each task keeps its first cells of every column, and what they say is aggregated.
+    All columns come from one scan: each task keeps its first cells of every column, ``sample`` at most, and only those are ranked over all tasks.
     """
     columns = columns or [c for c in df.columns if not c.startswith("_")]
-    pairs = [F.struct(F.lit(i).alias("i"), F.trim(F.col(f"`{c}`").cast("string")).alias("v")) for i, c in enumerate(columns)]
-    each = df.select(F.col(POSITION).alias("at"), F.explode(F.array(*pairs)).alias("x")).select("at", F.col("x.i").alias("i"), F.col("x.v").alias("v")).where("v <> ''")
+    cells = df.select(F.col(POSITION).alias("at"), *(F.trim(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(columns)))
+    place = df.schema[POSITION].dataType.simpleString()
+    each = cells.mapInPandas(partial(first_cells, sample=sample), f"at {place}, i int, v string")
     first = Window.partitionBy("i").orderBy("at")
     named = F.element_at(F.array(*map(F.lit, columns)), F.col("i") + 1).alias("column")
     out = each.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= sample).select(named, "v")

@@ -237,3 +237,34 @@ def test_rerank_over_real_terms(spark):
 
     found = registry.QUERIES["rerank"](spark, "/root/testdata/sf0.001").collect()
     assert len({r["query"] for r in found}) > 5 and all(r["query"] % 20 == 0 and r["rank"] <= 8 for r in found)
+
+
+def test_profiles_hold_few_cells_in_a_task(spark):
+    """The first cells by position count wherever they lie, and what is ranked over tasks are a task's first cells only."""
+    import pandas as pd
+
+    batches = lambda: (pd.DataFrame({"at": range(a, a - 50, -1), "c0": ["x"] * 50, "c1": [None, ""] * 25}) for a in range(1000, 0, -50))
+    kept = pd.concat(schema.first_cells(batches(), 20))
+    assert kept["at"].tolist() == list(range(1, 21)) and set(kept["i"]) == {0}
+    rows = [(i, str(i) if i < 40 else "x", None if i % 2 else " 2024-01-02 ", "  ") for i in range(400)]
+    df = spark.createDataFrame(rows, f"{POSITION} long, a string, b string, c string").orderBy(F.desc(POSITION)).repartition(3)
+    found = {r["column"]: r for r in schema.profile(df, sample=50).collect()}
+    assert set(found) == {"a", "b"} and (found["a"]["cells"], found["a"]["number"], found["b"]["cells"], found["b"]["date"]) == (50, 0.8, 50, 1.0)
+    plan = schema.profile(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInPandas" in plan
+
+
+def test_best_rows_look_at_words_of_the_question_only(spark):
+    from ledgerloom.operators import evidence
+
+    rows = [(3, "사업: 사업42 / 접수기간: 3월"), (2, "사업: 사업42로 / 접수기간: 4월"), (1, "사업: 사업42 / 예산: 5원"), (4, "사업: 다른 / 마감: 5월"), (5, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, text string")
+    assert [tuple(r) for r in evidence.period(chunks, "사업42 언제").collect()] == [(2, "4월", 0.5)]
+    assert evidence.period(chunks, "없는말 이름").collect() == evidence.period(chunks, "").collect() == []
+    question, texts = "사업42로 접수하려면 어떻게", chunks.select("text")
+    asked = spark.range(1).select(retrieval.terms(F.lit(question)).alias("t")).collect()[0]["t"]
+    for r in texts.select(retrieval.terms(F.col("text")).alias("whole"), retrieval.terms(F.col("text"), asked).alias("some")).collect():
+        assert r["whole"] is None or set(r["whole"]) & set(asked) == set(r["some"]) & set(asked)
+    # a text's fields and words are worked out in one place of the plan
+    plan = evidence.period(chunks, question)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_arrays") == 1 and plan.count("[가-힣A-Za-z0-9]{2,}") <= 2
