@@ -82,3 +82,33 @@ def test_terms_follow_the_stated_rule(spark):
     }
     df = spark.createDataFrame([(t,) for t in said], "text string").select("text", retrieval.terms(F.col("text")).alias("terms"))
     assert {r["text"]: set(r["terms"]) for r in df.collect()} == said
+
+
+@pytest.mark.parametrize("step", [1 << 20, 3])
+def test_words_of_few_queries_are_counted_where_texts_are_read(spark, monkeypatch, step):
+    """The same pairs by a scan and by joins, with nothing shuffled by the scan."""
+    monkeypatch.setattr(containment, "STEP", step)
+    queries, texts = tables(3)
+    q, t = spark.createDataFrame(queries, QUERIES), spark.createDataFrame(texts, TEXTS).repartition(3)
+    for least in (0.01, 0.4, 1.0):
+        scanned = containment.contained(q, t, least)
+        assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "").replace("Exchange RoundRobinPartitioning", "")
+        assert sorted(tuple(r) for r in scanned.collect()) == sorted(tuple(r) for r in containment.contained(q, t, least, postings=0).collect())
+    with pytest.raises(ValueError):
+        containment.contained(q, t, 0)
+
+
+def test_scans_of_chunks_equal_joins(spark):
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"말{rng.randint(0, 30)}" for _ in range(n))
+    chunks = spark.createDataFrame([(i, text(rng.randint(0, 20)), text(rng.randint(0, 3))) for i in range(200)] + [(500, None, None)], "chunk_id long, text string, section_title string")
+    queries = spark.createDataFrame([(f"q{i}", text(rng.randint(0, 6))) for i in range(30)] + [("none", None)], "query string, text string")
+    rows = lambda **more: sorted(tuple(r) for r in answers.lexical_scan(chunks, queries, **more).collect())
+    assert rows() == rows(postings=0) and rows()
+
+
+@pytest.mark.parametrize("postings", [0, 1000])
+def test_repeated_ids_of_texts_count_as_one(spark, postings):
+    texts = spark.createDataFrame([(1, ["a", "b"], 0, 0), (1, ["a", "c"], 0, 0), (2, ["a"], 0, 0)], TEXTS)
+    found = containment.contained(spark.createDataFrame([(7, ["a", "b", "c", "d"])], QUERIES), texts, 0.25, postings=postings)
+    assert sorted(tuple(r) for r in found.collect()) == [(7, 1, 0.75), (7, 2, 0.25)]
